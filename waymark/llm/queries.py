@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waymark.llm import exact_dedup, mixing
+from waymark.llm import exact_dedup, line_dedup, mixing, simhash
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,8 +58,34 @@ SELECT doc_id, size, source_size, target, (size * sum((upto <= total)::BIGINT)):
 FROM ranked GROUP BY doc_id, source, place, size, source_size, target, sent
 """
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.kept_lines(documents(spark, sf_dir))
+
+
+OP5_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents
+), keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines
+), held AS (
+  SELECT key, max(doc_id) AS last_doc FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+), marked AS (
+  SELECT k.*, h.key IS NOT NULL AND doc_id <> last_doc AS gone FROM keyed k LEFT JOIN held h USING (key)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_mixing": op3_mixing,
+    "op5_line_dedup": op5_line_dedup,
+    "op9_simhash": op9_simhash,
 }
-ORACLES: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op3_mixing": OP3_SQL}
+ORACLES: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op3_mixing": OP3_SQL, "op5_line_dedup": OP5_SQL}
