@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waymark.llm import exact_dedup, line_dedup, mixing, simhash
+from waymark.llm import exact_dedup, line_dedup, mixing, packing, quality, simhash
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +58,10 @@ SELECT doc_id, size, source_size, target, (size * sum((upto <= total)::BIGINT)):
 FROM ranked GROUP BY doc_id, source, place, size, source_size, target, sent
 """
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.kept_lines(documents(spark, sf_dir))
 
@@ -78,6 +82,11 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept", "score")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
@@ -85,7 +94,9 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_mixing": op3_mixing,
+    "op4_packing": op4_packing,
     "op5_line_dedup": op5_line_dedup,
+    "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
 }
 ORACLES: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op3_mixing": OP3_SQL, "op5_line_dedup": OP5_SQL}
