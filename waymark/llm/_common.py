@@ -42,7 +42,10 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 def with_row_key(df: DataFrame) -> DataFrame:
     """``df`` with the columns ROW, which name a row for good: a hash of its file's path and its
-    place in the file. A frame that isn't a plain Parquet scan is written to scratch first."""
+    place in the file. A frame that isn't a plain Parquet scan is written to scratch first; one that
+    has the columns already stays as it is."""
+    if set(ROW) <= set(df.columns):
+        return df
     for attempt in (df, None):
         attempt = attempt if attempt is not None else materialise(df, "rows")
         try:

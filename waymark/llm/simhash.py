@@ -124,9 +124,10 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", s
 def keep_one_of_each(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``df`` with one row of each component of near-duplicates: the one with the least id (of
     repeated ids, the first). Rows with nothing near them all stay."""
-    found = materialise(near_duplicates(df, text, doc_id), "near")
+    keyed = with_row_key(df)
+    found = materialise(near_duplicates(keyed, text, doc_id), "near")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *ROW)).alias("first")
     stay = materialise(found.groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"), first).where("rows > 1"), "stay")
     marked = lookup(found, stay, "cluster", "rows", found.count()).where("rows is not null")
     gone = materialise(marked.where(F.struct(*ROW) != F.struct(*(F.col("first")[c] for c in ROW))).select(*ROW), "gone")
-    return with_row_key(df).join(gone, list(ROW), "left_anti").select(*df.columns)
+    return keyed.join(gone, list(ROW), "left_anti").select(*df.columns)
