@@ -16,7 +16,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -111,14 +110,15 @@ def _stream(min_docs: int):
     return run
 
 
-def _bitmaps(n_lines: pd.Series, dropped: pd.Series) -> pd.Series:
-    def one(n: int, parts) -> bytes:
-        keep = np.ones(n, bool)
-        for p in parts:
-            keep[np.frombuffer(p, np.int32)] = False
-        return zlib.compress(np.packbits(keep).tobytes())
-
-    return pd.Series([one(n, p) for n, p in zip(n_lines, dropped)], dtype=object)
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        out = []
+        for n, parts in zip(b.column("n_lines").to_pylist(), b.column("gone").to_pylist()):
+            keep = np.ones(n, bool)
+            for p in parts:
+                keep[np.frombuffer(p, np.int32)] = False
+            out.append(zlib.compress(np.packbits(keep).tobytes()))
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(out, pa.binary())], [*ROW, "n_lines", "keep"])
 
 
 def keep_bitmaps(df: DataFrame, text: str = "text", doc_id: str = "doc_id", min_points: int = MIN_POINTS, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -132,8 +132,8 @@ def keep_bitmaps(df: DataFrame, text: str = "text", doc_id: str = "doc_id", min_
     total = decided.where(F.col("kind") == _COUNTED).groupBy("h1", "h2").agg(F.sum("docs").alias("all_docs"), F.max("doc").alias("top"))
     waiting = decided.where(F.col("kind") == _WAITS).join(F.broadcast(total.where(F.col("all_docs") >= min_docs)), ["h1", "h2"]).where("doc <> top")
     gone = decided.where(F.col("kind") == _GONE).select(*ROW, "n_lines", "lines").unionByName(waiting.select(*ROW, "n_lines", "lines"))
-    bitmap = F.pandas_udf(_bitmaps, "binary")
-    return gone.groupBy(*ROW).agg(F.max("n_lines").alias("n_lines"), F.collect_list("lines").alias("gone")).select(*ROW, "n_lines", bitmap("n_lines", "gone").alias("keep"))
+    by_row = gone.groupBy(*ROW).agg(F.max("n_lines").alias("n_lines"), F.collect_list("lines").alias("gone"))
+    return materialise(by_row.mapInArrow(_bitmaps, f"{ROW[0]} long, {ROW[1]} long, n_lines int, keep binary"), "bitmaps")
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,8 +152,9 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def without_repeated_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id", min_points: int = MIN_POINTS, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id, n_lines, n_dropped and kept (the text left, as UTF-8 bytes) of each row of ``df``."""
-    rows = with_row_key(df).select(F.col(doc_id).alias("doc_id"), *ROW, text_of(text).alias("text"))
-    joined = rows.join(keep_bitmaps(df, text, doc_id, min_points, min_docs).select(*ROW, "keep"), list(ROW), "left")
+    keyed = with_row_key(df)
+    rows = keyed.select(F.col(doc_id).alias("doc_id"), *ROW, text_of(text).alias("text"))
+    joined = rows.join(keep_bitmaps(keyed, text, doc_id, min_points, min_docs).select(*ROW, "keep"), list(ROW), "left")
     kind = rows.schema["doc_id"].dataType.simpleString()
     return joined.select("doc_id", "text", "keep").mapInArrow(_apply, f"doc_id {kind}, n_lines long, n_dropped long, kept binary")
 
