@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waymark.llm import exact_dedup, line_dedup, mixing, packing, quality, simhash
+from waymark.llm import exact_dedup, line_dedup, mixing, packing, pii, quality, simhash, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +82,10 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept", "score")
@@ -91,12 +95,18 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_mixing": op3_mixing,
     "op4_packing": op4_packing,
     "op5_line_dedup": op5_line_dedup,
+    "op7_toxicity": op7_toxicity,
     "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
+    "op10_pii": op10_pii,
 }
 ORACLES: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op3_mixing": OP3_SQL, "op5_line_dedup": OP5_SQL}
