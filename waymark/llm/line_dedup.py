@@ -154,7 +154,7 @@ def without_repeated_lines(df: DataFrame, text: str = "text", doc_id: str = "doc
     """doc_id, n_lines, n_dropped and kept (the text left, as UTF-8 bytes) of each row of ``df``."""
     keyed = with_row_key(df)
     rows = keyed.select(F.col(doc_id).alias("doc_id"), *ROW, text_of(text).alias("text"))
-    joined = rows.join(keep_bitmaps(keyed, text, doc_id, min_points, min_docs).select(*ROW, "keep"), list(ROW), "left")
+    joined = rows.join(keep_bitmaps(keyed, text, doc_id, min_points, min_docs).select(*ROW, "keep").hint("merge"), list(ROW), "left")
     kind = rows.schema["doc_id"].dataType.simpleString()
     return joined.select("doc_id", "text", "keep").mapInArrow(_apply, f"doc_id {kind}, n_lines long, n_dropped long, kept binary")
 
