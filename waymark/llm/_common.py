@@ -28,6 +28,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Rows of texts in one Arrow batch: 10,000 of Spark's default would be some 100 MB in each worker.
+TEXT_BATCH = 1_000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches, for operators that hand texts to Python."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= TEXT_BATCH:
+        spark.conf.set(name, str(TEXT_BATCH))
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as a table in the shared folder and reads it back, which cuts its lineage
     and survives lost executors. The table goes when the driver's JVM ends."""
@@ -67,6 +78,19 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str, n_rows: int
     return rows.join(few, key, "inner").unionByName(rest)
 
 
+def hash_sample(df: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """About the first ``n`` rows by a hash of ``keys``. A coarse cut by hash comes first, so that
+    no task hands on more than a few times its share of ``n`` rows; where equal keys make the cut
+    miss, all rows are ordered."""
+    hashed = df.withColumn("__order", F.xxhash64(*keys))
+    total = df.count()
+    if total > 4 * n:
+        cut = hashed.where(F.pmod(F.col("__order"), F.lit(1 << 30)) < int((1 << 30) * 2 * n / total))
+        if cut.count() >= n:
+            hashed = cut
+    return hashed.orderBy("__order", *keys).limit(n).drop("__order")
+
+
 def text_of(column: str):
     """The column with null as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

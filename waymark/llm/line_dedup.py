@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm._common import ROW, materialise, text_of, with_row_key
+from waymark.llm._common import ROW, materialise, text_batches, text_of, with_row_key
 
 MIN_POINTS = 40
 MIN_DOCS = 5
@@ -152,6 +152,7 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def without_repeated_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id", min_points: int = MIN_POINTS, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id, n_lines, n_dropped and kept (the text left, as UTF-8 bytes) of each row of ``df``."""
+    text_batches(df.sparkSession)
     keyed = with_row_key(df)
     rows = keyed.select(F.col(doc_id).alias("doc_id"), *ROW, text_of(text).alias("text"))
     joined = rows.join(keep_bitmaps(keyed, text, doc_id, min_points, min_docs).select(*ROW, "keep").hint("merge"), list(ROW), "left")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.llm._common import materialise, text_of
+from waymark.llm._common import materialise, text_batches, text_of
 
 WINDOW = 1024
 STEPS = 400
@@ -200,6 +200,7 @@ def pack(df: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int
     is a document, repeated rows and null ids too. Sequences are numbered from 0 without a gap;
     an empty table gives no rows. ids_crc32 is over the piece's ids as little-endian 32-bit words.
     """
+    text_batches(df.sparkSession)
     kind = df.schema[doc_id].dataType.simpleString()
     rows = df.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
     schema = f"doc_id {kind}, tokens long, task int, tail int, nth long, chunk long, crcs array<long>, ids binary"

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm._common import ROW, lookup, materialise, text_of, with_row_key
+from waymark.llm._common import ROW, lookup, materialise, text_batches, text_of, with_row_key
 from waymark.llm.components import connected_components
 
 SHINGLE = 3
@@ -62,6 +62,7 @@ def _fingerprints(shingle: int):
 
 def fingerprints(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
     """doc_id, ROW and print (long) of each row, as a scratch table."""
+    text_batches(df.sparkSession)
     rows = with_row_key(df).select(F.col(doc_id).alias("doc_id"), *ROW, text_of(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     return materialise(rows.mapInArrow(_fingerprints(shingle), f"doc_id {kind}, {ROW[0]} long, {ROW[1]} long, print long"), "prints")
@@ -130,4 +131,4 @@ def keep_one_of_each(df: DataFrame, text: str = "text", doc_id: str = "doc_id")
     stay = materialise(found.groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"), first).where("rows > 1"), "stay")
     marked = lookup(found, stay, "cluster", "rows", found.count()).where("rows is not null")
     gone = materialise(marked.where(F.struct(*ROW) != F.struct(*(F.col("first")[c] for c in ROW))).select(*ROW), "gone")
-    return keyed.join(gone, list(ROW), "left_anti").select(*df.columns)
+    return keyed.join(gone.hint("merge"), list(ROW), "left_anti").select(*(F.col(f"`{c}`") for c in df.columns))
