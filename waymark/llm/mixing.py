@@ -18,7 +18,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.llm._common import WORD, materialise, text_of
+from waymark.llm._common import ROW, WORD, materialise, text_of, with_row_key
 
 #: Rows a bucket should hold; there are 16 to 16 ** 4 buckets of a source.
 BUCKET_ROWS = 1_000
@@ -103,3 +103,15 @@ def mix(df: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str =
     taken = sum((x.cast("long") for x in inside[1:]), inside[0].cast("long"))
     taken = F.when(F.col("size") > 0, taken).otherwise(0)
     return queued.select("doc_id", "source", "size", "source_size", "target", taken.alias("copies"), (taken * F.col("size")).alias("taken"), *keep)
+
+
+def take(df: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", **options) -> DataFrame:
+    """The mix itself: each row of ``df`` as often as ``mix`` takes it, with the columns of ``df``.
+
+    Rows keep their place in their file as a key, so repeated rows and null ids are told apart.
+    Texts of size 0 are never taken, as they add no words.
+    """
+    keyed = with_row_key(df)
+    wanted = mix(keyed, text, doc_id, source, keep=ROW, **options).where("copies > 0").select(*ROW, F.col("copies").alias("__copies"))
+    each = keyed.join(wanted.hint("merge"), list(ROW)).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    return each.select(*(F.col(f"`{c}`") for c in df.columns))
