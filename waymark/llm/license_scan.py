@@ -92,7 +92,7 @@ def scan(df: DataFrame, text: str = "text", doc_id: str = "doc_id", templates: d
     bands = lambda frame, *by: frame.groupBy(*by).agg(*(_band("h", k).alias(f"b{k}") for k in range(BANDS))).select(*by, F.posexplode(F.array(*(f"b{k}" for k in range(BANDS)))).alias("band", "value"))
     wanted = bands(known, "template", "n", "scale")
     found = bands(placed, *key).join(F.broadcast(wanted), ["scale", "band", "value"]).select(*key, "template", "n").distinct()
-    exact = placed.join(found, key).join(F.broadcast(known.select("template", "h")), ["template", "h"])
+    exact = placed.join(found.hint("merge"), key).join(F.broadcast(known.select("template", "h")), ["template", "h"])
     matched = exact.groupBy("doc_id", *key, "template", "n").agg(F.countDistinct("h").alias("common"), F.min("pos").alias("start"), (F.max("pos") + SHINGLE).alias("end"))
     matched = matched.withColumn("containment", F.col("common") / F.col("n")).where(F.col("containment") >= contained)
     order = Window.partitionBy(*ROW, "template").orderBy("start", "end")
