@@ -9,9 +9,10 @@ A paragraph is a bag of SPAN - 4 = 22 shingles (repeats numbered). Equal paragra
 Bands join classes that begin with the same anchor shingle and share a MinHash of the others:
 at the least overlap that counts, 20 of 22 shingles (Jaccard 20 / 24 > 0.8), three bands of one
 row collide with a probability of 1 - (1 - 20 / 24) ** 3 = 0.995. Colliding classes are verified
-exactly. Buckets of up to ``PAIRS`` classes are paired; a larger bucket's classes are sent to each
-of their 231 subsets of 20 shingles, since two bags overlap in 20 exactly if they share one, so
-that nothing grows with the square of a bucket. Classes linked by either way are clustered by
+exactly. Buckets of up to ``PAIRS`` classes are paired. A larger bucket's classes are sent to
+their subsets of 20 shingles, since two bags overlap in 20 exactly if they share one, so that
+nothing grows with the square of a bucket. A shingle that no other such class has must be among
+the two left out: a class with three of them has no link, with two it has one subset, with one 21. Classes linked by either way are clustered by
 connected components, and of each cluster the document with the least id keeps its copy.
 """
 
@@ -129,17 +130,24 @@ def _bags_of(wanted, log2: int):
 
 
 def _subsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each subset of OVERLAP shingles of each bag."""
-    out = np.array(list(combinations(range(BAG), BAG - OVERLAP)))
+    """A row for each subset of OVERLAP shingles of each bag that keeps none of its lone ones."""
+    drop = BAG - OVERLAP
     for b in batches:
-        bags = np.array(b.column("bag").to_pylist(), np.int64).reshape(-1, BAG).view(np.uint64)
+        bags = np.array(b.column("bag").to_pylist(), np.int64).reshape(-1, BAG)
+        ids, rows, out = [], [], []
+        for k, (c, lone) in enumerate(zip(b.column("class").to_pylist(), b.column("lone").to_pylist())):
+            must = [i for i, x in enumerate(bags[k]) if int(x) in lone] if lone else []
+            for more in combinations([i for i in range(BAG) if i not in must], drop - len(must)):
+                ids.append(c)
+                rows.append(k)
+                out.append((*must, *more))
         with np.errstate(over="ignore"):
-            one, two = _mix(bags), _mix(bags ^ _A)
-            keys = [_mix(m.sum(1)[:, None] - m[:, out].sum(2)) for m in (one, two)]
-        for i in range(0, len(bags), 64):
-            n = len(keys[0][i : i + 64])
-            ids = np.repeat(b.column("class").to_numpy()[i : i + 64], len(out))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), *(pa.array(k[i : i + n].reshape(-1).view(np.int64)) for k in keys)], ["class", "s1", "s2"])
+            one, two = _mix(bags.view(np.uint64)), _mix(bags.view(np.uint64) ^ _A)
+            left = np.array(out, np.int64).reshape(-1, drop)
+            own = np.array(rows, np.int64)
+            keys = [m.sum(1)[own] - m[own[:, None], left].sum(1) for m in (one, two)]
+        for i in range(0, len(ids), 8192):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 8192], pa.int64()), *(pa.array(k[i : i + 8192].view(np.int64)) for k in keys)], ["class", "s1", "s2"])
 
 
 def class_links(df: DataFrame, cut: DataFrame, text: str, pairs: int = PAIRS) -> DataFrame:
@@ -162,7 +170,11 @@ def class_links(df: DataFrame, cut: DataFrame, text: str, pairs: int = PAIRS) ->
     few = materialise(members.where(F.col("n") <= pairs).join(bags, "class").select("key", "class", "bag"), "few")
     close = few.alias("a").join(few.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.class") < F.col("b.class")))
     paired = close.where(F.size(F.array_intersect("a.bag", "b.bag")) >= OVERLAP).select(F.col("a.class").alias("a"), F.col("b.class").alias("b"))
-    large = bags.join(members.where(F.col("n") > pairs).select("class").distinct(), "class", "left_semi")
+    large = materialise(bags.join(members.where(F.col("n") > pairs).select("class").distinct(), "class", "left_semi"), "large")
+    held_by = large.select("class", F.explode("bag").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("class"))
+    lone = held_by.where("n = 1").groupBy("class").agg(F.collect_list("shingle").alias("lone"))
+    none = F.array().cast("array<long>")
+    large = large.join(lone, "class", "left").withColumn("lone", F.coalesce("lone", none)).where(F.size("lone") <= BAG - OVERLAP)
     subsets = large.mapInArrow(_subsets, "class long, s1 long, s2 long").groupBy("s1", "s2")
     shared = materialise(subsets.agg(F.min("class").alias("a"), F.max("class").alias("b"), F.collect_set("class").alias("all")).where("a <> b"), "shared")
     return paired.unionByName(shared.select("a", F.explode("all").alias("b")).where("a <> b")).distinct()
