@@ -18,27 +18,31 @@ BUDGET_SHARES = (0.93, 0.86, 0.79)
 def detours(steps: DataFrame) -> DataFrame:
     """route_id, hinge, arc_start, arc_end (exclusive): every closed detour of each walk. Along the
     walk the path without loops is kept; where it meets a node it has, the arcs since then are a
-    detour, and the path is unwound to that node. steps: route_id, pos, u, v. A walk is one group:
-    it is as long as a person walks in a day."""
-
-    def loops(pdf):
-        pdf = pdf.sort_values("pos")
-        if not len(pdf):
-            return pd.DataFrame(columns=["route_id", "hinge", "arc_start", "arc_end"])
-        stack, on, rows = [(pdf.u.iloc[0], 0)], {pdf.u.iloc[0]: 0}, []
-        for k, v in enumerate(pdf.v):
-            if v in on:
-                rows.append((pdf.route_id.iloc[0], v, stack[on[v]][1], k + 1))
-                for node, _ in stack[on[v] + 1 :]:
-                    del on[node]
-                del stack[on[v] + 1 :]
-                stack[-1] = (v, k + 1)
-            else:
-                on[v] = len(stack)
-                stack.append((v, k + 1))
-        return pd.DataFrame(rows, columns=["route_id", "hinge", "arc_start", "arc_end"])
-
-    return steps.groupBy("route_id").applyInPandas(loops, "route_id long, hinge long, arc_start int, arc_end int")
+    detour, and the path is unwound to that node. steps: route_id, pos, u, v. A walk is one
+    row of arcs: it is as long as a person walks in a day."""
+
+    def loops(frames):
+        for f in frames:
+            rows = []
+            for route, arcs in zip(f.route_id, f.arcs):
+                if not len(arcs):
+                    continue
+                stack, on = [(arcs[0]["u"], 0)], {arcs[0]["u"]: 0}
+                for k, arc in enumerate(arcs):
+                    v = arc["v"]
+                    if v in on:
+                        rows.append((route, v, stack[on[v]][1], k + 1))
+                        for node, _ in stack[on[v] + 1 :]:
+                            del on[node]
+                        del stack[on[v] + 1 :]
+                        stack[-1] = (v, k + 1)
+                    else:
+                        on[v] = len(stack)
+                        stack.append((v, k + 1))
+            yield pd.DataFrame(rows, columns=["route_id", "hinge", "arc_start", "arc_end"])
+
+    walks = steps.groupBy("route_id").agg(F.array_sort(F.collect_list(F.struct("pos", "u", "v"))).alias("arcs"))
+    return walks.mapInPandas(loops, "route_id long, hinge long, arc_start int, arc_end int")
 
 
 def nesting(spans: DataFrame) -> DataFrame:

@@ -44,6 +44,7 @@ def cents(c):
 
 
 BY, ORDER = ["user_id"], ["ts", "event_id"]
+_LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
 _EVENTS = "WITH e AS (SELECT *, CAST(round(value * 100) AS BIGINT) AS cents, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM events)"
 
 
@@ -54,8 +55,8 @@ def _walks(spark: SparkSession, sf: str) -> DataFrame:
 #: Sets of event types that stand for trails, from the types there are: (name, types in order of name).
 def _sets(events: DataFrame) -> DataFrame:
     types = events.select("event_type").distinct().withColumn("k", F.row_number().over(Window.orderBy("event_type")))
-    own = F.array_compact(F.array(F.lit(1), F.when(F.col("k") <= 3, 2), F.when(F.col("k") % 2 == 0, 3), F.when(F.col("k") >= 4, 4)))
-    return types.select(F.explode(own).cast("long").alias("trail_id"), "event_type")
+    own = F.array_compact(F.array(F.lit(1), F.when(F.col("k") <= 3, 2), F.when(F.col("k") % 2 == 0, 3), F.when(F.col("k") >= 4, 4))).cast("array<long>")
+    return types.select(F.explode(own).alias("trail_id"), "event_type")
 
 
 _SETS = """types AS (SELECT event_type, row_number() OVER (ORDER BY event_type) AS k FROM (SELECT DISTINCT event_type FROM events)),
@@ -96,7 +97,7 @@ def forced_break_legs(spark, sf):
 
 
 @query(f"""{_EVENTS}, {_SETS}, firsts AS (SELECT user_id, event_type, min(pos) AS f FROM e GROUP BY ALL),
-done AS (SELECT user_id, trail_id, max(f) AS at FROM firsts JOIN sets USING (event_type) GROUP BY ALL HAVING count(*) = (SELECT n FROM need WHERE need.trail_id = sets.trail_id))
+done AS (SELECT user_id, trail_id, max(f) AS at FROM firsts JOIN sets USING (event_type) JOIN need USING (trail_id) GROUP BY user_id, trail_id, n HAVING count(*) = n)
 SELECT e.user_id, e.event_id, e.pos, (SELECT count(*) FROM done d WHERE d.user_id = e.user_id AND d.at <= e.pos) AS running_trails FROM e""")
 def running_completion(spark, sf):
     """How many sets are complete at each step."""
@@ -114,7 +115,7 @@ def completion_step(spark, sf):
 
 @query("""WITH l AS (SELECT DISTINCT o_custkey, l_partkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
 s AS (SELECT o_custkey, CAST(sum(CAST(round(p_retailprice * 100) AS BIGINT)) AS BIGINT) AS cents, count(DISTINCT p_brand) AS brands FROM l JOIN part ON p_partkey = l_partkey GROUP BY o_custkey)
-SELECT o_custkey, cents, brands, least(brands * 1.0, 40.0) + least(cents * 0.0001, 40.0) AS score FROM s""")
+SELECT o_custkey, cents, brands, least(brands * 1.0::DOUBLE, 40.0::DOUBLE) + least(cents * 0.0001::DOUBLE, 40.0::DOUBLE) AS score FROM s""")
 def score_capped(spark, sf):
     """Distinct parts of a customer, once each, and brands, both capped."""
     t = tables(spark, sf, "orders", "lineitem", "part")
@@ -225,8 +226,8 @@ def _sparse(spark, sf):
     return t["lineitem"].where("l_linenumber <= 2 and l_quantity >= 48").join(urgent, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("l_orderkey").alias("u"), (-F.col("l_partkey")).alias("v")).distinct()
 
 
-@query(_LINKS + """, both AS (SELECT u, v FROM edges UNION SELECT v, u FROM edges),
-reach AS (SELECT u AS node, u AS other FROM both UNION SELECT r.node, b.v FROM reach r JOIN both b ON b.u = r.other)
+@query(_LINKS + """, pairs AS (SELECT u, v FROM edges UNION SELECT v, u FROM edges),
+reach AS (SELECT u AS node, u AS other FROM pairs UNION SELECT r.node, b.v FROM reach r JOIN pairs b ON b.u = r.other)
 SELECT node, min(other) AS component FROM reach GROUP BY node""")
 def components(spark, sf):
     """Connected components of orders and parts that share large lines."""
@@ -340,7 +341,7 @@ def threshold_splits(spark, sf):
 
 @query(f"""{_EVENTS}, {_SETS}, r AS (SELECT *, sum(cents) OVER (PARTITION BY user_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS t FROM e), w AS (SELECT DISTINCT user_id, event_type FROM r WHERE t <= 100000),
 done AS (SELECT user_id, trail_id FROM w JOIN sets USING (event_type) JOIN need USING (trail_id) GROUP BY user_id, trail_id, n HAVING count(*) = n), k AS (SELECT user_id, count(*) AS n FROM done GROUP BY user_id)
-SELECT w.user_id, sum(types.k * 0.5) AS miles, coalesce(any_value(k.n), 0) AS trails, least(coalesce(any_value(k.n), 0) * 1.0, 40.0) + least(sum(types.k * 0.5), 40.0) AS score FROM w JOIN types USING (event_type) LEFT JOIN k ON k.user_id = w.user_id GROUP BY w.user_id""")
+SELECT w.user_id, sum(types.k * 0.5::DOUBLE) AS miles, coalesce(any_value(k.n), 0) AS trails, least(coalesce(any_value(k.n), 0) * 1.0::DOUBLE, 40.0::DOUBLE) + least(sum(types.k * 0.5::DOUBLE), 40.0::DOUBLE) AS score FROM w JOIN types USING (event_type) LEFT JOIN k ON k.user_id = w.user_id GROUP BY w.user_id""")
 def front_load_prefix(spark, sf):
     """The score of what is walked whole by a given time."""
     steps = _walks(spark, sf).withColumn("time_s", F.col("cents"))
@@ -420,14 +421,14 @@ def pace_monotonic(spark, sf):
     return publish.pace_monotonic(p)
 
 
-@query("""WITH w AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS pos FROM lineitem), n AS (SELECT *, lead(l_suppkey % 5) OVER (PARTITION BY l_orderkey ORDER BY pos) AS nxt FROM w),
+@query("""WITH w AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS pos FROM lineitem), n AS (SELECT *, lead(l_suppkey % 5) OVER (PARTITION BY l_orderkey ORDER BY pos) AS nxt FROM w),
 a AS (SELECT l_orderkey AS route_id, arg_min(l_suppkey % 5, pos) AS u, arg_max(l_partkey % 5, pos) AS v, min(CASE WHEN nxt <> l_partkey % 5 THEN pos END) AS gap, sum(l_quantity) AS t FROM n GROUP BY l_orderkey),
 p AS (SELECT route_id, CASE WHEN u <> 0 THEN 'starts away from the depot' WHEN v <> 0 THEN 'ends away from the depot' WHEN gap IS NOT NULL THEN 'break after step ' || gap WHEN t > 100 + 1e-6 THEN 'over budget' END AS problem FROM a)
 SELECT route_id, problem IS NULL AS ok, problem FROM p""")
 def route_validity(spark, sf):
     """What is wrong with a walk: its ends, a break, its time."""
-    line = _table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("route_id"), "l_linenumber", (F.col("l_suppkey") % 5).alias("u"), (F.col("l_partkey") % 5).alias("v"), F.col("l_quantity").alias("time_s"))
-    return walk.continuity(walk.positions(line, ["route_id"], ["l_linenumber"]), ["route_id"], F.lit(0), 100.0)
+    line = _table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("route_id"), *_LINE_ORDER, (F.col("l_suppkey") % 5).alias("u"), (F.col("l_partkey") % 5).alias("v"), F.col("l_quantity").alias("time_s"))
+    return walk.continuity(walk.positions(line, ["route_id"], _LINE_ORDER), ["route_id"], F.lit(0), 100.0)
 
 
 @query("""WITH t AS (SELECT o_orderkey AS route_id, round(o_totalprice, 2) AS total FROM orders), l AS (SELECT l_orderkey AS route_id, round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) AS parts, min(l_quantity) AS least FROM lineitem GROUP BY l_orderkey)
@@ -451,8 +452,9 @@ def manifest(spark, sf):
 
 def _routes(spark, sf) -> DataFrame:
     """Orders with their lines as steps between few nodes, from node to node."""
-    line = _table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("route_id"), "l_linenumber", (F.col("l_partkey") % 3).alias("v"), F.col("l_partkey").alias("edge_id"), (F.col("l_quantity") * 20).alias("time_s"), (F.col("l_quantity") / 10).alias("score_mi"), (F.col("l_partkey") % 40).alias("trail_id"))
-    steps = walk.positions(line, ["route_id"], ["l_linenumber"])
+    line = _table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("route_id"), *_LINE_ORDER, (F.col("l_partkey") % 3).alias("v"), F.col("l_partkey").alias("edge_id"), (F.col("l_quantity") * 20).alias("time_s"), (F.col("l_quantity") / 10).alias("score_mi"), (F.col("l_partkey") % 40).alias("trail_id"))
+    steps = walk.positions(line, ["route_id"], _LINE_ORDER)
+    steps = steps.drop(*_LINE_ORDER)
     return steps.withColumn("u", F.coalesce(F.lag("v").over(Window.partitionBy("route_id").orderBy("pos")), F.lit(0)))
 
 
