@@ -36,9 +36,9 @@ def test_links_connect_what_brute_force_connects(spark, pairs):
     keyed = sd.with_row_key(df)
     rows = keyed.select("doc_id", *sd.ROW, "text")
     keys = ", ".join(f"k{k} long" for k in range(sd.BANDS))
-    cut = sd.materialise(rows.mapInArrow(sd._cut, f"doc_id long, {sd.ROW[0]} long, {sd.ROW[1]} long, start int, class long, {keys}"), "cut")
+    cut = sd.materialise(rows.mapInArrow(sd._cut, f"doc_id long, {sd.ROW[0]} long, {sd.ROW[1]} long, start int, class long, anchor long, {keys}"), "cut")
     links = {tuple(r) for r in sd.class_links(keyed, cut, "text", pairs).collect()}
-    found = np.unique(np.concatenate([sd.paragraphs(t)[1] for t in texts]), axis=0)
+    found = np.unique(sd.cut_texts(texts)[2], axis=0)
     classes = sd._classes(found)[0].tolist()
     parent = {c: c for c in classes}
 
@@ -83,3 +83,13 @@ def test_edges_of_the_input(spark):
     got = sd.repeated_passages(df).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0, r.removed) for r in got) == [(False, 5, True), (False, 5, True), (True, 0, False)]
     assert sd.repeated_passages(df.limit(0)).count() == 0
+
+
+def test_cutting_does_not_depend_on_neighbours():
+    rnd = random.Random(6)
+    texts = ["", " ".join(words(rnd, 26)), "a b", " ".join(words(rnd, 27)), " ".join(words(rnd, 400)), "w " * 300, " ".join(words(rnd, 51))]
+    doc, start, found = sd.cut_texts(texts)
+    for k, t in enumerate(texts):
+        _, s, f = sd.cut_texts([t])
+        assert (s == start[doc == k]).all() and (f == found[doc == k]).all()
+    assert {1, 3, 4, 6} >= set(doc.tolist()) >= {4, 6} and [x for _, c in sd.chunks(texts, 50) for x in c] == texts

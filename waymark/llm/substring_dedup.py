@@ -11,7 +11,7 @@ at the least overlap that counts, 20 of 22 shingles (Jaccard 20 / 24 > 0.8), thr
 row collide with a probability of 1 - (1 - 20 / 24) ** 3 = 0.995. Colliding classes are verified
 exactly. Buckets of up to ``PAIRS`` classes are paired. A larger bucket's classes are sent to
 their subsets of 20 shingles, since two bags overlap in 20 exactly if they share one, so that
-nothing grows with the square of a bucket. A shingle that no other such class has must be among
+nothing grows with the square of a bucket. A shingle that no other such class with its anchor has must be among
 the two left out: a class with three of them has no link, with two it has one subset, with one 21. Classes linked by either way are clustered by
 connected components, and of each cluster the document with the least id keeps its copy.
 """
@@ -36,6 +36,8 @@ BAG = SPAN - SHINGLE + 1
 OVERLAP = 20
 BANDS = 3
 PAIRS = 64
+#: Characters of text that are cut at once; a longer text is cut whole.
+CHUNK = 1_000_000
 #: Distinct shingles a paragraph needs; fewer is a few words over and over, not a passage.
 LEAST_DISTINCT = BAG // 2
 _A = np.uint64(0x9E3779B97F4A7C15)
@@ -48,35 +50,70 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def paragraphs(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Start words of a text's paragraphs and their bags of shingles (one row each, hashed). Words
-    are separated by ASCII white space; A-Z are lower-cased."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    none = np.zeros(0, np.int64), np.zeros((0, BAG), np.uint64)
-    if len(words) < SPAN:
-        return none
+def cut_texts(texts: list[str], keep=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The paragraphs of texts: the text's number, the start word, and the anchor's hash followed
+    by the bag of shingles (one row each). Words are separated by ASCII white space; A-Z are
+    lower-cased. keep: a function of anchors' hashes that tells which are wanted."""
     code: dict[bytes, int] = {}
-    codes = np.fromiter((code.setdefault(w, len(code)) for w in words), np.int64, len(words))
+    split = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
+    sizes = np.array([len(x) for x in split], np.int64)
+    total = int(sizes.sum())
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, BAG + 1), np.uint64)
+    if total < SPAN:
+        return none
+    codes = np.fromiter((code.setdefault(w, len(code)) for x in split for w in x), np.int64, total)
     digest = xxhash.xxh64_intdigest
     w = np.fromiter((digest(x) for x in code), np.uint64, len(code))[codes]
-    n = len(words) - SHINGLE + 1
+    doc = np.repeat(np.arange(len(texts)), sizes)
+    place = np.arange(total) - (np.cumsum(sizes) - sizes)[doc]
+    left = sizes[doc] - place
+    n = total - SHINGLE + 1
     shingles = w[:n].copy()
     for k in range(1, SHINGLE):
         shingles = _mix(shingles) + w[k : n + k]
     shingles = _mix(shingles)
-    if n > SPREAD:
-        near = np.lib.stride_tricks.sliding_window_view(shingles, SPREAD)
-        anchors = np.unique(near.argmin(1) + np.arange(len(near)))
-    else:
-        anchors = np.array([shingles.argmin()])
-    anchors = anchors[anchors + SPAN <= len(words)]
+    # The least of SPREAD in a row: hashes with their place in the low bits, ties to the first.
+    bits = np.uint64(max(24, n.bit_length()))
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    least = (shingles & ~low) | np.arange(n, dtype=np.uint64)
+    least[left[:n] < SHINGLE] = ~np.uint64(0)
+    widths = {1: least}
+    for k in (1, 2, 4, 8):
+        widths[2 * k] = np.minimum(widths[k][:-k], widths[k][k:]) if len(widths[k]) > k else widths[k][:0]
+    found = []
+    if len(widths[8]) > 16:
+        runs = np.minimum(widths[16][: len(widths[8]) - 16], widths[8][16:])
+        found.append((runs[left[: len(runs)] >= SPREAD + SHINGLE - 1] & low).astype(np.int64))
+    for k in np.flatnonzero((sizes >= SPAN) & (sizes < SPREAD + SHINGLE - 1)):
+        first = int(sizes[:k].sum())
+        found.append(np.array([first + int(shingles[first : first + sizes[k] - SHINGLE + 1].argmin())]))
+    anchors = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    anchors = anchors[left[anchors] >= SPAN]
+    if keep is not None:
+        anchors = anchors[keep(shingles[anchors])]
+    if not len(anchors):
+        return none
     bags = np.sort(np.lib.stride_tricks.sliding_window_view(shingles, BAG)[anchors], 1)
     same = np.zeros(bags.shape, np.uint64)
     for k in range(1, BAG):
         same[:, k] = np.where(bags[:, k] == bags[:, k - 1], same[:, k - 1] + np.uint64(1), np.uint64(0))
     ok = (same == 0).sum(1) >= LEAST_DISTINCT
-    bags = np.where(same > 0, _mix(bags + same), bags)
-    return anchors[ok], np.concatenate([shingles[anchors[ok]][:, None], np.sort(bags[ok], 1)], 1)
+    anchors, bags, same = anchors[ok], bags[ok], same[ok]
+    again = same.any(1)
+    bags[again] = np.sort(np.where(same[again] > 0, _mix(bags[again] + same[again]), bags[again]), 1)
+    return doc[anchors], place[anchors], np.concatenate([shingles[anchors][:, None], bags], 1)
+
+
+def chunks(texts: list[str], size: int = CHUNK) -> Iterator[tuple[int, list[str]]]:
+    """Texts in runs of about ``size`` characters, each with the number of its first."""
+    at = begin = total = 0
+    for at, t in enumerate(texts):
+        total += len(t)
+        if total >= size:
+            yield begin, texts[begin : at + 1]
+            begin, total = at + 1, 0
+    if begin < len(texts):
+        yield begin, texts[begin:]
 
 
 def _classes(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -89,42 +126,37 @@ def _classes(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", *ROW, "start", "class", *(f"k{k}" for k in range(BANDS))]
+    names = ["doc_id", *ROW, "start", "class", "anchor", *(f"k{k}" for k in range(BANDS))]
     for b in batches:
-        own, starts, found = [], [], []
-        for i, t in enumerate(b.column("text")):
-            at, bags = paragraphs(t.as_py())
-            if len(at):
-                own.append(np.full(len(at), i))
-                starts.append(at)
-                found.append(_classes(bags))
-        if own:
-            rows = b.select(["doc_id", *ROW]).take(pa.array(np.concatenate(own)))
-            keys = np.concatenate([k for _, k in found])
-            columns = [np.concatenate(starts).astype(np.int32), np.concatenate([c for c, _ in found]), *keys.T.copy()]
-            yield pa.RecordBatch.from_arrays([*rows.columns, *map(pa.array, columns)], names)
+        for begin, texts in chunks(b.column("text").to_pylist()):
+            doc, start, found = cut_texts(texts)
+            if len(doc):
+                rows = b.select(["doc_id", *ROW]).take(pa.array(doc + begin))
+                classes, keys = _classes(found)
+                columns = [start.astype(np.int32), classes, found[:, 0].copy().view(np.int64), *keys.T.copy()]
+                yield pa.RecordBatch.from_arrays([*rows.columns, *map(pa.array, columns)], names)
 
 
 def _bags_of(wanted, log2: int):
-    """The bags of the classes whose hash may be among the wanted ones."""
+    """Class, anchor and bag of the paragraphs whose anchor may be among the wanted ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, mask, sent = wanted.value, np.uint64((1 << log2) - 1), set()
+
+        def keep(anchors: np.ndarray) -> np.ndarray:
+            cell = anchors & mask
+            return (bits[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
         for b in batches:
-            classes, bags = [], []
-            for t in b.column("text"):
-                at, found = paragraphs(t.as_py())
-                if len(at):
-                    own = _classes(found)[0]
-                    cell = own.view(np.uint64) & mask
-                    for k in np.flatnonzero((bits[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1):
-                        if len(sent) > 100_000:
-                            sent.clear()
-                        if (c := int(own[k])) not in sent:
-                            sent.add(c)
-                            classes.append(c)
-                            bags.append(found[k, 1:].view(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(bags, pa.list_(pa.int64()))], ["class", "bag"])
+            for _, texts in chunks(b.column("text").to_pylist()):
+                found = cut_texts(texts, keep)[2]
+                classes = _classes(found)[0]
+                fresh = [k for k, c in enumerate(classes.tolist()) if c not in sent]
+                if len(sent) > 100_000:
+                    sent.clear()
+                sent.update(classes[fresh].tolist())
+                rows = found[fresh].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(classes[fresh]), pa.array(rows[:, 0].copy()), pa.array(rows[:, 1:].tolist(), pa.list_(pa.int64()))], ["class", "anchor", "bag"])
 
     return run
 
@@ -153,8 +185,8 @@ def _subsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def class_links(df: DataFrame, cut: DataFrame, text: str, pairs: int = PAIRS) -> DataFrame:
     """Links a, b between classes of different paragraphs that overlap in OVERLAP shingles or more."""
     spark = df.sparkSession
-    keys = lambda frame: frame.select("class", F.explode(F.array(*(f"k{k}" for k in range(BANDS)))).alias("key"))
-    mixed = keys(cut).groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("key")
+    keys = lambda frame: frame.select("class", "anchor", F.explode(F.array(*(f"k{k}" for k in range(BANDS)))).alias("key"))
+    mixed = keys(cut.select("class", F.lit(0).alias("anchor"), *(f"k{k}" for k in range(BANDS)))).groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("key")
     mixed = materialise(mixed, "mixed")
     many = mixed.count()
     maybe = maybe_repeated(spark, *repeated_cells(mixed.unionByName(mixed), max(1, 2 * many)))
@@ -162,20 +194,21 @@ def class_links(df: DataFrame, cut: DataFrame, text: str, pairs: int = PAIRS) ->
     members = materialise(some.distinct().join(mixed, "key", "left_semi"), "members")
     sizes = materialise(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "sizes")
     members = materialise(lookup(members, sizes, "key", "n", max(1, members.count())), "members")
-    wanted = materialise(members.select("class").distinct(), "wanted")
-    bits, log2 = repeated_cells(wanted.unionByName(wanted), max(1, 2 * wanted.count()))
+    wanted = materialise(members.select("class", "anchor").distinct(), "wanted")
+    anchors = wanted.select("anchor").distinct()
+    bits, log2 = repeated_cells(anchors.unionByName(anchors), max(1, 2 * wanted.count()))
     held = spark.sparkContext.broadcast(bits)
-    bags = df.select(text_of(text).alias("text")).mapInArrow(_bags_of(held, log2), "class long, bag array<long>")
-    bags = materialise(bags.groupBy("class").agg(F.first("bag").alias("bag")).join(wanted, "class", "left_semi"), "bags")
-    few = materialise(members.where(F.col("n") <= pairs).join(bags, "class").select("key", "class", "bag"), "few")
+    bags = df.select(text_of(text).alias("text")).mapInArrow(_bags_of(held, log2), "class long, anchor long, bag array<long>")
+    bags = materialise(bags.join(wanted.select("class"), "class", "left_semi").groupBy("class").agg(F.first("anchor").alias("anchor"), F.first("bag").alias("bag")), "bags")
+    few = materialise(members.where(F.col("n") <= pairs).select("key", "class").join(bags, "class").select("key", "class", "bag"), "few")
     close = few.alias("a").join(few.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.class") < F.col("b.class")))
     paired = close.where(F.size(F.array_intersect("a.bag", "b.bag")) >= OVERLAP).select(F.col("a.class").alias("a"), F.col("b.class").alias("b"))
     large = materialise(bags.join(members.where(F.col("n") > pairs).select("class").distinct(), "class", "left_semi"), "large")
-    held_by = large.select("class", F.explode("bag").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("class"))
+    held_by = large.select("class", "anchor", F.explode("bag").alias("shingle")).groupBy("anchor", "shingle").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("class"))
     lone = held_by.where("n = 1").groupBy("class").agg(F.collect_list("shingle").alias("lone"))
     none = F.array().cast("array<long>")
     large = large.join(lone, "class", "left").withColumn("lone", F.coalesce("lone", none)).where(F.size("lone") <= BAG - OVERLAP)
-    subsets = large.mapInArrow(_subsets, "class long, s1 long, s2 long").groupBy("s1", "s2")
+    subsets = large.select("class", "bag", "lone").mapInArrow(_subsets, "class long, s1 long, s2 long").groupBy("s1", "s2")
     shared = materialise(subsets.agg(F.min("class").alias("a"), F.max("class").alias("b"), F.collect_set("class").alias("all")).where("a <> b"), "shared")
     return paired.unionByName(shared.select("a", F.explode("all").alias("b")).where("a <> b")).distinct()
 
@@ -195,7 +228,7 @@ def repeated_passages(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
     kind = df.schema[doc_id].dataType.simpleString()
     rows = keyed.select(F.col(doc_id).alias("doc_id"), *ROW, text_of(text).alias("text"))
     keys = ", ".join(f"k{k} long" for k in range(BANDS))
-    cut = materialise(rows.mapInArrow(_cut, f"doc_id {kind}, {ROW[0]} long, {ROW[1]} long, start int, class long, {keys}"), "paragraphs")
+    cut = materialise(rows.mapInArrow(_cut, f"doc_id {kind}, {ROW[0]} long, {ROW[1]} long, start int, class long, anchor long, {keys}"), "paragraphs")
     nodes = materialise(connected_components(class_links(keyed, cut, text, pairs)), "clusters")
     who = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", *ROW)
     classes = cut.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.min(who).alias("first"), F.max(who).alias("last"))
