@@ -79,8 +79,9 @@ def document(steps: DataFrame, totals: DataFrame, trails: DataFrame, corridors:
     s = steps.groupBy("route_id").agg(F.array_sort(F.collect_list(F.struct("leg", *(c for c in steps.columns if c not in ("route_id", "leg"))))).alias("steps"))
     t = trails.groupBy("route_id").agg(F.array_sort(F.collect_list(F.struct(F.col("completed_at").isNull().alias("missed"), "completed_at", "name"))).alias("trails"))
     c = corridors.groupBy("route_id").agg(F.array_sort(F.collect_list(F.struct(*(x for x in corridors.columns if x != "route_id")))).alias("corridors"))
-    out = totals.join(s, "route_id", "left").join(t, "route_id", "left").join(c, "route_id", "left")
-    parts = [F.struct(*(x for x in totals.columns if x != "route_id")).alias("totals"), "steps", "trails", "corridors"]
+    whole = totals.select("route_id", F.struct(*(x for x in totals.columns if x != "route_id")).alias("totals"))
+    out = whole.join(s, "route_id", "left").join(t, "route_id", "left").join(c, "route_id", "left")
+    parts = ["totals", "steps", "trails", "corridors"]
     if cuts is not None:
         out = out.join(cuts.withColumnRenamed("document", "adaptive"), "route_id", "left")
         parts.append("adaptive")
