@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waymark.functions import formats, speed, turns
-from waymark.operators import adapt, graph, pricing, publish, rules, scoring, topology, walk
+from waymark.operators import adapt, graph, pricing, publish, rules, scoring, search, topology, walk
 from waymark.params import Race, Speed
 from waymark.sources.readers import tables
 
@@ -496,3 +496,114 @@ def salvage(spark, sf):
 def trail_edges(spark, sf):
     """The set of edges of each trail."""
     return _sets(_table(spark, sf, "events")).groupBy("trail_id").agg(F.count(F.lit(1)).alias("edges"), F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("types"))
+
+
+def _event_graph(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """A small event's graph from nations: a depot, an edge to each nation, edges between those
+    that trade least; regions are trails."""
+    links = _arcs(spark, sf).join(_table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("u"), F.col("n_regionkey").cast("long").alias("trail_id"), "n_name"), "u")
+    pairs = links.where("u < v").select((F.col("u") + 1).alias("u"), (F.col("v") + 1).alias("v"), F.col("time_s").alias("t"), "trail_id", F.col("n_name").alias("name"))
+    spokes = _table(spark, sf, "nation").select(F.lit(0).cast("long").alias("u"), (F.col("n_nationkey") + 1).cast("long").alias("v"), (F.lit(40.0) + F.col("n_nationkey")).alias("t"), F.lit(None).cast("long").alias("trail_id"), F.lit("access").alias("name"))
+    rows = pairs.unionByName(spokes).withColumn("edge_id", F.row_number().over(Window.orderBy("u", "v")).cast("long"))
+    edges = rows.select("edge_id", "u", "v", F.col("t").alias("time_fwd_s"), (F.col("t") * 1.25).alias("time_rev_s"), F.lit(0.0).alias("gain_fwd_m"), F.lit(0.0).alias("gain_rev_m"), (F.col("t") * 20).alias("length_m"), F.when(F.col("trail_id").isNotNull(), F.col("t") / 60).otherwise(0.0).alias("score_mi"), "trail_id", F.lit(False).alias("off_trail"), "name")
+    return edges, graph.arcs(edges)
+
+
+@query()
+def trail_chains(spark, sf):
+    """Each trail's edges strung into one walk (a greedy walk per trail: no SQL; see the tests)."""
+    return graph.chains(_event_graph(spark, sf)[0])
+
+
+@query()
+def decoder(spark, sf):
+    """The two plain plans (cheapest next, best ratio) and the bound none can pass."""
+    edges, arcs = _event_graph(spark, sf)
+    p = search.problem(arcs, graph.shortest(arcs), graph.chains(edges), 0)
+    race = Race(budget_s=2_000.0)
+    rows = []
+    for name, order in (("greedy", search.greedy(p, race)), ("best ratio", search.best_ratio(p, race))):
+        found = search.decode(p, order, race)
+        rows.append((name, p.score(p.edges(found), race), p.seconds(found), len(found)))
+    plans = spark.createDataFrame(rows, "plan string, score double, time_s double, arcs int")
+    bound = scoring.knapsack_bound(edges, edges.where("trail_id is not null").select("trail_id", "edge_id"), race)
+    return plans.withColumn("bound", F.lit(bound.first().bound))
+
+
+@query()
+def alns_grid(spark, sf):
+    """Seeds and options searched side by side, one task each."""
+    edges, arcs = _event_graph(spark, sf)
+    p = search.problem(arcs, graph.shortest(arcs), graph.chains(edges), 0)
+    rows = [(option, seed, [1] if option == "b" else [], [1] if option == "c" else [], 1.0 if option == "d" else None) for option in "abcd" for seed in (1, 2)]
+    grid = spark.createDataFrame(rows, "option string, seed long, require array<long>, forbid array<long>, floor double")
+    return search.solve_grid(spark, p, grid, 40, Race(budget_s=2_000.0))
+
+
+_DIM = """WITH l AS (SELECT l_orderkey AS route_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS pos, CAST(l_quantity * 20 AS BIGINT) AS secs FROM lineitem)"""
+
+
+@query(_DIM + """, c AS (SELECT route_id, pos, CAST(sum(secs) OVER (PARTITION BY route_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS BIGINT) AS elapsed_s, CAST(sum(secs) OVER (PARTITION BY route_id) AS BIGINT) AS total FROM l)
+SELECT route_id, pos, elapsed_s, 2000 - elapsed_s - (total - elapsed_s) // 2 AS slack_s FROM c""")
+def bail_out_slack(spark, sf):
+    """After each step: the clock, and what is left if the way home takes half of what remains."""
+    steps = _routes(spark, sf)
+    w = Window.partitionBy("route_id").orderBy("pos")
+    run = steps.withColumn("elapsed_s", F.sum(F.col("time_s").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum(F.col("time_s").cast("long")).over(Window.partitionBy("route_id")))
+    return run.select("route_id", "pos", "elapsed_s", (F.lit(2000) - F.col("elapsed_s") - F.floor((F.col("total") - F.col("elapsed_s")) / 2)).alias("slack_s"))
+
+
+@query(_DIM + ", s AS (SELECT route_id, pos AS arc_start, pos + 2 AS arc_end FROM l WHERE pos % 3 = 1) SELECT l.route_id, pos, secs FROM l WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.route_id = l.route_id AND l.pos >= arc_start AND l.pos < arc_end)")
+def without_spans(spark, sf):
+    """The steps that are left when spans are dropped (a range anti join within a walk)."""
+    steps = _routes(spark, sf).select("route_id", "pos", F.col("time_s").cast("long").alias("secs"))
+    spans = steps.where("pos % 3 = 1").select("route_id", F.col("pos").alias("arc_start"), (F.col("pos") + 2).alias("arc_end"))
+    return adapt.without_spans(steps, spans, ["route_id"])
+
+
+@query(_EDGES + """, m AS (SELECT trail_id, CAST(sum(CAST(time_fwd_s AS BIGINT)) AS BIGINT) AS ours, CAST(sum(CAST(time_rev_s AS BIGINT)) AS BIGINT) AS theirs FROM edges WHERE trail_id IS NOT NULL GROUP BY trail_id)
+SELECT trail_id, ours, theirs, ours - theirs AS diff, round(100.0::DOUBLE * (ours - theirs) / greatest(theirs, 10), 1) AS pct FROM m""")
+def gain_check(spark, sf):
+    """Sums per trail against a second source, in percent of at least ten."""
+    e = _edges(spark, sf).where("trail_id is not null").groupBy("trail_id").agg(F.sum(F.col("time_fwd_s").cast("long")).alias("ours"), F.sum(F.col("time_rev_s").cast("long")).alias("theirs"))
+    return e.withColumns({"diff": F.col("ours") - F.col("theirs"), "pct": F.round(100.0 * (F.col("ours") - F.col("theirs")) / F.greatest("theirs", F.lit(10)), 1)})
+
+
+@query("""WITH a AS (SELECT n_name AS name FROM nation WHERE n_regionkey < 3), b AS (SELECT n_name AS name FROM nation WHERE n_regionkey > 1) SELECT name, 'missing' AS side FROM a WHERE name NOT IN (SELECT name FROM b) UNION ALL SELECT name, 'extra' FROM b WHERE name NOT IN (SELECT name FROM a)""")
+def manifest_difference(spark, sf):
+    """What a listing has and the folder lacks, and the other way round."""
+    n = _table(spark, sf, "nation")
+    a, b = n.where("n_regionkey < 3").select(F.col("n_name").alias("name")), n.where("n_regionkey > 1").select(F.col("n_name").alias("name"))
+    return a.exceptAll(b).withColumn("side", F.lit("missing")).unionByName(b.exceptAll(a).withColumn("side", F.lit("extra")))
+
+
+@query("""WITH ends AS (SELECT l_partkey % 500 AS node_id, l_orderkey AS osm_id, l_linenumber AS pos FROM lineitem WHERE l_quantity > 49) SELECT node_id, count(*) AS ways FROM ends GROUP BY node_id HAVING count(*) > 1""")
+def shared_nodes(spark, sf):
+    """Nodes that more than one way goes through."""
+    from waymark.sources.readers import shared_nodes as shared
+
+    ends = _table(spark, sf, "lineitem").where("l_quantity > 49").select((F.col("l_partkey") % 500).alias("node_id"), F.col("l_orderkey").alias("osm_id"), F.col("l_linenumber").alias("pos"), F.lit(0.0).alias("lon"), F.lit(0.0).alias("lat"))
+    return shared(ends).select("node_id", "ways")
+
+
+@query("""WITH p AS (SELECT p_partkey AS trail_id, round(p_retailprice, 2) AS m, p_size / 100.0::DOUBLE AS official FROM part) SELECT trail_id, round(m / 1609.344, 3) AS computed_mi, round(m / 1609.344 - official, 3) AS delta_mi, round(100 * (m / 1609.344 - official) / greatest(official, 0.05), 1) AS pct FROM p""")
+def length_check(spark, sf):
+    """Computed lengths against official ones, in percent of at least 0.05."""
+    p = _table(spark, sf, "part").select(F.col("p_partkey").alias("trail_id"), F.round("p_retailprice", 2).alias("length_m"), (F.col("p_size") / 100.0).alias("official_dist_mi"))
+    return pricing.length_check(p).select("trail_id", "computed_mi", "delta_mi", "pct")
+
+
+@query("""WITH ours AS (SELECT p_partkey AS k, p_retailprice AS a, CAST(p_size AS DOUBLE) AS b FROM part), stored AS (SELECT p_partkey AS k, round(p_retailprice, 0) AS a, CAST(p_size AS DOUBLE) AS b FROM part) SELECT max(abs(o.a - s.a)) AS a, max(abs(o.b - s.b)) AS b FROM ours o JOIN stored s USING (k)""")
+def reprice_drift(spark, sf):
+    """The largest difference of each column to what is stored."""
+    part = _table(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.col("p_retailprice").alias("a"), F.col("p_size").cast("double").alias("b"))
+    return publish.drift(part, part.withColumn("a", F.round("a", 0)), "k", ["a", "b"])
+
+
+@query("""SELECT o_orderkey, floor(o_totalprice / 10000 * 10 + 1e-9) / 10 AS points, CASE WHEN o_totalprice / 60 > 1e-9 THEN round(100 / (o_totalprice / 60), 6) ELSE 'inf'::DOUBLE END AS per_minute,
+  CASE WHEN o_totalprice / 10000 >= 40 THEN 'miles' ELSE '' END AS caps FROM orders""")
+def caps_and_rates(spark, sf):
+    """Caps a score has reached; points per minute; a score cut to a tenth."""
+    o = _table(spark, sf, "orders")
+    p = F.col("o_totalprice") / 10000
+    return o.select("o_orderkey", F.floor(p * 10 + 1e-9).cast("double").alias("__p"), F.round(formats.points_per_minute(F.lit(100.0), F.col("o_totalprice") / 60), 6).alias("per_minute"), F.array_join(scoring.caps(p, F.lit(0)), ",").alias("caps")).select("o_orderkey", (F.col("__p") / 10).alias("points"), "per_minute", "caps")
