@@ -14,7 +14,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,12 +45,12 @@ def repeated_cells(keys: DataFrame, n_rows: int, cells_per_row: int = CELLS_PER_
                 [pa.array(blocks[i : i + 4096].astype(np.int32)), pa.array([np.concatenate(x).tobytes() for x in each], pa.binary())], ["block", "cells"]
             )
 
-    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
-        hits = sum(np.bincount(np.frombuffer(x, np.uint16), minlength=1 << BLOCK) for x in pdf["cells"])
+    def merged(part: pa.Table) -> pa.Table:
+        hits = sum(np.bincount(np.frombuffer(x.as_py(), np.uint16), minlength=1 << BLOCK) for x in part["cells"])
         bits = np.packbits(hits > 1, bitorder="little")
-        return pd.DataFrame({"block": pdf["block"].iloc[:1], "bits": [bits.tobytes()]}) if bits.any() else pd.DataFrame({"block": pd.Series([], dtype="int32"), "bits": []})
+        return pa.table({"block": part["block"][:1], "bits": pa.array([bits.tobytes()], pa.binary())}).slice(0, int(bits.any()))
 
-    found = keys.mapInArrow(seen, "block int, cells binary").groupBy("block").applyInPandas(merged, "block int, bits binary")
+    found = keys.mapInArrow(seen, "block int, cells binary").groupBy("block").applyInArrow(merged, "block int, bits binary")
     bits = np.zeros((1 << log2) >> 3, np.uint8)
     size = (1 << BLOCK) >> 3
     for block, part in found.toLocalIterator():
@@ -63,12 +62,11 @@ def maybe_repeated(spark, bits: np.ndarray, log2: int):
     """A function of a hash column: false only where no other row has the same hash."""
     held, mask = spark.sparkContext.broadcast(bits), (1 << log2) - 1
 
-    @F.pandas_udf("boolean")
-    def maybe(keys: pd.Series) -> pd.Series:
-        cell = keys.to_numpy().view(np.uint64) & np.uint64(mask)
-        return pd.Series((held.value[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1)
+    def maybe(keys: pa.Array) -> pa.Array:
+        cell = keys.to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64(mask)
+        return pa.array((held.value[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1)
 
-    return maybe
+    return F.arrow_udf(maybe, "boolean")
 
 
 def exact_groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
