@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm._common import materialise, text_of
+from waymark.llm._common import hash_sample, materialise, text_batches, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 #: Kinds of candidates, after the base kinds in a list of spans.
@@ -227,6 +227,7 @@ def find(df: DataFrame, text: str = "text", doc_id: str = "doc_id", fit_rows: in
     like any other; an empty table gives no rows. EM counts the vote patterns of all candidates;
     the classifier is trained on at most ``fit_rows`` of them, picked by hash.
     """
+    text_batches(df.sparkSession)
     kind = df.schema[doc_id].dataType.simpleString()
     rows = df.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
     found = materialise(rows.mapInArrow(_propose, f"doc_id {kind}, base {_SPAN}, candidates {_CANDIDATE}"), "spans")
@@ -236,7 +237,7 @@ def find(df: DataFrame, text: str = "text", doc_id: str = "doc_id", fit_rows: in
     if counted:
         patterns, counts = np.array([r.votes for r in counted]), np.array([r.n for r in counted], float)
         soft = dict(zip(map(tuple, patterns.tolist()), reliabilities(patterns, counts)[2]))
-        sample = each.orderBy(F.xxhash64("doc_id", "c.start")).select("c.votes", "c.features").limit(fit_rows).collect()
+        sample = hash_sample(each.select("doc_id", "c.*"), ["doc_id", "start", "end"], fit_rows).select("votes", "features").collect()
         weights = train([r.features for r in sample], np.array([soft[tuple(r.votes)] for r in sample]))
     held = df.sparkSession.sparkContext.broadcast(weights)
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm._common import SPACE, materialise, text_of
+from waymark.llm._common import SPACE, hash_sample, materialise, text_batches, text_of
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -154,6 +154,7 @@ def judge(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     Null text counts as empty and fails the base rules. Without labelled good rows the base rules
     decide alone. Repeated rows are judged alike; an empty table gives no rows.
     """
+    text_batches(df.sparkSession)
     kind = df.schema[doc_id].dataType.simpleString()
     rows = df.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
     columns = ", ".join(f"{c} long" for c in (*COUNTS, *MORE))
@@ -161,7 +162,7 @@ def judge(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     good = stats.join(materialise(marks, "marks"), "doc_id").where("quality = 1")
-    sample = good.orderBy(F.xxhash64("doc_id", *COUNTS)).select(*COUNTS, *MORE).limit(fit_rows).collect()
+    sample = hash_sample(good, ["doc_id", *COUNTS], fit_rows).select(*COUNTS, *MORE).collect()
     base = stats.withColumn("base_failed", failed)
     if not sample:
         return base.select("doc_id", *COUNTS, "base_failed", F.lit(0.0).alias("score"), (~F.col("base_failed")).alias("kept"))
