@@ -34,6 +34,16 @@ def smooth(z: np.ndarray, sigma_px: float) -> np.ndarray:
     return np.where(holes, np.nan, filled)
 
 
+def clip(pixels: DataFrame, edges: DataFrame, x0: float, y0: float, resolution: float, pad: float) -> DataFrame:
+    """The pixels within ``pad`` metres of the box around all edges; a range filter that reaches the
+    scan of a raster stored by row and column."""
+    p = edges.select(F.explode("coords").alias("p"))
+    x_min, x_max, y_min, y_max = p.agg(F.min("p.x"), F.max("p.x"), F.min("p.y"), F.max("p.y")).first()
+    cols = int((x_min - pad - x0) // resolution), int((x_max + pad - x0) // resolution)
+    rows = int((y0 - y_max - pad) // resolution), int((y0 - y_min + pad) // resolution)
+    return pixels.where(F.col("row").between(*rows) & F.col("col").between(*cols))
+
+
 def smooth_tiles(pixels: DataFrame, sigma_px: float, tile: int = 256) -> DataFrame:
     """row, col, z of a raster, smoothed tile by tile with a halo as wide as the kernel, so that no
     task holds more than one tile. Holes take their tile's mean."""

@@ -89,8 +89,11 @@ def document(steps: DataFrame, totals: DataFrame, trails: DataFrame, corridors:
 
 
 def completion_order(steps: DataFrame, by: list[str], trails: DataFrame, names: DataFrame, pos: str = "pos", edge: str = "edge_id") -> DataFrame:
-    """Each trail of a walk's with completed_at, unfinished ones null and last, then by name."""
-    done = walk.completions(steps, by, edge, pos, trails).join(names, "trail_id", "left")
+    """Every trail of ``names`` (trail_id, name) for every walk, with completed_at; unfinished ones
+    null and last, then by name."""
+    listed = names.agg(F.collect_set(F.struct("trail_id", "name")).alias("all")).withColumn("one", F.lit(1))
+    every = steps.select(*by).distinct().withColumn("one", F.lit(1)).join(F.broadcast(listed), "one").select(*by, F.explode("all").alias("t")).select(*by, "t.*")
+    done = every.join(walk.completions(steps, by, edge, pos, trails), [*by, "trail_id"], "left")
     return done.orderBy(*by, F.col("completed_at").asc_nulls_last(), "name")
 
 

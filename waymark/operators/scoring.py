@@ -30,7 +30,7 @@ def evaluate(steps: DataFrame, by: list[str], edges: DataFrame, trails: DataFram
     """Per walk: score, unique_miles, trails_completed, walked, offtrail, repeat, time_h, feasible,
     n_arcs. Roads count as repeat here, as they are no off-trail edges."""
     known = edges.select("edge_id", "length_m", "off_trail")
-    sums = steps.join(known, "edge_id", "left").groupBy(*by).agg(
+    sums = steps.select(*by, "edge_id", "time_s").join(known, "edge_id", "left").groupBy(*by).agg(
         (F.coalesce(F.sum("length_m"), F.lit(0.0)) / METRES_PER_MILE).alias("walked_miles"),
         (F.sum(F.when(F.col("off_trail"), F.col("length_m")).otherwise(0.0)) / METRES_PER_MILE).alias("offtrail_miles"),
         (F.sum("time_s") / 3600).alias("time_h"), (F.sum("time_s") <= race.budget_s + 1e-6).alias("feasible"), F.count(F.lit(1)).alias("n_arcs"),

@@ -277,6 +277,13 @@ def large_neighbourhood(p: Problem, seed: int, iterations: int, race: Race = Rac
     return {"order": best, "walk": walk, "score": p.score(p.edges(walk), race), "time_s": p.seconds(walk), "breaches": breaches(p, walk, rule), "shed_s": shed_seconds(p, walk)}
 
 
+def adaptive(p: Problem, seed: int, iterations: int, floor: float, race: Race = Race()) -> dict:
+    """A walk at or above the floor that can shed as much as possible: half the steps go to the plain
+    score, the rest on from there."""
+    plain = large_neighbourhood(p, seed, iterations // 2, race)
+    return large_neighbourhood(p, seed, iterations - iterations // 2, race, floor=floor, start=plain["order"])
+
+
 def exact(p: Problem, race: Race = Race(), rule: Rule = Rule()) -> dict:
     """The best closed walk of a tiny graph, by enumerating walks that don't pass an arc more than
     twice; for tests and for bounding the search on toy networks."""

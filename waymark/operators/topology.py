@@ -283,3 +283,39 @@ def validation(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     counts = nodes.agg(F.lit("nodes").alias("check"), F.count(F.lit(1)).cast("double").alias("value"))
     ends = graph.dangles(edges).agg(F.lit("dangles").alias("check"), F.count(F.lit(1)).cast("double").alias("value"))
     return stacked.unionByName(counts).unionByName(ends)
+
+
+def projected(lines: DataFrame, zone_lon: float, back: bool = False) -> DataFrame:
+    """Lines with coords turned from longitude and latitude to metres of a zone, or back."""
+
+    def turn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        way = planar.inverse_mercator if back else planar.transverse_mercator
+        for f in frames:
+            sizes = [len(c) for c in f.coords]
+            flat = np.concatenate([line(c) for c in f.coords]) if len(f) else np.zeros((0, 2))
+            x, y = way(flat[:, 0], flat[:, 1], zone_lon)
+            yield f.assign(coords=[points(p) for p in np.split(np.stack([x, y], 1), np.cumsum(sizes)[:-1])] if len(f) else [])
+
+    return lines.mapInPandas(turn, lines.schema)
+
+
+def published_lines(lines: DataFrame, zone_lon: float, tolerance: float = 2.0, decimals: int = 5) -> DataFrame:
+    """id and coords (latitude, longitude pairs as arrays) for a map: simplified in metres, turned
+    to degrees and rounded."""
+
+    def shrink(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for c in f.coords:
+                x, y = planar.simplify(line(c), tolerance).T
+                lon, lat = planar.inverse_mercator(x, y, zone_lon)
+                out.append(np.round(np.stack([lat, lon], 1), decimals).tolist())
+            yield pd.DataFrame({"id": f.id, "coords": out})
+
+    return lines.select("id", "coords").mapInPandas(shrink, "id long, coords array<array<double>>")
+
+
+def junctions(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Nodes where three or more ends meet: id, x, y."""
+    busy = graph.degrees(edges).where("degree >= 3").select(F.col("node").alias("node_id"))
+    return nodes.join(busy, "node_id", "left_semi").select(F.col("node_id").alias("id"), "x", "y")
