@@ -1,7 +1,7 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling.
 
-A word enters as what its hash and its character n-grams (3 to 5) tell: their log-odds on the
-training documents and fixed random projections. Windows of 64 words, each overlapping the next
+A word enters as what its hash, its character n-grams (3 to 5 bytes) and its beginnings (4 to 12)
+tell: their log-odds on the training documents and fixed random projections. Windows of 64 words, each overlapping the next
 by half, run through a GRU in both directions; attention pools the states into one logit. A
 document scores as its most toxic window, over its whole text. Everything is numpy; training picks
 each document's worst window under the current model, so that a label on a whole document teaches
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm._common import materialise, text_of
+from waymark.llm._common import hash_sample, materialise, text_batches, text_of
 
 WINDOW, STRIDE, HIDDEN, ATTEND = 64, 32, 8, 8
 #: Bounds on the labelled documents that the network is trained on, by label.
@@ -60,6 +60,12 @@ class Words:
                 h = (gram[ok] + np.uint64(k << 48)) * _MIX[2]
                 ids.append(owner[ok])
                 buckets.append(((h ^ (h >> np.uint64(31))) * _MIX[3]) >> np.uint64(48))
+        # Beginnings of 4 to 12 bytes: stems that endings are glued to.
+        sums = np.cumsum(whole * _MIX[2]) if n else whole
+        begun = sums - np.repeat(sums[starts] - whole[starts] * _MIX[2], sizes)
+        ok = (place >= 3) & (place < 12) & (left > 1)
+        ids.append(owner[ok])
+        buckets.append((((begun[ok] ^ (begun[ok] >> np.uint64(31))) + _MIX[1]) * _MIX[3]) >> np.uint64(48))
         word = ((word ^ (word >> np.uint64(31))) * _MIX[3]) >> np.uint64(48)
         return word.astype(np.int64), np.concatenate(ids), np.concatenate(buckets).astype(np.int64)
 
@@ -280,7 +286,7 @@ def fit(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc
     shares = dict(known.groupBy("toxic").count().collect())
     if not shares.get(0) or not shares.get(1):
         return None
-    chosen = known.where("toxic = 0").orderBy(F.xxhash64("doc_id")).limit(fit_rows[0]).unionByName(known.where("toxic = 1").orderBy(F.xxhash64("doc_id")).limit(fit_rows[1]))
+    chosen = hash_sample(known.where("toxic = 0"), ["doc_id"], fit_rows[0]).unionByName(hash_sample(known.where("toxic = 1"), ["doc_id"], fit_rows[1]))
     rows = df.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
     return train([r.text for r in rows], np.array([r.toxic for r in rows]), shares[1] / (shares[0] + shares[1]))
 
@@ -294,24 +300,15 @@ def score(df: DataFrame, net: Network | None, text: str = "text", into: str = "s
     texts without a word score 0."""
     if net is None:
         return df.withColumn(into, F.lit(0.0))
+    text_batches(df.sparkSession)
     held = df.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             yield pa.array(list(held.value.document_scores(t.as_py() for t in texts)), pa.float64())
 
-    return df.withColumn(into, F.arrow_udf(run, "double", F.ArrowUDFType.SCALAR_ITER)(text_of(text)) if hasattr(F, "ArrowUDFType") else _pandas(run)(text_of(text)))
-
-
-def _pandas(run):
-    import pandas as pd
-
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in run(pa.array(b) for b in batches):
-            yield s.to_pandas()
-
-    scored.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(scored, "double")
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return df.withColumn(into, F.arrow_udf(run, "double")(text_of(text)))
 
 
 def judge(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
