@@ -51,21 +51,23 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _is_scan(df: DataFrame) -> bool:
+    """Whether each row of ``df`` is a row of a file: a scan, perhaps filtered and projected."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.children().size() == 1 and node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().head()
+    return "LogicalRelation" in node.getClass().getName()
+
+
 def with_row_key(df: DataFrame) -> DataFrame:
     """``df`` with the columns ROW, which name a row for good: a hash of its file's path and its
-    place in the file. A frame that isn't a plain Parquet scan is written to scratch first; one that
-    has the columns already stays as it is."""
+    place in the file. A frame that isn't a scan of files is written to scratch first; one that has
+    the columns already stays as it is."""
     if set(ROW) <= set(df.columns):
         return df
-    for attempt in (df, None):
-        attempt = attempt if attempt is not None else materialise(df, "rows")
-        try:
-            meta = attempt.metadataColumn("_metadata")
-            return attempt.select("*", F.xxhash64(meta["file_path"]).alias(ROW[0]), meta["row_index"].alias(ROW[1]))
-        except Exception as e:
-            if "AnalysisException" not in type(e).__name__ or attempt is not df:
-                raise
-    raise AssertionError
+    scan = df if _is_scan(df) else materialise(df, "rows")
+    meta = scan.metadataColumn("_metadata")
+    return scan.select("*", F.xxhash64(meta["file_path"]).alias(ROW[0]), meta["row_index"].alias(ROW[1]))
 
 
 def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str, n_rows: int, hot: int = 256) -> DataFrame:
