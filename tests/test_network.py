@@ -98,3 +98,23 @@ def test_projection_round_trip(spark):
 def test_junctions(spark):
     edges, nodes = topology.build(tracks(spark))
     assert topology.junctions(edges, nodes).count() == 4
+
+
+def test_presets(spark, tmp_path):
+    from waymark.operators import pricing
+    from waymark.plans import presets
+
+    edges, nodes = topology.build(tracks(spark), depot=(0.0, -30.0))
+    edges = edges.cache()
+    profiles = pricing.stations(edges, 10.0).selectExpr("*", "y * 0.05 AS z")
+    depot = nodes.where("is_depot").first().node_id
+    p = Params().with_(race={"budget_s": 1500.0})
+    rows = presets.build(spark, edges, profiles, depot, (2,), str(tmp_path / "o"), [4.0, 6.0], "abcd", 1, 25, p)
+    by = {(r["mph"], r["option"]): r for r in rows}
+    for v in (4.0, 6.0):
+        assert by[v, "a"]["score"] >= by[v, "c"]["score"] - 1e-9 and by[v, "d"]["score"] >= by[v, "a"]["score"] - 3.0 - 1e-9
+    assert by[6.0, "a"]["score"] > by[4.0, "a"]["score"]
+    doc = json.loads(spark.read.text(f"{tmp_path}/o/preset_s60a.json").first().value)
+    assert doc["totals"]["mph"] == 6.0 and doc["totals"]["delta_vs_free"] == 0.0
+    listed = json.loads(spark.read.text(f"{tmp_path}/o/manifest").first().value)
+    assert [x["mph"] for x in listed] == [4.0, 6.0] and {x["file"] for x in listed[1]["presets"]} == {r["file"] for r in rows if r["mph"] == 6.0}
