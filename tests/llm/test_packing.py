@@ -6,6 +6,8 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from waymark.llm import packing
@@ -68,3 +70,19 @@ def test_plan_uses_no_length_more_than_it_occurs():
         per = np.bincount(p.length, p.until - p.since, 1024).astype(int) if len(p.length) else np.zeros(1024, int)
         assert (per == p.rest_since).all() and (per <= h).all()
     assert packing.plan(rnd.integers(90, 110, 1024)).templates > 0.95 * 100 * 1023 / 2.6 / 1.2
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(max_size=80) | st.text(st.sampled_from("ab' \n\t1.,!éß€😀"), max_size=200))
+def test_ranks_give_the_tokenizers_ids(text):
+    want = TOKENIZER.encode(text, add_special_tokens=False).ids
+    assert ENCODER(text).tolist() == [*want, 0]
+
+
+TOKENIZER = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+ENCODER = packing._encoder(public_tokenizers.path("byte_bpe_50k.json"), 0)
+
+
+def test_long_words_and_special_strings():
+    for text in ("x" * 5000, "é" * 3000, "<|endoftext|>", "a<|endoftext|>b <|endoftext|", "﻿​", "😀" * 500, "1" * 999):
+        assert ENCODER(text).tolist() == [*TOKENIZER.encode(text, add_special_tokens=False).ids, 0]
