@@ -251,3 +251,26 @@ def test_priced_edges(spark):
     assert math.isclose(paces[1.0, 1], 2 * paces[2.0, 1])
     same = pricing.smooth_tiles(pixels, 2.0, tile=32).where("row between 15 and 25 and col between 40 and 80").collect()
     assert same and all(math.isclose(r.z, r.col * 0.1, abs_tol=1e-9) for r in same)
+
+
+def test_dense_numbers(spark):
+    from waymark.operators._scratch import numbered
+
+    df = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("k")).repartition(5)
+    got = [r.n for r in numbered(df, ["k"], "n").orderBy("k").collect()]
+    assert got == list(range(1000)) and numbered(df.limit(0), ["k"], "n").count() == 0
+
+
+def test_knapsack_bound_equals_a_plain_walk(spark):
+    rnd = random.Random(11)
+    rows = [(k, rnd.random() + 0.01, float(rnd.randint(1, 50)), float(rnd.randint(1, 50))) for k in range(500)]
+    edges = spark.createDataFrame(rows, "edge_id long, score_mi double, time_fwd_s double, time_rev_s double")
+    trails = spark.createDataFrame([(k // 5, k) for k in range(0, 500, 3)], "trail_id long, edge_id long")
+    size = {}
+    for k in range(0, 500, 3):
+        size[k // 5] = size.get(k // 5, 0) + 1
+    worth = [(m + (1 / size[k // 5] if k % 3 == 0 else 0), min(a, b)) for k, m, a, b in rows]
+    left, best = 700.0, 0.0
+    for w, t in sorted(worth, key=lambda x: -x[0] / x[1]):
+        best, left = best + w * max(0.0, min(1.0, left / t)), left - t
+    assert math.isclose(scoring.knapsack_bound(edges, trails, Race(budget_s=700.0)).first().bound, best, rel_tol=1e-9)

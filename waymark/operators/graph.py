@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.operators._scratch import checkpoint
+from waymark.operators._scratch import checkpoint, numbered
 
 
 def arcs(edges: DataFrame) -> DataFrame:
     """Two arcs per edge, along it and back: arc_id (2 i and 2 i + 1 for the i-th edge by id),
     edge_id, u, v, time_s, gain_m, score_mi, trail_id, off_trail, name."""
-    numbered = edges.withColumn("i", F.row_number().over(Window.orderBy("edge_id")) - 1)
+    each = numbered(edges, ["edge_id"], "i")
     ways = F.array(
         F.struct((2 * F.col("i")).alias("arc_id"), F.col("u").alias("a"), F.col("v").alias("b"), F.col("time_fwd_s").alias("time_s"), F.col("gain_fwd_m").alias("gain_m")),
         F.struct((2 * F.col("i") + 1).alias("arc_id"), F.col("v").alias("a"), F.col("u").alias("b"), F.col("time_rev_s").alias("time_s"), F.col("gain_rev_m").alias("gain_m")),
     )
-    return numbered.select("edge_id", F.explode(ways).alias("w"), "score_mi", "trail_id", "off_trail", "name").select(
+    return each.select("edge_id", F.explode(ways).alias("w"), "score_mi", "trail_id", "off_trail", "name").select(
         "w.arc_id", "edge_id", F.col("w.a").alias("u"), F.col("w.b").alias("v"), "w.time_s", "w.gain_m", "score_mi", "trail_id", "off_trail", "name"
     )
 

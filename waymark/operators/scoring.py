@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.operators import walk
 from waymark.params import METRES_PER_MILE, Race
 
+#: Ranges of worth per second that a knapsack's costs are added up in.
+RANGES = 64
+
 
 def completed(walked: DataFrame, by: list[str], edge: str, trails: DataFrame) -> DataFrame:
     """by columns and trail_id of the trails all of whose edges were walked (relational division)."""
@@ -66,11 +69,16 @@ def knapsack_bound(edges: DataFrame, trails: DataFrame, race: Race = Race()) ->
     """One row: an upper bound on any walk's uncapped score. Each edge is worth its miles and its
     share of its trail's point, and costs its faster direction; the budget is filled in order of
     worth per second, the last edge in part."""
-    from pyspark.sql import Window
-
     share = trails.select("trail_id", "edge_id").distinct().withColumn("share", F.lit(race.per_trail) / F.count(F.lit(1)).over(Window.partitionBy("trail_id"))).groupBy("edge_id").agg(F.sum("share").alias("share"))
     each = edges.join(share, "edge_id", "left").select("edge_id", (F.col("score_mi") * race.per_mile + F.coalesce("share", F.lit(0.0))).alias("worth"), F.least("time_fwd_s", "time_rev_s").alias("t")).where("worth > 0")
-    order = Window.partitionBy().orderBy(F.desc(F.col("worth") / F.col("t")), "edge_id").rowsBetween(Window.unboundedPreceding, -1)
-    spent = F.coalesce(F.sum("t").over(order), F.lit(0.0))
-    part = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.lit(race.budget_s) - F.col("spent")) / F.col("t")))
-    return each.withColumn("spent", spent).agg(F.coalesce(F.sum(F.col("worth") * part), F.lit(0.0)).alias("bound"))
+    # Costs add up within ranges of worth per second, and over the ranges, of which there are few.
+    each = each.withColumn("rate", F.when(F.col("t") > 0, F.col("worth") / F.col("t")).otherwise(F.lit(float("inf"))))
+    cuts = each.where("t > 0").agg(F.percentile_approx("rate", [i / RANGES for i in range(1, RANGES)], 10 * RANGES).alias("cuts")).first().cuts or []
+    each = each.withColumn("range", F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))).cast("array<double>"), lambda c: c > F.col("rate"))))
+    totals = each.groupBy("range").agg(F.sum("t").alias("all_t"))
+    before = totals.select("range", F.coalesce(F.sum("all_t").over(Window.partitionBy().orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("before"))
+    order = Window.partitionBy("range").orderBy(F.desc("rate"), "edge_id").rowsBetween(Window.unboundedPreceding, -1)
+    spent = each.join(F.broadcast(before), "range").withColumn("spent", F.col("before") + F.coalesce(F.sum("t").over(order), F.lit(0.0)))
+    room = F.lit(race.budget_s) - F.col("spent")
+    part = F.when(F.col("t") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), room / F.col("t")))).otherwise((room >= 0).cast("double"))
+    return spent.agg(F.coalesce(F.sum(F.col("worth") * part), F.lit(0.0)).alias("bound"))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.operators import graph, planar
-from waymark.operators._scratch import checkpoint
+from waymark.operators._scratch import checkpoint, numbered
 from waymark.params import Topology
 
 COORDS = "array<struct<x:double,y:double>>"
@@ -133,7 +133,7 @@ def node(edges: DataFrame, p: Topology = Topology()) -> tuple[DataFrame, DataFra
     labels = checkpoint(graph.components(links))
     placed = ends.join(labels.withColumnRenamed("node", "id"), "id")
     nodes = placed.groupBy("component").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
-    nodes = checkpoint(nodes.withColumn("node_id", F.row_number().over(Window.orderBy("component")) - 1))
+    nodes = checkpoint(numbered(nodes, ["component"], "node_id"))
     of = checkpoint(placed.select("id", "component").join(nodes, "component").select("id", "node_id", "x", "y"))
     u = of.select((F.col("id") / 2).cast("long").alias("edge_id"), F.col("node_id").alias("u"), F.struct("x", "y").alias("pu")).where(F.col("id") % 2 == 0)
     v = of.select(F.floor(F.col("id") / 2).cast("long").alias("edge_id"), F.col("node_id").alias("v"), F.struct("x", "y").alias("pv")).where(F.col("id") % 2 == 1)
@@ -162,7 +162,7 @@ def prune_orphans(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFr
     kept = checkpoint(own.join(trails, "component", "left_semi").drop("component"))
     used = kept.select(F.explode(F.array("u", "v")).alias("node_id")).distinct()
     left = nodes.join(used, "node_id", "left_semi")
-    left = checkpoint(left.withColumn("new", F.row_number().over(Window.orderBy("node_id")) - 1))
+    left = checkpoint(numbered(left, ["node_id"], "new"))
     for c in ("u", "v"):
         kept = kept.join(left.select(F.col("node_id").alias(c), F.col("new").alias("__new")), c).drop(c).withColumnRenamed("__new", c)
     return kept.select(*edges.columns), left.drop("node_id").withColumnRenamed("new", "node_id").select(*nodes.columns)
@@ -242,7 +242,8 @@ def build(trails: DataFrame, roads: DataFrame | None = None, depot: tuple[float,
     """
     lines = trails.select(F.col("trail_id").alias("id"), "name", "coords")
     if roads is not None:
-        lines = lines.unionByName(roads.select((-F.row_number().over(Window.orderBy("name", F.xxhash64("coords")))).cast("long").alias("id"), "name", "coords"))
+        keyed = numbered(roads.select("name", "coords"), ["name", F.xxhash64("coords")], "k")
+        lines = lines.unionByName(keyed.select((-F.col("k") - 1).alias("id"), "name", "coords"))
 
     def simple(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -250,9 +251,9 @@ def build(trails: DataFrame, roads: DataFrame | None = None, depot: tuple[float,
 
     lines = checkpoint(lines.mapInPandas(simple, f"id long, name string, coords {COORDS}"))
     parts = checkpoint(split(lines.select("id", "coords"), p))
-    road_last = F.struct(F.col("id") < 0, F.abs("id"), "seq")
-    edges = parts.join(lines.select("id", "name"), "id").select(
-        (F.row_number().over(Window.orderBy(road_last)) - 1).cast("long").alias("edge_id"), F.when(F.col("id") >= 0, F.col("id")).alias("trail_id"), "name", "seq",
+    placed = numbered(parts.join(lines.select("id", "name"), "id"), [F.col("id") < 0, F.abs("id"), "seq"], "edge_id")
+    edges = placed.select(
+        "edge_id", F.when(F.col("id") >= 0, F.col("id")).alias("trail_id"), "name", "seq",
         "length_m", F.lit(False).alias("off_trail"), (F.col("id") < 0).alias("is_road"), "coords",
     )
     edges, nodes = node(checkpoint(edges), p)
