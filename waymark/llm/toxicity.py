@@ -24,7 +24,7 @@ WINDOW, STRIDE, HIDDEN, ATTEND = 64, 32, 8, 8
 FIT_ROWS = {1: 1000, 0: 1500}
 BUCKETS = 1 << 16
 EPOCHS = 8
-CHUNK_WORDS = 150_000
+CHUNK_WORDS, PART_WORDS = 150_000, 20_000
 _STRIP = b".,;:!?\"'()[]{}*$%&|#<>"
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5))
 
@@ -41,7 +41,15 @@ class Words:
 
     def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """word bucket of each word; word and bucket of each character n-gram."""
-        words = [b"^" + (w.strip(_STRIP)[:60] or w[:60]) + b"$" for w in self.code]
+        every, parts = list(self.code), []
+        for i in range(0, len(every), PART_WORDS):
+            word, ids, buckets = self._grams(every[i : i + PART_WORDS])
+            parts.append((word.astype(np.int32), (ids + i).astype(np.int32), buckets.astype(np.int32)))
+        return tuple(np.concatenate([np.zeros(0, np.int32), *x]) for x in zip(*parts)) if parts else (np.zeros(0, np.int32),) * 3
+
+    @staticmethod
+    def _grams(part: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        words = [b"^" + (w.strip(_STRIP)[:60] or w[:60]) + b"$" for w in part]
         sizes = np.array([len(w) for w in words], np.int64)
         flat = np.frombuffer(b"".join(words) + b"\0" * 8, np.uint8).astype(np.uint64)
         owner = np.repeat(np.arange(len(words)), sizes)
@@ -229,7 +237,7 @@ def train(texts: list[str], labels: np.ndarray, prior: float, epochs: int = EPOC
     sizes = [len(c) for c in codes]
     flat = np.concatenate([*codes, np.array([], np.int32)])
     word, ids, grams = words.grams()
-    grams = grams[np.argsort(ids, kind="stable")].astype(np.int32)
+    grams = grams[np.argsort(ids, kind="stable")]
     ends = np.cumsum(np.bincount(ids, minlength=len(word)))
     starts = ends - np.bincount(ids, minlength=len(word))
     del ids
@@ -279,7 +287,8 @@ def train(texts: list[str], labels: np.ndarray, prior: float, epochs: int = EPOC
 
 def fit(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", fit_rows: dict[int, int] = FIT_ROWS) -> Network | None:
     """Trains on at most ``fit_rows`` labelled rows of each label, picked by hash, whose
-    crc32(id as text) mod 5 is not 0. None if there is no row of either label."""
+    crc32(id as text) mod 5 is not 0; of rows with the same id, the least text. None if a label has
+    no row."""
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out("doc_id"))
     known = df.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id")).distinct().join(marks, "doc_id")
     known = materialise(known, "labelled")
@@ -287,7 +296,7 @@ def fit(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc
     if not shares.get(0) or not shares.get(1):
         return None
     chosen = hash_sample(known.where("toxic = 0"), ["doc_id"], fit_rows[0]).unionByName(hash_sample(known.where("toxic = 1"), ["doc_id"], fit_rows[1]))
-    rows = df.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    rows = df.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).orderBy("doc_id").collect()
     return train([r.text for r in rows], np.array([r.toxic for r in rows]), shares[1] / (shares[0] + shares[1]))
 
 
