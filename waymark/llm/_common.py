@@ -71,8 +71,8 @@ def with_row_key(df: DataFrame) -> DataFrame:
 
 
 def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str, n_rows: int, hot: int = 256) -> DataFrame:
-    """Left join of ``rows`` with ``table`` (unique by ``key``; both materialised) that no hot key
-    can skew. ``table[weight]`` counts the rows of a key. Keys with over ``n_rows / hot`` rows, of
+    """Left join of ``rows`` with ``table`` (unique by ``key``, cheap to make) that no hot key can
+    skew. ``table[weight]`` counts the rows of a key. Keys with over ``n_rows / hot`` rows, of
     which there are fewer than ``hot``, are broadcast; the others are shuffled."""
     most = max(1, n_rows // hot)
     few = F.broadcast(table.where(F.col(weight) > most))

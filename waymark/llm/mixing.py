@@ -73,7 +73,7 @@ def mix(df: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str =
     digits = min(4, max(1, math.ceil(math.log(max(1, base.count()) / BUCKET_ROWS + 1, 16))))
     base = base.withColumn("bucket", F.substring("place", 1, digits))
     sums = materialise(base.groupBy("queue", "source", "bucket").agg(F.sum("size").alias("words"), F.max("size").alias("longest")), "bucket-sums")
-    targets = materialise(source_targets(sums.groupBy("queue", "source").agg(F.sum("words").alias("source_size")), weights, repeats), "targets")
+    targets = source_targets(sums.groupBy("queue", "source").agg(F.sum("words").alias("source_size")), weights, repeats)
     earlier = Window.partitionBy("queue").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     start = sums.select("queue", "bucket", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("offset")).join(targets.drop("source"), "queue")
     own = Window.partitionBy("queue", "bucket").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)

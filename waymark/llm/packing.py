@@ -205,17 +205,16 @@ def pack(df: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int
     rows = df.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
     schema = f"doc_id {kind}, tokens long, task int, tail int, nth long, chunk long, crcs array<long>, ids binary"
     docs = materialise(rows.mapInArrow(_tokenise(tokenizer, window, end), schema), "tokens")
-    counts = materialise(docs.groupBy("task", "tail").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("crcs")).alias("full")), "tails")
-    histogram = np.zeros(window, np.int64)
-    for k, n in counts.where("tail > 0").groupBy("tail").agg(F.sum("n")).collect():
-        histogram[k] = n
+    counts = docs.groupBy("task", "tail").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("crcs")).alias("full"))
+    histogram, chunks = np.zeros(window, np.int64), 0
+    for k, n, full in counts.groupBy("tail").agg(F.sum("n"), F.sum("full")).collect():
+        histogram[k], chunks = n if k else 0, chunks + full
     solved = df.sparkSession.sparkContext.broadcast(plan(histogram, window))
-    chunks = counts.agg(F.coalesce(F.sum("full"), F.lit(0))).first()[0]
     earlier = (Window.unboundedPreceding, -1)
     by_task = counts.groupBy("task").agg(F.sum("full").alias("full"))
     by_task = by_task.select("task", F.coalesce(F.sum("full").over(Window.partitionBy().orderBy("task").rowsBetween(*earlier)), F.lit(0)).alias("chunk_before"))
     ranks = counts.select("task", "tail", F.coalesce(F.sum("n").over(Window.partitionBy("tail").orderBy("task").rowsBetween(*earlier)), F.lit(0)).alias("before"))
-    starts = materialise(ranks.join(by_task, "task"), "starts")
+    starts = ranks.join(by_task, "task")
     pieces = docs.join(starts, ["task", "tail"]).select("doc_id", "tokens", "tail", "nth", "before", "chunk", "chunk_before", "crcs", "ids")
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return pieces.mapInArrow(_place(solved, window, chunks), schema)

@@ -83,9 +83,9 @@ def _keys(c) -> list:
 def links(prints: DataFrame, pairs: int = PAIRS) -> DataFrame:
     """prints: one column of distinct fingerprints (long). Returns links a, b that connect exactly
     what links of at most two differing bits connect."""
-    keys = materialise(prints.select("print", F.explode(F.array(*_keys(F.col("print")))).alias("key")), "keys")
-    sizes = materialise(keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "buckets")
-    members = materialise(lookup(keys, sizes, "key", "members", keys.count()).where("members is not null"), "members")
+    keys = prints.select("print", F.explode(F.array(*_keys(F.col("print")))).alias("key"))
+    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    members = materialise(lookup(keys, sizes, "key", "members", 6 * prints.count()).where("members is not null"), "members")
     few = members.where(F.col("members") <= pairs).select("key", "print")
     diff = F.col("a.print").bitwiseXOR(F.col("b.print"))
     start = F.shiftrightunsigned(F.col("a.key"), 34)
@@ -111,10 +111,10 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", s
     rows = fingerprints(df, text, doc_id, shingle)
     n = rows.count()
     classes = materialise(rows.groupBy("print").agg(F.count(F.lit(1)).alias("members"), F.min("doc_id").alias("least")), "classes")
-    nodes = materialise(connected_components(links(classes.select("print"))), "components")
-    known = materialise(classes.join(nodes, F.col("print") == F.col("node"), "left").withColumn("root", F.coalesce("root", "print")), "known")
+    nodes = connected_components(links(classes.select("print")))
+    known = classes.join(nodes, F.col("print") == F.col("node"), "left").withColumn("root", F.coalesce("root", "print"))
     shared = known.groupBy("root").agg(F.sum("members").alias("all"), F.min("least").alias("component_id")).where("all > 1")
-    table = materialise(known.join(materialise(shared, "shared"), "root").select("print", "members", "root", "component_id"), "labels")
+    table = materialise(known.join(shared, "root").select("print", "members", "root", "component_id"), "labels")
     return lookup(rows, table, "print", "members", n).select(
         "doc_id", *ROW, F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"),
         F.when(F.col("members").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
@@ -128,7 +128,7 @@ def keep_one_of_each(df: DataFrame, text: str = "text", doc_id: str = "doc_id")
     keyed = with_row_key(df)
     found = materialise(near_duplicates(keyed, text, doc_id), "near")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *ROW)).alias("first")
-    stay = materialise(found.groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"), first).where("rows > 1"), "stay")
+    stay = found.groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"), first).where("rows > 1")
     marked = lookup(found, stay, "cluster", "rows", found.count()).where("rows is not null")
-    gone = materialise(marked.where(F.struct(*ROW) != F.struct(*(F.col("first")[c] for c in ROW))).select(*ROW), "gone")
+    gone = marked.where(F.struct(*ROW) != F.struct(*(F.col("first")[c] for c in ROW))).select(*ROW)
     return keyed.join(gone.hint("merge"), list(ROW), "left_anti").select(*(F.col(f"`{c}`") for c in df.columns))
