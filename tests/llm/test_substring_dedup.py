@@ -81,7 +81,8 @@ def test_edges_of_the_input(spark):
     rows = [(5, text, "c"), (5, text, "c"), (None, "x " + text, "c"), (7, None, "c"), (8, "", "c"), (9, "w " * 60_000, "c"), (10, "w " * 60_000, "c")]
     df = spark.createDataFrame(rows, "doc_id long, text string, cluster string")
     got = sd.repeated_passages(df).collect()
-    assert sorted((r.doc_id is None, r.doc_id or 0, r.removed) for r in got) == [(False, 5, True), (False, 5, True), (True, 0, False)]
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.removed) for r in got) == [(False, 5, True), (False, 5, True), (False, 9, False), (False, 10, True), (True, 0, False)]
+    assert {(r.start_word, r.end_word > 59_980) for r in got if (r.doc_id or 0) > 8} == {(0, True)}
     assert sd.repeated_passages(df.limit(0)).count() == 0
 
 
@@ -92,4 +93,4 @@ def test_cutting_does_not_depend_on_neighbours():
     for k, t in enumerate(texts):
         _, s, f = sd.cut_texts([t])
         assert (s == start[doc == k]).all() and (f == found[doc == k]).all()
-    assert {1, 3, 4, 6} >= set(doc.tolist()) >= {4, 6} and [x for _, c in sd.chunks(texts, 50) for x in c] == texts
+    assert {1, 3, 4, 5, 6} >= set(doc.tolist()) >= {4, 5, 6} and (doc == 5).sum() < 30 and [x for _, c in sd.chunks(texts, 50) for x in c] == texts

@@ -38,8 +38,6 @@ BANDS = 3
 PAIRS = 64
 #: Characters of text that are cut at once; a longer text is cut whole.
 CHUNK = 1_000_000
-#: Distinct shingles a paragraph needs; fewer is a few words over and over, not a passage.
-LEAST_DISTINCT = BAG // 2
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -97,11 +95,15 @@ def cut_texts(texts: list[str], keep=None) -> tuple[np.ndarray, np.ndarray, np.n
     same = np.zeros(bags.shape, np.uint64)
     for k in range(1, BAG):
         same[:, k] = np.where(bags[:, k] == bags[:, k - 1], same[:, k - 1] + np.uint64(1), np.uint64(0))
-    ok = (same == 0).sum(1) >= LEAST_DISTINCT
-    anchors, bags, same = anchors[ok], bags[ok], same[ok]
     again = same.any(1)
     bags[again] = np.sort(np.where(same[again] > 0, _mix(bags[again] + same[again]), bags[again]), 1)
-    return doc[anchors], place[anchors], np.concatenate([shingles[anchors][:, None], bags], 1)
+    found = np.concatenate([shingles[anchors][:, None], bags], 1)
+    # Where a few words come over and over, one equal paragraph follows another: every so often is enough.
+    own, start = doc[anchors], place[anchors]
+    equal = np.concatenate([[False], (own[1:] == own[:-1]) & (found[1:] == found[:-1]).all(1)])
+    since = (start - start[~equal][np.cumsum(~equal) - 1]) // (SPREAD // 2)
+    kept = ~equal | (since != np.concatenate([[-1], since[:-1]]))
+    return own[kept], start[kept], found[kept]
 
 
 def chunks(texts: list[str], size: int = CHUNK) -> Iterator[tuple[int, list[str]]]:
@@ -192,7 +194,7 @@ def class_links(df: DataFrame, cut: DataFrame, text: str, pairs: int = PAIRS) ->
     maybe = maybe_repeated(spark, *repeated_cells(mixed.unionByName(mixed), max(1, 2 * many)))
     some = keys(cut).where(maybe("key"))
     members = materialise(some.distinct().join(mixed, "key", "left_semi"), "members")
-    sizes = materialise(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     members = materialise(lookup(members, sizes, "key", "n", max(1, members.count())), "members")
     wanted = materialise(members.select("class", "anchor").distinct(), "wanted")
     anchors = wanted.select("anchor").distinct()
@@ -200,7 +202,7 @@ def class_links(df: DataFrame, cut: DataFrame, text: str, pairs: int = PAIRS) ->
     held = spark.sparkContext.broadcast(bits)
     bags = df.select(text_of(text).alias("text")).mapInArrow(_bags_of(held, log2), "class long, anchor long, bag array<long>")
     bags = materialise(bags.join(wanted.select("class"), "class", "left_semi").groupBy("class").agg(F.first("anchor").alias("anchor"), F.first("bag").alias("bag")), "bags")
-    few = materialise(members.where(F.col("n") <= pairs).select("key", "class").join(bags, "class").select("key", "class", "bag"), "few")
+    few = members.where(F.col("n") <= pairs).select("key", "class").join(bags, "class").select("key", "class", "bag")
     close = few.alias("a").join(few.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.class") < F.col("b.class")))
     paired = close.where(F.size(F.array_intersect("a.bag", "b.bag")) >= OVERLAP).select(F.col("a.class").alias("a"), F.col("b.class").alias("b"))
     large = materialise(bags.join(members.where(F.col("n") > pairs).select("class").distinct(), "class", "left_semi"), "large")
@@ -209,7 +211,7 @@ def class_links(df: DataFrame, cut: DataFrame, text: str, pairs: int = PAIRS) ->
     none = F.array().cast("array<long>")
     large = large.join(lone, "class", "left").withColumn("lone", F.coalesce("lone", none)).where(F.size("lone") <= BAG - OVERLAP)
     subsets = large.select("class", "bag", "lone").mapInArrow(_subsets, "class long, s1 long, s2 long").groupBy("s1", "s2")
-    shared = materialise(subsets.agg(F.min("class").alias("a"), F.max("class").alias("b"), F.collect_set("class").alias("all")).where("a <> b"), "shared")
+    shared = subsets.agg(F.min("class").alias("a"), F.max("class").alias("b"), F.collect_set("class").alias("all")).where("a <> b")
     return paired.unionByName(shared.select("a", F.explode("all").alias("b")).where("a <> b")).distinct()
 
 
@@ -235,8 +237,8 @@ def repeated_passages(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
     classes = classes.join(nodes.withColumnRenamed("node", "class"), "class", "left").withColumn("cluster", F.coalesce("root", "class")).where("root is not null or first <> last")
     classes = materialise(classes, "classes")
     clusters = classes.groupBy("cluster").agg(F.min("first").alias("from"), F.max("last").alias("to"), F.sum("n").alias("n_copies")).where("from <> to")
-    known = classes.join(materialise(clusters, "clusters"), "cluster").select("class", "n", "cluster", "n_copies", F.col("from.doc_id").alias("keep_id"))
-    placed = lookup(cut.select("doc_id", *ROW, "start", "class"), materialise(known, "known"), "class", "n", max(1, cut.count())).where("cluster is not null")
+    known = classes.join(clusters, "cluster").select("class", "n", "cluster", "n_copies", F.col("from.doc_id").alias("keep_id"))
+    placed = lookup(cut.select("doc_id", *ROW, "start", "class"), known, "class", "n", max(1, cut.count())).where("cluster is not null")
     by = [*ROW, "keep_id"]
     order = Window.partitionBy(*by).orderBy("start")
     begins = F.coalesce(F.col("start") > F.lag("start").over(order) + SPAN, F.lit(True)).cast("int")
