@@ -5,10 +5,26 @@ from tests.llm import test_mixing, test_simhash
 from waymark.llm import simhash, toxicity
 
 
+def near_copies(rows: list, n: int) -> list:
+    """Rows with a word changed so that one or two bits of the fingerprint differ."""
+    out = []
+    for r in sorted(rows, key=lambda r: (len(r.text), r.doc_id))[-n:]:
+        words, own = r.text.split(" "), simhash.fingerprint(r.text)
+        for k in range(len(words)):
+            text = " ".join([*words[:k], "changed", *words[k + 1 :]])
+            if 0 < (simhash.fingerprint(text) ^ own).bit_count() <= 2:
+                out.append((10**6 + r.doc_id, text, r.lang, r.source, len(text)))
+                break
+    return out
+
+
 def test_stages(spark):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     docs = spark.read.parquet(f"{sf}/documents.parquet")
+    more = near_copies([r for r in docs.collect() if r.lang == "en"], 20)
+    assert len(more) > 5
+    docs = corpus_pipeline.materialise(docs.unionByName(spark.createDataFrame(more, docs.schema)), "docs")
     net = toxicity.fit(docs, labels)
     stages = dict(corpus_pipeline.STAGES)
 
