@@ -41,12 +41,16 @@ class Words:
 
     def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """word bucket of each word; word and bucket of each character n-gram."""
-        every, parts = list(self.code), []
-        for i in range(0, len(every), PART_WORDS):
-            word, ids, buckets = self._grams(every[i : i + PART_WORDS])
-            parts.append((word.astype(np.int32), (ids + i).astype(np.int32), buckets.astype(np.int32)))
+        parts = [(word, ids + i, buckets) for i, word, ids, buckets in self.parts()]
         return tuple(np.concatenate([np.zeros(0, np.int32), *x]) for x in zip(*parts)) if parts else (np.zeros(0, np.int32),) * 3
 
+    def parts(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """The same for some words at a time, after the number of the first; n-grams name words
+        from there on."""
+        every = list(self.code)
+        for i in range(0, len(every), PART_WORDS):
+            yield i, *(x.astype(np.int32) for x in self._grams(every[i : i + PART_WORDS]))
+
     @staticmethod
     def _grams(part: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         words = [b"^" + (w.strip(_STRIP)[:60] or w[:60]) + b"$" for w in part]
@@ -110,7 +114,10 @@ class Network:
 
     def inputs(self, words: Words) -> np.ndarray:
         """One row per distinct word."""
-        word, ids, grams = words.grams()
+        parts = [self._inputs(word, ids, grams) for _, word, ids, grams in words.parts()]
+        return np.concatenate([np.zeros((0, 11), np.float32), *parts])
+
+    def _inputs(self, word: np.ndarray, ids: np.ndarray, grams: np.ndarray) -> np.ndarray:
         n, count = len(word), np.maximum(np.bincount(ids, minlength=len(word)), 1)
         odds = self.odds_gram[grams]
         most = np.zeros(n, np.float32)
