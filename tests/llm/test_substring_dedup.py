@@ -94,3 +94,37 @@ def test_cutting_does_not_depend_on_neighbours():
         _, s, f = sd.cut_texts([t])
         assert (s == start[doc == k]).all() and (f == found[doc == k]).all()
     assert {1, 3, 4, 5, 6} >= set(doc.tolist()) >= {4, 5, 6} and (doc == 5).sum() < 30 and [x for _, c in sd.chunks(texts, 50) for x in c] == texts
+
+
+def edited(rnd: random.Random, n: int, size: int) -> list[tuple[int, str]]:
+    """Passages in two texts each, the second time with one word inside changed."""
+    rows = []
+    for k in range(n):
+        p = words(rnd, size)
+        q = [*p]
+        q[rnd.randrange(size // 3, size - size // 3)] = "changed"
+        rows += [(100 * side + k, " ".join(words(rnd, rnd.randint(0, 60)) + x + words(rnd, rnd.randint(0, 60)))) for side, x in enumerate((p, q))]
+    return rows
+
+
+@pytest.mark.parametrize("pairs", [sd.LONG_PAIRS, 2])
+def test_long_links_are_all_pairs_of_high_jaccard(spark, pairs):
+    """No condition on anchors: all pairs of paragraphs of different texts with Jaccard 0.8."""
+    rows = edited(random.Random(21), 40, 90)
+    keyed = sd.with_row_key(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", *sd.ROW, "text")
+    links = {frozenset((r.a, r.b)) for r in sd.long_links(keyed, sd.long_paragraphs(keyed, 1000), pairs).collect()}
+    doc, _, found = sd.cut_texts([t for _, t in rows], None, sd.LONG)
+    classes, bags = sd._whole(found).tolist(), [set(x[1:].tolist()) for x in found]
+    close = {
+        frozenset((classes[i], classes[j])) for i in range(len(bags)) for j in range(i)
+        if doc[i] != doc[j] and classes[i] != classes[j] and len(bags[i] & bags[j]) >= 0.8 * len(bags[i] | bags[j])
+    }
+    assert len(close) > 30 and links <= close and len(links) >= 0.95 * len(close)
+
+
+def test_a_changed_word_inside_a_passage(spark):
+    rows = edited(random.Random(22), 30, 100)
+    texts = dict(rows)
+    got = sd.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    spans = [r for r in got if r.doc_id >= 100 and r.keep_id == r.doc_id - 100 and r.removed and "changed" in texts[r.doc_id].split()[r.start_word : r.end_word]]
+    assert len({r.doc_id for r in spans}) >= 27 and all(r.keep_id == r.doc_id % 100 for r in got)

@@ -14,6 +14,17 @@ their subsets of 20 shingles, since two bags overlap in 20 exactly if they share
 nothing grows with the square of a bucket. A shingle that no other such class with its anchor has must be among
 the two left out: a class with three of them has no link, with two it has one subset, with one 21. Classes linked by either way are clustered by
 connected components, and of each cluster the document with the least id keeps its copy.
+
+A paragraph of 26 words is too short for Jaccard 0.8 to admit a changed word inside it. So the
+``LONG`` = 52 words from each anchor are a paragraph as well, of 48 shingles: one changed word
+leaves 43 in common, 43 / 53 > 0.8. Their bands, six of three rows, know nothing of the anchor: at
+43 / 53 they collide with a probability of 0.99, and any two paragraphs of different rows that
+collide are verified exactly. A key that a filter shows in one row only is dropped early; each row
+counts once, since neighbours in a text share most of their shingles. Buckets of up to
+``LONG_PAIRS`` classes are paired. The classes of a larger one are dealt out again by ``FURTHER``
+more MinHashes; what is still too large is compared with ``PIVOTS`` of its classes, the most frequent
+one among them, so there a link between two classes that are unlike all pivots can be missed. A
+linked long paragraph counts from its first to its last shingle that a linked one has too.
 """
 
 from __future__ import annotations
@@ -36,10 +47,16 @@ BAG = SPAN - SHINGLE + 1
 OVERLAP = 20
 BANDS = 3
 PAIRS = 64
+LONG = 52
+LONG_BAG = LONG - SHINGLE + 1
+LONG_OVERLAP = 43
+LONG_BANDS, LONG_ROWS = 6, 3
+LONG_PAIRS, FURTHER, PIVOTS = 128, 8, 8
 #: Characters of text that are cut at once; a longer text is cut whole.
 CHUNK = 1_000_000
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xC2B2AE3D27D4EB4F)
+_ODD = np.random.default_rng(5).integers(1 << 63, size=LONG_BANDS * LONG_ROWS + FURTHER, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -48,16 +65,31 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def cut_texts(texts: list[str], keep=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _numbered(bags: np.ndarray, again: np.ndarray) -> np.ndarray:
+    """Bags with repeated shingles numbered in the rows ``again``; places stay."""
+    turn = np.argsort(bags[again], 1, kind="stable")
+    some = np.take_along_axis(bags[again], turn, 1)
+    same = np.zeros(some.shape, np.uint64)
+    for k in range(1, bags.shape[1]):
+        same[:, k] = np.where(some[:, k] == some[:, k - 1], same[:, k - 1] + np.uint64(1), np.uint64(0))
+    out = bags.copy()
+    back = np.zeros_like(some)
+    np.put_along_axis(back, turn, np.where(same > 0, _mix(some + same), some), 1)
+    out[again] = back
+    return out
+
+
+def cut_texts(texts: list[str], keep=None, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The paragraphs of texts: the text's number, the start word, and the anchor's hash followed
-    by the bag of shingles (one row each). Words are separated by ASCII white space; A-Z are
-    lower-cased. keep: a function of anchors' hashes that tells which are wanted."""
+    by the bag of shingles (one row each; longer ones than SPAN in the order of the text). Words are separated by ASCII white space; A-Z are
+    lower-cased. keep: a function of anchors' hashes that tells which are wanted. span: words of a paragraph."""
+    size = span - SHINGLE + 1
     code: dict[bytes, int] = {}
     split = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
     sizes = np.array([len(x) for x in split], np.int64)
     total = int(sizes.sum())
-    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, BAG + 1), np.uint64)
-    if total < SPAN:
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, size + 1), np.uint64)
+    if total < span:
         return none
     codes = np.fromiter((code.setdefault(w, len(code)) for x in split for w in x), np.int64, total)
     digest = xxhash.xxh64_intdigest
@@ -86,17 +118,18 @@ def cut_texts(texts: list[str], keep=None) -> tuple[np.ndarray, np.ndarray, np.n
         first = int(sizes[:k].sum())
         found.append(np.array([first + int(shingles[first : first + sizes[k] - SHINGLE + 1].argmin())]))
     anchors = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-    anchors = anchors[left[anchors] >= SPAN]
+    anchors = anchors[left[anchors] >= span]
     if keep is not None:
         anchors = anchors[keep(shingles[anchors])]
     if not len(anchors):
         return none
-    bags = np.sort(np.lib.stride_tricks.sliding_window_view(shingles, BAG)[anchors], 1)
-    same = np.zeros(bags.shape, np.uint64)
-    for k in range(1, BAG):
-        same[:, k] = np.where(bags[:, k] == bags[:, k - 1], same[:, k - 1] + np.uint64(1), np.uint64(0))
-    again = same.any(1)
-    bags[again] = np.sort(np.where(same[again] > 0, _mix(bags[again] + same[again]), bags[again]), 1)
+    bags = np.lib.stride_tricks.sliding_window_view(shingles, size)[anchors]
+    order = np.sort(bags, 1)
+    again = (order[:, 1:] == order[:, :-1]).any(1)
+    bags = _numbered(bags, again)
+    if span == SPAN:
+        order[again] = np.sort(bags[again], 1)
+        bags = order
     found = np.concatenate([shingles[anchors][:, None], bags], 1)
     # Where a few words come over and over, one equal paragraph follows another: every so often is enough.
     own, start = doc[anchors], place[anchors]
@@ -118,13 +151,18 @@ def chunks(texts: list[str], size: int = CHUNK) -> Iterator[tuple[int, list[str]
         yield begin, texts[begin:]
 
 
+def _whole(found: np.ndarray) -> np.ndarray:
+    """Of rows of anchor and bag: the class (a hash of the bag)."""
+    with np.errstate(over="ignore"):
+        return _mix(_mix(found[:, 1:]).sum(1) ^ found[:, 0]).view(np.int64)
+
+
 def _classes(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of rows of anchor and bag: the class (a hash of the bag) and its band keys."""
     anchor, bags = found[:, 0], found[:, 1:]
     with np.errstate(over="ignore"):
-        whole = _mix(_mix(bags).sum(1) ^ anchor)
         keys = [_mix(_mix(bags ^ _mix(np.full(1, k + 1, np.uint64))).min(1) + _mix(anchor + np.uint64(k))) for k in range(BANDS)]
-    return whole.view(np.int64), np.stack(keys, 1).view(np.int64) if len(bags) else np.zeros((0, BANDS), np.int64)
+    return _whole(found), np.stack(keys, 1).view(np.int64) if len(bags) else np.zeros((0, BANDS), np.int64)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +177,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([*rows.columns, *map(pa.array, columns)], names)
 
 
-def _bags_of(wanted, log2: int):
+def _bags_of(wanted, log2: int, span: int = SPAN):
     """Class, anchor and bag of the paragraphs whose anchor may be among the wanted ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,8 +189,8 @@ def _bags_of(wanted, log2: int):
 
         for b in batches:
             for _, texts in chunks(b.column("text").to_pylist()):
-                found = cut_texts(texts, keep)[2]
-                classes = _classes(found)[0]
+                found = cut_texts(texts, keep, span)[2]
+                classes = _whole(found)
                 fresh = [k for k, c in enumerate(classes.tolist()) if c not in sent]
                 if len(sent) > 100_000:
                     sent.clear()
@@ -215,11 +253,118 @@ def class_links(df: DataFrame, cut: DataFrame, text: str, pairs: int = PAIRS) ->
     return paired.unionByName(shared.select("a", F.explode("all").alias("b")).where("a <> b")).distinct()
 
 
+def _long_keys(found: np.ndarray) -> np.ndarray:
+    """The band keys of rows of anchor and bag; the anchor is not part of them."""
+    keys = np.zeros((len(found), LONG_BANDS), np.uint64)
+    if len(found):
+        bags = np.ascontiguousarray(found[:, 1:])
+        for k in range(LONG_BANDS):
+            keys[:, k] = k + 1
+            for i in range(LONG_ROWS):
+                keys[:, k] = _mix(keys[:, k]) + (bags * _ODD[k * LONG_ROWS + i]).min(1)
+            keys[:, k] = _mix(keys[:, k])
+    return keys
+
+
+def _all_long_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The band keys of long paragraphs, each once for each row."""
+    for b in batches:
+        for _, texts in chunks(b.column("text").to_pylist()):
+            doc, _, found = cut_texts(texts, None, LONG)
+            keys = _long_keys(found)
+            own = keys ^ _mix(doc.astype(np.uint64) + np.uint64(1))[:, None]
+            first = np.unique(own, return_index=True)[1]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()[first].view(np.int64))], ["key"])
+
+
+def _long_paragraphs(seen, log2: int):
+    """The long paragraphs of which some key may be in more than one row, with those keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, mask = seen.value, np.uint64((1 << log2) - 1)
+        for b in batches:
+            for begin, texts in chunks(b.column("text").to_pylist()):
+                doc, start, found = cut_texts(texts, None, LONG)
+                keys = _long_keys(found)
+                cell = keys & mask
+                hit = (bits[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                some = hit.any(1)
+                if some.any():
+                    hit, keys, found = hit[some], keys[some], found[some]
+                    ends = np.concatenate([[0], np.cumsum(hit.sum(1))]).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[hit].view(np.int64)))
+                    rows = b.select(["doc_id", *ROW]).take(pa.array(doc[some] + begin))
+                    columns = [start[some].astype(np.int32), _whole(found), found[:, 0].copy().view(np.int64)]
+                    yield pa.RecordBatch.from_arrays([*rows.columns, *map(pa.array, columns), lists], ["doc_id", *ROW, "start", "class", "anchor", "keys"])
+
+    return run
+
+
+def _further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """FURTHER more MinHashes of each bag."""
+    for b in batches:
+        if b.num_rows:
+            bags = np.array(b.column("bag").to_pylist(), np.int64).view(np.uint64)
+            more = np.stack([_mix((bags * x).min(1) + np.uint64(i)) for i, x in enumerate(_ODD[-FURTHER:])], 1)
+            yield pa.RecordBatch.from_arrays([b.column("class"), pa.array(more.view(np.int64).tolist(), pa.list_(pa.int64()))], ["class", "more"])
+
+
+def long_paragraphs(rows: DataFrame, n: int) -> DataFrame:
+    """doc_id, ROW, start, class, anchor and keys of the long paragraphs of rows (doc_id, ROW, text)
+    that may collide with one of another row. n: an upper bound of their number, about."""
+    spark = rows.sparkSession
+    bits, log2 = repeated_cells(rows.select("text").mapInArrow(_all_long_keys, "key long"), max(1, LONG_BANDS * n))
+    held = spark.sparkContext.broadcast(bits)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return materialise(rows.mapInArrow(_long_paragraphs(held, log2), f"doc_id {kind}, {ROW[0]} long, {ROW[1]} long, start int, class long, anchor long, keys array<long>"), "long")
+
+
+def long_links(rows: DataFrame, long: DataFrame, pairs: int = LONG_PAIRS) -> DataFrame:
+    """Links a, b between classes of different long paragraphs that overlap in LONG_OVERLAP shingles
+    or more and are not in one and the same row only, with the places (from 1) of the first and last common shingle in both: a0, a1, b0, b1."""
+    spark = rows.sparkSession
+    each = long.select("class", "anchor", F.xxhash64(*ROW).alias("row"), F.explode("keys").alias("key"))
+    mixed = each.groupBy("key").agg(F.min("class").alias("c0"), F.max("class").alias("c1"), F.min("row").alias("r0"), F.max("row").alias("r1")).where("c0 <> c1 and r0 <> r1").select("key")
+    mixed = materialise(mixed, "long-mixed")
+    members = each.groupBy("key", "class", "anchor").agg(F.count(F.lit(1)).alias("copies")).join(mixed, "key", "left_semi")
+    members = materialise(members, "long-members")
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    members = materialise(lookup(members, sizes, "key", "n", max(1, members.count())), "long-sized")
+    wanted = materialise(members.select("class", "anchor").distinct(), "long-wanted")
+    anchors = wanted.select("anchor").distinct()
+    held, log2 = repeated_cells(anchors.unionByName(anchors), max(1, 2 * wanted.count()))
+    bags = rows.select("text").mapInArrow(_bags_of(spark.sparkContext.broadcast(held), log2, LONG), "class long, anchor long, bag array<long>")
+    bags = materialise(bags.join(wanted.select("class"), "class", "left_semi").groupBy("class").agg(F.first("bag").alias("bag")), "long-bags")
+
+    def paired(frame: DataFrame) -> DataFrame:
+        return frame.alias("a").join(frame.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.class") < F.col("b.class"))).select(F.col("a.class").alias("a"), F.col("b.class").alias("b"))
+
+    large = members.where(F.col("n") > pairs).select("key", "class", "copies")
+    more = bags.join(large.select("class").distinct(), "class", "left_semi").mapInArrow(_further, "class long, more array<long>")
+    dealt = large.join(more, "class").select("class", "copies", "key", F.posexplode("more").alias("i", "hash"))
+    dealt = materialise(dealt.select("class", "copies", F.xxhash64("key", "i", "hash").alias("key")), "long-dealt")
+    picks = [F.max(F.struct("copies", "class")).getField("class"), *(F.max(F.struct(F.xxhash64("class", F.lit(i)), "class")).getField("class") for i in range(1, PIVOTS))]
+    buckets = materialise(dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.array_distinct(F.array(*picks)).alias("pivots")).where("n > 1"), "long-buckets")
+    again = paired(dealt.join(buckets.where(F.col("n") <= pairs).select("key"), "key", "left_semi"))
+    pivots = buckets.where(F.col("n") > pairs).select("key", F.explode("pivots").alias("pivot"))
+    far = dealt.join(pivots, "key").where("class <> pivot").select(F.least("class", "pivot").alias("a"), F.greatest("class", "pivot").alias("b"))
+    close = paired(members.where(F.col("n") <= pairs).select("key", "class")).unionByName(again).unionByName(far).distinct()
+    close = close.join(bags.select(F.col("class").alias("a"), F.col("bag").alias("bag_a")), "a").join(bags.select(F.col("class").alias("b"), F.col("bag").alias("bag_b")), "b")
+    close = close.withColumn("both", F.array_intersect("bag_a", "bag_b")).where(F.size("both") >= LONG_OVERLAP)
+    held_in = each.groupBy("class").agg(F.min("row").alias("r0"), F.max("row").alias("r1")).where("r0 = r1").select("class", "r0")
+    for side in "ab":
+        close = close.join(held_in.select(F.col("class").alias(side), F.col("r0").alias(f"only_{side}")), side, "left")
+    close = close.where("only_a is null or only_b is null or only_a <> only_b")
+    place = lambda bag: F.transform("both", lambda x: F.array_position(bag, x))
+    close = close.select("a", "b", place(F.col("bag_a")).alias("at"), place(F.col("bag_b")).alias("bt"))
+    return close.select("a", "b", F.array_min("at").alias("a0"), F.array_max("at").alias("a1"), F.array_min("bt").alias("b0"), F.array_max("bt").alias("b1"))
+
+
 def repeated_passages(df: DataFrame, text: str = "text", doc_id: str = "doc_id", pairs: int = PAIRS) -> DataFrame:
     """One row per passage that repeats across rows of ``df``: doc_id, start_word, end_word
     (exclusive), cluster, n_copies, keep_id, removed.
 
-    A passage is a run of overlapping repeated paragraphs with the same keep_id: the least id among
+    A passage is a run of overlapping repeated paragraphs (short and long) with the same keep_id: the least id among
     the rows that hold its cluster (null below all others), which keeps its copy (removed false).
     cluster is the least cluster of its paragraphs, n_copies how often the most frequent of its clusters occurs.
     Texts under SPAN words (null and empty too) have no paragraphs; of repeated rows all keep or
@@ -231,17 +376,28 @@ def repeated_passages(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
     rows = keyed.select(F.col(doc_id).alias("doc_id"), *ROW, text_of(text).alias("text"))
     keys = ", ".join(f"k{k} long" for k in range(BANDS))
     cut = materialise(rows.mapInArrow(_cut, f"doc_id {kind}, {ROW[0]} long, {ROW[1]} long, start int, class long, anchor long, {keys}"), "paragraphs")
-    nodes = materialise(connected_components(class_links(keyed, cut, text, pairs)), "clusters")
+    long = long_paragraphs(rows, cut.count())
+    far = materialise(long_links(rows, long), "long-links")
+    links = class_links(keyed, cut, text, pairs).unionByName(far.select("a", "b"))
+    others = connected_components(links)
+    nodes = materialise(others.unionByName(others.select(F.col("root").alias("node"), "root").distinct()), "clusters")
+    ends = far.select(F.explode(F.array(F.struct(F.col("a").alias("class"), F.col("a0").alias("first"), F.col("a1").alias("last")), F.struct(F.col("b").alias("class"), F.col("b0").alias("first"), F.col("b1").alias("last")))).alias("x")).select("x.*")
+    ends = ends.groupBy("class").agg(F.min("first").cast("int").alias("first"), F.max("last").cast("int").alias("last"))
+    near = long.join(ends, "class").select("doc_id", *ROW, (F.col("start") + F.col("first") - 1).alias("start"), (F.col("start") + F.col("last") + SHINGLE - 1).alias("end"), F.lit(0).alias("slack"), "class")
+    cut = cut.select("doc_id", *ROW, "start", (F.col("start") + SPAN).alias("end"), F.lit(BAG - OVERLAP).alias("slack"), "class").unionByName(materialise(near, "long-placed"))
     who = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", *ROW)
     classes = cut.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.min(who).alias("first"), F.max(who).alias("last"))
     classes = classes.join(nodes.withColumnRenamed("node", "class"), "class", "left").withColumn("cluster", F.coalesce("root", "class")).where("root is not null or first <> last")
     classes = materialise(classes, "classes")
     clusters = classes.groupBy("cluster").agg(F.min("first").alias("from"), F.max("last").alias("to"), F.sum("n").alias("n_copies")).where("from <> to")
-    known = classes.join(clusters, "cluster").select("class", "n", "cluster", "n_copies", F.col("from.doc_id").alias("keep_id"))
-    placed = lookup(cut.select("doc_id", *ROW, "start", "class"), known, "class", "n", max(1, cut.count())).where("cluster is not null")
+    known = classes.join(clusters, "cluster").select("class", "n", "cluster", "n_copies", F.col("from.doc_id").alias("keep_id"), (F.col("first") == F.col("last")).alias("alone"))
+    placed = lookup(cut, known, "class", "n", max(1, cut.count())).where("cluster is not null")
+    # A short paragraph that is like others but equal to none differs from them in its last words.
+    placed = placed.withColumn("end", F.col("end") - F.when(F.col("alone"), F.col("slack")).otherwise(0))
     by = [*ROW, "keep_id"]
     order = Window.partitionBy(*by).orderBy("start")
-    begins = F.coalesce(F.col("start") > F.lag("start").over(order) + SPAN, F.lit(True)).cast("int")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.coalesce(F.col("start") > reach, F.lit(True)).cast("int")
     runs = placed.withColumn("begins", begins).withColumn("run", F.sum("begins").over(order)).groupBy("doc_id", *by, "run")
-    passages = runs.agg(F.min("start").cast("long").alias("start_word"), (F.max("start") + SPAN).cast("long").alias("end_word"), F.min("cluster").alias("cluster"), F.max("n_copies").alias("n_copies"))
+    passages = runs.agg(F.min("start").cast("long").alias("start_word"), F.max("end").cast("long").alias("end_word"), F.min("cluster").alias("cluster"), F.max("n_copies").alias("n_copies"))
     return passages.select("doc_id", "start_word", "end_word", "cluster", "n_copies", "keep_id", (~F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("removed"))
