@@ -178,3 +178,14 @@ def test_a_score_does_not_depend_on_neighbours():
     net = toxicity.train(texts, np.array([int(k % 2) for k in range(20)]), 0.2, epochs=1)
     together = list(net.document_scores(iter(texts)))
     assert np.allclose(together, [next(net.document_scores(iter([t]))) for t in texts], atol=1e-5) and together[2] == 0.0
+
+
+def test_long_words_reach_the_network_whole():
+    """A text without spaces is taken whole, in training and in scoring."""
+    word = "".join(chr(0x4E00 + k) for k in range(300))
+    cut = toxicity.pieces([b"ab", raw := word.encode()])
+    assert cut[0] == b"ab" and cut[1] + b"".join(x[toxicity.LAP :] for x in cut[2:]) == raw and max(map(len, cut)) <= toxicity.PIECE
+    words = toxicity.Words()
+    clean, other = words.add(word + "x" * 60), words.add(word + "y" * 60)
+    assert len(clean) > 1 and clean[0] == other[0] and clean[-1] != other[-1]
+    assert toxicity.pieces([b"a" * 60]) == [b"a" * 60] and toxicity.pieces([b"a" * 61]) == [b"a" * 60, b"a" * 13]

@@ -25,10 +25,20 @@ FIT_ROWS = {1: 1000, 0: 1500}
 BUCKETS = 1 << 16
 EPOCHS = 8
 CHUNK_WORDS, PART_WORDS = 150_000, 20_000
+#: Bytes of a word that are taken as one, and of overlap where a longer one is cut. An n-gram has 5 at most, a beginning 12.
+PIECE, LAP = 60, 12
 _STRIP = b".,;:!?\"'()[]{}*$%&|#<>"
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5))
 
 
+def pieces(words: list[bytes]) -> list[bytes]:
+    """Words of more than PIECE bytes as pieces of PIECE bytes, each of which has the last LAP bytes of
+    the one before: every byte is in one, and so is every n-gram."""
+    if max(map(len, words), default=0) <= PIECE:
+        return words
+    return [w[i : i + PIECE] for w in words for i in range(0, max(1, len(w) - LAP), PIECE - LAP)]
+
+
 class Words:
     """The distinct words of a chunk of texts, with their character n-grams as buckets."""
 
@@ -36,7 +46,7 @@ class Words:
         self.code: dict[bytes, int] = {}
 
     def add(self, text: str) -> np.ndarray:
-        code, words = self.code, text.encode("utf-8", "surrogatepass").lower().split()
+        code, words = self.code, pieces(text.encode("utf-8", "surrogatepass").lower().split())
         return np.fromiter((code.setdefault(w, len(code)) for w in words), np.int32, len(words))
 
     def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -53,7 +63,7 @@ class Words:
 
     @staticmethod
     def _grams(part: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        words = [b"^" + (w.strip(_STRIP)[:60] or w[:60]) + b"$" for w in part]
+        words = [b"^" + (w.strip(_STRIP) or w) + b"$" for w in part]
         sizes = np.array([len(w) for w in words], np.int64)
         flat = np.frombuffer(b"".join(words) + b"\0" * 8, np.uint8).astype(np.uint64)
         owner = np.repeat(np.arange(len(words)), sizes)
