@@ -189,3 +189,8 @@ def test_long_words_reach_the_network_whole():
     clean, other = words.add(word + "x" * 60), words.add(word + "y" * 60)
     assert len(clean) > 1 and clean[0] == other[0] and clean[-1] != other[-1]
     assert toxicity.pieces([b"a" * 60]) == [b"a" * 60] and toxicity.pieces([b"a" * 61]) == [b"a" * 60, b"a" * 13]
+
+
+def test_a_secret_is_spanned_to_its_end():
+    text = "password=" + "aB3$" * 100
+    assert (0, 9, len(text)) in [(k, s, e) for k, s, e in pii.candidates(text)] or any(e == len(text) and s == 9 for _, s, e in pii.candidates(text))

@@ -80,7 +80,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 _SECRET_CUE = r"password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key|auth|credential"
-_ASSIGNED = re.compile(rf"(?i)(?<![A-Za-z])(?:{_SECRET_CUE}|login|user(?:name)?|pin|ssn|iban|passport|account)\s{{0,2}}[=:]\s{{0,2}}[\"']?([^\s\"']{{4,256}})")
+_ASSIGNED = re.compile(rf"(?i)(?<![A-Za-z])(?:{_SECRET_CUE}|login|user(?:name)?|pin|ssn|iban|passport|account)\s{{0,2}}[=:]\s{{0,2}}[\"']?([^\s\"']{{4,}})")
 _CHAIN = re.compile(r"(?<![0-9A-Za-z])[0-9](?:[ .()/-]{0,2}[0-9]){5,40}(?![0-9A-Za-z])")
 _SPELT = re.compile(r"[A-Za-z0-9._-]{1,64} ?(?:\[at\]|\(at\)|<at>| at ) ?[A-Za-z0-9-]{1,63} ?(?:\[dot\]|\(dot\)|<dot>| dot ) ?[A-Za-z]{2,12}(?![A-Za-z])")
 _TITLED = re.compile(r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora)\.? [A-Z][a-z]+(?: [A-Z][a-z]+)?")
