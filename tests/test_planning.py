@@ -274,3 +274,10 @@ def test_knapsack_bound_equals_a_plain_walk(spark):
     for w, t in sorted(worth, key=lambda x: -x[0] / x[1]):
         best, left = best + w * max(0.0, min(1.0, left / t)), left - t
     assert math.isclose(scoring.knapsack_bound(edges, trails, Race(budget_s=700.0)).first().bound, best, rel_tol=1e-9)
+
+
+def test_repairs_try_every_missing_trail():
+    import random
+
+    for how in ("greedy", "regret"):
+        assert sorted(search._insert(None, random.Random(1), [], list(range(20)), how, None, len)) == list(range(20))

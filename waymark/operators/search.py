@@ -231,7 +231,6 @@ def _insert(p: Problem, rnd: random.Random, order: list[int], pool: list[int], h
             if value(new) >= value(order):
                 order = new
         return order
-    pool = rnd.sample(pool, min(len(pool), 6))
     while pool:
         now, best = value(order), None
         for t in pool:
@@ -277,11 +276,11 @@ def large_neighbourhood(p: Problem, seed: int, iterations: int, race: Race = Rac
     return {"order": best, "walk": walk, "score": p.score(p.edges(walk), race), "time_s": p.seconds(walk), "breaches": breaches(p, walk, rule), "shed_s": shed_seconds(p, walk)}
 
 
-def adaptive(p: Problem, seed: int, iterations: int, floor: float, race: Race = Race()) -> dict:
+def adaptive(p: Problem, seed: int, iterations: int, floor: float, race: Race = Race(), rule: Rule = Rule()) -> dict:
     """A walk at or above the floor that can shed as much as possible: half the steps go to the plain
     score, the rest on from there."""
-    plain = large_neighbourhood(p, seed, iterations // 2, race)
-    return large_neighbourhood(p, seed, iterations - iterations // 2, race, floor=floor, start=plain["order"])
+    plain = large_neighbourhood(p, seed, iterations // 2, race, rule)
+    return large_neighbourhood(p, seed, iterations - iterations // 2, race, rule, floor, start=plain["order"])
 
 
 def exact(p: Problem, race: Race = Race(), rule: Rule = Rule()) -> dict:
@@ -321,7 +320,7 @@ def solve_grid(spark: SparkSession, p: Problem, grid: DataFrame, iterations: int
             for r in f.itertuples():
                 rule = Rule(r.option, tuple(r.require), tuple(r.forbid))
                 floor = None if r.floor is None or math.isnan(r.floor) else r.floor
-                x = large_neighbourhood(held.value, int(r.seed), iterations, race, rule, floor)
+                x = large_neighbourhood(held.value, int(r.seed), iterations, race, rule) if floor is None else adaptive(held.value, int(r.seed), iterations, floor, race, rule)
                 out.append((r.option, int(r.seed), x["score"], x["time_s"], x["breaches"], x["shed_s"], x["walk"]))
             yield pd.DataFrame(out, columns=["option", "seed", "score", "time_s", "breaches", "shed_s", "walk"])
 
