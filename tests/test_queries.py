@@ -48,3 +48,24 @@ def test_entry(spark):
 
     assert e.entry(spark).count() == 1000
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_the_whole_graph_of_orders_and_parts(spark, con):
+    """Components, degrees and dangles over all lineitem rows, by brute force."""
+    edges = set(con.execute("SELECT l_orderkey, -l_partkey FROM lineitem").fetchall())
+    parent, degree = {}, {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for u, v in edges:
+        a, b = root(u), root(v)
+        parent[max(a, b)] = min(a, b)
+        for x in (u, v):
+            degree[x] = degree.get(x, 0) + 1
+    q = catalogue.QUERIES
+    assert {r.node: r.component for r in q["components_whole"](spark, SF).collect()} == {x: root(x) for x in degree}
+    assert {r.node: r.degree for r in q["node_degree_whole"](spark, SF).collect()} == degree
+    assert {r.node for r in q["dangles_whole"](spark, SF).collect()} == {x for x, n in degree.items() if n == 1}

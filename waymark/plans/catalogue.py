@@ -253,6 +253,26 @@ def dangles(spark, sf):
     return graph.dangles(_sparse(spark, sf))
 
 
+def _order_parts(spark, sf):
+    return _table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("u"), (-F.col("l_partkey")).alias("v")).distinct()
+
+
+@query()
+def components_whole(spark, sf):
+    """Connected components of all orders and parts."""
+    return graph.components(_order_parts(spark, sf))
+
+
+@query()
+def node_degree_whole(spark, sf):
+    return graph.degrees(_order_parts(spark, sf))
+
+
+@query()
+def dangles_whole(spark, sf):
+    return graph.dangles(_order_parts(spark, sf))
+
+
 def _edges(spark, sf):
     """Parts as edges: quantities both ways as seconds, price as miles, brand as trail."""
     line, part = _table(spark, sf, "lineitem"), _table(spark, sf, "part")
