@@ -69,3 +69,21 @@ def test_the_whole_graph_of_orders_and_parts(spark, con):
     assert {r.node: r.component for r in q["components_whole"](spark, SF).collect()} == {x: root(x) for x in degree}
     assert {r.node: r.degree for r in q["node_degree_whole"](spark, SF).collect()} == degree
     assert {r.node for r in q["dangles_whole"](spark, SF).collect()} == {x for x, n in degree.items() if n == 1}
+
+
+def test_ways_over_all_arcs_by_dijkstra(spark, con):
+    import heapq
+
+    flow = con.execute("SELECT c_nationkey, s_nationkey, count(*) FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey WHERE c_nationkey <> s_nationkey GROUP BY ALL").fetchall()
+    out, want = {}, {}
+    for u, v, n in flow:
+        out.setdefault(u, []).append((v, float(n)))
+    for src in {x for u, v, _ in flow for x in (u, v)}:
+        heap = [(0.0, src)]
+        while heap:
+            d, x = heapq.heappop(heap)
+            if (src, x) not in want:
+                want[src, x] = d
+                for v, n in out.get(x, ()):
+                    heapq.heappush(heap, (d + n, v))
+    assert {(r.src, r.dst): r.time_s for r in catalogue.QUERIES["apsp_nations_whole"](spark, SF).collect()} == want
