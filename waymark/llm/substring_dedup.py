@@ -5,26 +5,22 @@ so: of every ``SPREAD`` five-word shingles in a row the one with the least hash
 the ``SPAN`` words from it are a paragraph. Any passage of SPREAD + SPAN + 1 = 51 words or more
 has a whole paragraph inside it, cut in the same place in every document.
 
-A paragraph is a bag of SPAN - 4 = 22 shingles (repeats numbered). Equal paragraphs are one class.
-Bands join classes that begin with the same anchor shingle and share a MinHash of the others:
-at the least overlap that counts, 20 of 22 shingles (Jaccard 20 / 24 > 0.8), three bands of one
-row collide with a probability of 1 - (1 - 20 / 24) ** 3 = 0.995. Colliding classes are verified
-exactly. Buckets of up to ``PAIRS`` classes are paired. A larger bucket's classes are sent to
-their subsets of 20 shingles, since two bags overlap in 20 exactly if they share one, so that
-nothing grows with the square of a bucket. A shingle that no other such class with its anchor has must be among
-the two left out: a class with three of them has no link, with two it has one subset, with one 21. Classes linked by either way are clustered by
-connected components, and of each cluster the document with the least id keeps its copy.
-
-A paragraph of 26 words is too short for Jaccard 0.8 to admit a changed word inside it. So the
-``LONG`` = 52 words from each anchor are a paragraph as well, of 48 shingles: one changed word
-leaves 43 in common, 43 / 53 > 0.8. Their bands, six of three rows, know nothing of the anchor: at
-43 / 53 they collide with a probability of 0.99, and any two paragraphs of different rows that
-collide are verified exactly. A key that a filter shows in one row only is dropped early; each row
-counts once, since neighbours in a text share most of their shingles. Buckets of up to
-``LONG_PAIRS`` classes are paired. The classes of a larger one are dealt out again by ``FURTHER``
-more MinHashes; what is still too large is compared with ``PIVOTS`` of its classes, the most frequent
-one among them, so there a link between two classes that are unlike all pivots can be missed. A
-linked long paragraph counts from its first to its last shingle that a linked one has too.
+Equal paragraphs are one class. Two classes are near copies if their word edit distance is
+``EDITS`` = 2 or less (a similarity of 24 / 26 = 0.92), or if the last 24 words of one are the
+first 24 of the other; every pair whose five-word shingles have a Jaccard similarity of 0.8 or
+more (20 of 22 in common) is among these, and so is a pair with one or two words changed, which
+leave a Jaccard similarity of 0.63 and 0.38.
+
+Candidates come from ``BANDS`` = 6 bands of one MinHash over the shingles, at about the same place
+in both paragraphs; anchors are no part of a key. A pair with a word changed in its middle collides
+with a probability of 1 - (1 - 0.63) ** 6 = 0.997, one with two words far apart changed with 0.94.
+A Bloom filter of keys held by two rows or more lets paragraphs go that nothing can collide with.
+Buckets of up to ``PAIRS`` classes are paired and verified. The classes of larger buckets are sent
+to what is left of them without two words instead: two paragraphs are near copies exactly if they
+share one of these remainders, so that nothing grows with the square of a bucket. A shingle that
+only one such class has must be hit by the words left out, which leaves few remainders. Classes
+linked by either way are clustered by connected components, and of each cluster the document with
+the least id keeps its copy.
 """
 
 from __future__ import annotations
@@ -35,28 +31,27 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.llm._common import ROW, lookup, materialise, text_batches, text_of, with_row_key
 from waymark.llm.components import connected_components
-from waymark.llm.exact_dedup import maybe_repeated, repeated_cells
+from waymark.llm.exact_dedup import repeated_cells
 
 SHINGLE, SPREAD, SPAN = 5, 24, 26
 BAG = SPAN - SHINGLE + 1
-OVERLAP = 20
-BANDS = 3
+EDITS = 2
+BANDS = 6
+#: A key tells the place of its shingle in steps of so many words, every other band's half a step on.
+STEP = 8
 PAIRS = 64
-LONG = 52
-LONG_BAG = LONG - SHINGLE + 1
-LONG_OVERLAP = 43
-LONG_BANDS, LONG_ROWS = 6, 3
-LONG_PAIRS, FURTHER, PIVOTS = 128, 8, 8
 #: Characters of text that are cut at once; a longer text is cut whole.
 CHUNK = 1_000_000
+#: Characters of text for each paragraph, about; the filter's size follows from it.
+CHARS = 80
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xC2B2AE3D27D4EB4F)
-_ODD = np.random.default_rng(5).integers(1 << 63, size=LONG_BANDS * LONG_ROWS + FURTHER, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ODD = np.random.default_rng(5).integers(1 << 63, size=BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -65,43 +60,33 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _numbered(bags: np.ndarray, again: np.ndarray) -> np.ndarray:
-    """Bags with repeated shingles numbered in the rows ``again``; places stay."""
-    turn = np.argsort(bags[again], 1, kind="stable")
-    some = np.take_along_axis(bags[again], turn, 1)
-    same = np.zeros(some.shape, np.uint64)
-    for k in range(1, bags.shape[1]):
-        same[:, k] = np.where(some[:, k] == some[:, k - 1], same[:, k - 1] + np.uint64(1), np.uint64(0))
-    out = bags.copy()
-    back = np.zeros_like(some)
-    np.put_along_axis(back, turn, np.where(same > 0, _mix(some + same), some), 1)
-    out[again] = back
-    return out
-
-
-def cut_texts(texts: list[str], keep=None, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The paragraphs of texts: the text's number, the start word, and the anchor's hash followed
-    by the bag of shingles (one row each; longer ones than SPAN in the order of the text). Words are separated by ASCII white space; A-Z are
-    lower-cased. keep: a function of anchors' hashes that tells which are wanted. span: words of a paragraph."""
-    size = span - SHINGLE + 1
+def _shingles(w: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of SHINGLE words along the last axis; w: word codes."""
+    n = w.shape[-1] - SHINGLE + 1
+    out = w[..., :n].astype(np.uint64)
+    for k in range(1, SHINGLE):
+        out = _mix(out) + w[..., k : n + k].astype(np.uint64)
+    return _mix(out)
+
+
+def cut_texts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The paragraphs of texts: the text's number, the start word, and SPAN word codes of 20 bits
+    (one row each). Words are separated by ASCII white space; A-Z are lower-cased."""
     code: dict[bytes, int] = {}
     split = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
     sizes = np.array([len(x) for x in split], np.int64)
     total = int(sizes.sum())
-    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, size + 1), np.uint64)
-    if total < span:
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, SPAN), np.uint32)
+    if total < SPAN:
         return none
     codes = np.fromiter((code.setdefault(w, len(code)) for x in split for w in x), np.int64, total)
     digest = xxhash.xxh64_intdigest
-    w = np.fromiter((digest(x) for x in code), np.uint64, len(code))[codes]
+    w = (np.fromiter((digest(x) for x in code), np.uint64, len(code)) >> np.uint64(44)).astype(np.uint32)[codes]
     doc = np.repeat(np.arange(len(texts)), sizes)
     place = np.arange(total) - (np.cumsum(sizes) - sizes)[doc]
     left = sizes[doc] - place
     n = total - SHINGLE + 1
-    shingles = w[:n].copy()
-    for k in range(1, SHINGLE):
-        shingles = _mix(shingles) + w[k : n + k]
-    shingles = _mix(shingles)
+    shingles = _shingles(w)
     # The least of SPREAD in a row: hashes with their place in the low bits, ties to the first.
     bits = np.uint64(max(24, n.bit_length()))
     low = (np.uint64(1) << bits) - np.uint64(1)
@@ -118,25 +103,16 @@ def cut_texts(texts: list[str], keep=None, span: int = SPAN) -> tuple[np.ndarray
         first = int(sizes[:k].sum())
         found.append(np.array([first + int(shingles[first : first + sizes[k] - SHINGLE + 1].argmin())]))
     anchors = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-    anchors = anchors[left[anchors] >= span]
-    if keep is not None:
-        anchors = anchors[keep(shingles[anchors])]
+    anchors = anchors[left[anchors] >= SPAN]
     if not len(anchors):
         return none
-    bags = np.lib.stride_tricks.sliding_window_view(shingles, size)[anchors]
-    order = np.sort(bags, 1)
-    again = (order[:, 1:] == order[:, :-1]).any(1)
-    bags = _numbered(bags, again)
-    if span == SPAN:
-        order[again] = np.sort(bags[again], 1)
-        bags = order
-    found = np.concatenate([shingles[anchors][:, None], bags], 1)
+    words = np.lib.stride_tricks.sliding_window_view(w, SPAN)[anchors]
     # Where a few words come over and over, one equal paragraph follows another: every so often is enough.
     own, start = doc[anchors], place[anchors]
-    equal = np.concatenate([[False], (own[1:] == own[:-1]) & (found[1:] == found[:-1]).all(1)])
+    equal = np.concatenate([[False], (own[1:] == own[:-1]) & (words[1:] == words[:-1]).all(1)])
     since = (start - start[~equal][np.cumsum(~equal) - 1]) // (SPREAD // 2)
     kept = ~equal | (since != np.concatenate([[-1], since[:-1]]))
-    return own[kept], start[kept], found[kept]
+    return own[kept], start[kept], words[kept]
 
 
 def chunks(texts: list[str], size: int = CHUNK) -> Iterator[tuple[int, list[str]]]:
@@ -151,249 +127,180 @@ def chunks(texts: list[str], size: int = CHUNK) -> Iterator[tuple[int, list[str]
         yield begin, texts[begin:]
 
 
-def _whole(found: np.ndarray) -> np.ndarray:
-    """Of rows of anchor and bag: the class (a hash of the bag)."""
-    with np.errstate(over="ignore"):
-        return _mix(_mix(found[:, 1:]).sum(1) ^ found[:, 0]).view(np.int64)
+def _sequence(words: np.ndarray, first: int = 0) -> np.ndarray:
+    """Hashes of words at places ``first`` and on, which add up to the hash of a sequence."""
+    places = np.arange(first, first + words.shape[1], dtype=np.uint64) << np.uint64(32)
+    return _mix(_mix(words.astype(np.uint64) + places) + _A)
 
 
-def _classes(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of rows of anchor and bag: the class (a hash of the bag) and its band keys."""
-    anchor, bags = found[:, 0], found[:, 1:]
-    with np.errstate(over="ignore"):
-        keys = [_mix(_mix(bags ^ _mix(np.full(1, k + 1, np.uint64))).min(1) + _mix(anchor + np.uint64(k))) for k in range(BANDS)]
-    return _whole(found), np.stack(keys, 1).view(np.int64) if len(bags) else np.zeros((0, BANDS), np.int64)
+def classes_of(words: np.ndarray) -> np.ndarray:
+    """Of rows of word codes: the class, a hash of the paragraph."""
+    return _mix(_sequence(words).sum(1)).view(np.int64)
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", *ROW, "start", "class", "anchor", *(f"k{k}" for k in range(BANDS))]
-    for b in batches:
-        for begin, texts in chunks(b.column("text").to_pylist()):
-            doc, start, found = cut_texts(texts)
-            if len(doc):
-                rows = b.select(["doc_id", *ROW]).take(pa.array(doc + begin))
-                classes, keys = _classes(found)
-                columns = [start.astype(np.int32), classes, found[:, 0].copy().view(np.int64), *keys.T.copy()]
-                yield pa.RecordBatch.from_arrays([*rows.columns, *map(pa.array, columns)], names)
+def band_keys(words: np.ndarray) -> np.ndarray:
+    """Of rows of word codes: BANDS keys, each a MinHash of the shingles with its rough place."""
+    keys = np.zeros((len(words), BANDS), np.uint64)
+    if len(words):
+        bags, five = _shingles(words), np.uint64(5)
+        for k in range(BANDS):
+            least = ((bags * _ODD[k]) >> five << five | np.arange(BAG, dtype=np.uint64)).min(1)
+            step = ((least & np.uint64(31)) + np.uint64(STEP // 2 * (k % 2))) // np.uint64(STEP)
+            keys[:, k] = _mix(_mix(least >> five) + np.uint64(k * 32) + step)
+    return keys
 
 
-def _bags_of(wanted, log2: int, span: int = SPAN):
-    """Class, anchor and bag of the paragraphs whose anchor may be among the wanted ones."""
+def _all_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The band keys of paragraphs, each once for each row."""
+    for b in batches:
+        for _, texts in chunks(b.column("text").to_pylist()):
+            doc, _, words = cut_texts(texts)
+            keys = band_keys(words)
+            own = keys ^ _mix(doc.astype(np.uint64) + np.uint64(1))[:, None]
+            first = np.unique(own, return_index=True)[1]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()[first].view(np.int64))], ["key"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, mask, sent = wanted.value, np.uint64((1 << log2) - 1), set()
 
-        def keep(anchors: np.ndarray) -> np.ndarray:
-            cell = anchors & mask
-            return (bits[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1
+def _suspects(seen, log2: int):
+    """The paragraphs of which some key may be in more than one row. A task gives a class's words
+    once only, and again when it has seen very many classes."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, mask, sent = seen.value, np.uint64((1 << log2) - 1), set()
         for b in batches:
-            for _, texts in chunks(b.column("text").to_pylist()):
-                found = cut_texts(texts, keep, span)[2]
-                classes = _whole(found)
-                fresh = [k for k, c in enumerate(classes.tolist()) if c not in sent]
-                if len(sent) > 100_000:
-                    sent.clear()
-                sent.update(classes[fresh].tolist())
-                rows = found[fresh].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(classes[fresh]), pa.array(rows[:, 0].copy()), pa.array(rows[:, 1:].tolist(), pa.list_(pa.int64()))], ["class", "anchor", "bag"])
+            for begin, texts in chunks(b.column("text").to_pylist()):
+                doc, start, words = cut_texts(texts)
+                cell = band_keys(words) & mask
+                hit = ((bits[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1).any(1)
+                if hit.any():
+                    classes = classes_of(words[hit])
+                    if len(sent) > 100_000:
+                        sent.clear()
+                    said = [None if c in sent or sent.add(c) else w.tobytes() for c, w in zip(classes.tolist(), words[hit])]
+                    rows = b.select(["doc_id", *ROW]).take(pa.array(doc[hit] + begin))
+                    columns = [pa.array(start[hit].astype(np.int32)), pa.array(classes), pa.array(said, pa.binary())]
+                    yield pa.RecordBatch.from_arrays([*rows.columns, *columns], ["doc_id", *ROW, "start", "class", "words"])
 
     return run
 
 
-def _subsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each subset of OVERLAP shingles of each bag that keeps none of its lone ones."""
-    drop = BAG - OVERLAP
+def _words_in(b: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(b.column("words").to_pylist()), np.uint32).reshape(-1, SPAN)
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        bags = np.array(b.column("bag").to_pylist(), np.int64).reshape(-1, BAG)
-        ids, rows, out = [], [], []
-        for k, (c, lone) in enumerate(zip(b.column("class").to_pylist(), b.column("lone").to_pylist())):
-            must = [i for i, x in enumerate(bags[k]) if int(x) in lone] if lone else []
-            for more in combinations([i for i in range(BAG) if i not in must], drop - len(must)):
-                ids.append(c)
-                rows.append(k)
-                out.append((*must, *more))
-        with np.errstate(over="ignore"):
-            one, two = _mix(bags.view(np.uint64)), _mix(bags.view(np.uint64) ^ _A)
-            left = np.array(out, np.int64).reshape(-1, drop)
-            own = np.array(rows, np.int64)
-            keys = [m.sum(1)[own] - m[own[:, None], left].sum(1) for m in (one, two)]
-        for i in range(0, len(ids), 8192):
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 8192], pa.int64()), *(pa.array(k[i : i + 8192].view(np.int64)) for k in keys)], ["class", "s1", "s2"])
-
-
-def class_links(df: DataFrame, cut: DataFrame, text: str, pairs: int = PAIRS) -> DataFrame:
-    """Links a, b between classes of different paragraphs that overlap in OVERLAP shingles or more."""
-    spark = df.sparkSession
-    keys = lambda frame: frame.select("class", "anchor", F.explode(F.array(*(f"k{k}" for k in range(BANDS)))).alias("key"))
-    mixed = keys(cut.select("class", F.lit(0).alias("anchor"), *(f"k{k}" for k in range(BANDS)))).groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("key")
-    mixed = materialise(mixed, "mixed")
-    many = mixed.count()
-    maybe = maybe_repeated(spark, *repeated_cells(mixed.unionByName(mixed), max(1, 2 * many)))
-    some = keys(cut).where(maybe("key"))
-    members = materialise(some.distinct().join(mixed, "key", "left_semi"), "members")
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    members = materialise(lookup(members, sizes, "key", "n", max(1, members.count())), "members")
-    wanted = materialise(members.select("class", "anchor").distinct(), "wanted")
-    anchors = wanted.select("anchor").distinct()
-    bits, log2 = repeated_cells(anchors.unionByName(anchors), max(1, 2 * wanted.count()))
-    held = spark.sparkContext.broadcast(bits)
-    bags = df.select(text_of(text).alias("text")).mapInArrow(_bags_of(held, log2), "class long, anchor long, bag array<long>")
-    bags = materialise(bags.join(wanted.select("class"), "class", "left_semi").groupBy("class").agg(F.first("anchor").alias("anchor"), F.first("bag").alias("bag")), "bags")
-    few = members.where(F.col("n") <= pairs).select("key", "class").join(bags, "class").select("key", "class", "bag")
-    close = few.alias("a").join(few.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.class") < F.col("b.class")))
-    paired = close.where(F.size(F.array_intersect("a.bag", "b.bag")) >= OVERLAP).select(F.col("a.class").alias("a"), F.col("b.class").alias("b"))
-    large = materialise(bags.join(members.where(F.col("n") > pairs).select("class").distinct(), "class", "left_semi"), "large")
-    held_by = large.select("class", "anchor", F.explode("bag").alias("shingle")).groupBy("anchor", "shingle").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("class"))
-    lone = held_by.where("n = 1").groupBy("class").agg(F.collect_list("shingle").alias("lone"))
-    none = F.array().cast("array<long>")
-    large = large.join(lone, "class", "left").withColumn("lone", F.coalesce("lone", none)).where(F.size("lone") <= BAG - OVERLAP)
-    subsets = large.select("class", "bag", "lone").mapInArrow(_subsets, "class long, s1 long, s2 long").groupBy("s1", "s2")
-    shared = subsets.agg(F.min("class").alias("a"), F.max("class").alias("b"), F.collect_set("class").alias("all")).where("a <> b")
-    return paired.unionByName(shared.select("a", F.explode("all").alias("b")).where("a <> b")).distinct()
-
-
-def _long_keys(found: np.ndarray) -> np.ndarray:
-    """The band keys of rows of anchor and bag; the anchor is not part of them."""
-    keys = np.zeros((len(found), LONG_BANDS), np.uint64)
-    if len(found):
-        bags = np.ascontiguousarray(found[:, 1:])
-        for k in range(LONG_BANDS):
-            keys[:, k] = k + 1
-            for i in range(LONG_ROWS):
-                keys[:, k] = _mix(keys[:, k]) + (bags * _ODD[k * LONG_ROWS + i]).min(1)
-            keys[:, k] = _mix(keys[:, k])
-    return keys
+        keys = band_keys(_words_in(b)).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("class").to_numpy(), BANDS)), pa.array(keys.ravel())], ["class", "key"])
 
 
-def _all_long_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The band keys of long paragraphs, each once for each row."""
+def _letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Paragraphs as strings of a character for each word, so that Spark's edit distance counts words."""
     for b in batches:
-        for _, texts in chunks(b.column("text").to_pylist()):
-            doc, _, found = cut_texts(texts, None, LONG)
-            keys = _long_keys(found)
-            own = keys ^ _mix(doc.astype(np.uint64) + np.uint64(1))[:, None]
-            first = np.unique(own, return_index=True)[1]
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()[first].view(np.int64))], ["key"])
+        every = (_words_in(b) + np.uint32(0x10000)).astype("<u4").tobytes().decode("utf-32-le")
+        yield pa.RecordBatch.from_arrays([b.column("class"), pa.array([every[i : i + SPAN] for i in range(0, len(every), SPAN)], pa.string())], ["class", "letters"])
 
 
-def _long_paragraphs(seen, log2: int):
-    """The long paragraphs of which some key may be in more than one row, with those keys."""
+def _shingles_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = _shingles(_words_in(b)).view(np.int64)
+        place = np.tile(np.arange(BAG, dtype=np.int32), len(found))
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("class").to_numpy(), BAG)), pa.array(place), pa.array(found.ravel())], ["class", "place", "shingle"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, mask = seen.value, np.uint64((1 << log2) - 1)
-        for b in batches:
-            for begin, texts in chunks(b.column("text").to_pylist()):
-                doc, start, found = cut_texts(texts, None, LONG)
-                keys = _long_keys(found)
-                cell = keys & mask
-                hit = (bits[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                some = hit.any(1)
-                if some.any():
-                    hit, keys, found = hit[some], keys[some], found[some]
-                    ends = np.concatenate([[0], np.cumsum(hit.sum(1))]).astype(np.int32)
-                    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[hit].view(np.int64)))
-                    rows = b.select(["doc_id", *ROW]).take(pa.array(doc[some] + begin))
-                    columns = [start[some].astype(np.int32), _whole(found), found[:, 0].copy().view(np.int64)]
-                    yield pa.RecordBatch.from_arrays([*rows.columns, *map(pa.array, columns), lists], ["doc_id", *ROW, "start", "class", "anchor", "keys"])
 
-    return run
+_PAIRS_OF_PLACES = np.array(list(combinations(range(SPAN), EDITS)))
+_HIT = np.array([sum(1 << k for k in range(max(0, i - SHINGLE + 1), min(BAG, i + 1))) for i in range(SPAN)], np.int64)
 
 
-def _further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """FURTHER more MinHashes of each bag."""
+def remainders(words: np.ndarray, lone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows of word codes: the number of the row and a hash, for each way to leave words out that
+    hits all ``lone`` shingles (a bit for each): two words of any place, their places kept; one word,
+    the rest moved up (a near copy may have a word more, in a gap that is hit as well); the first
+    two or last two words."""
+    out = []
+    with np.errstate(over="ignore"):
+        h = _sequence(words)
+        total = h.sum(1)
+        one, two = _PAIRS_OF_PLACES.T
+        ok = (lone[:, None] & ~(_HIT[one] | _HIT[two])[None, :]) == 0
+        row, pair = np.nonzero(ok)
+        marks = _mix(np.arange(len(one), dtype=np.uint64) + np.uint64(7))
+        out.append((row, total[row] - h[row, one[pair]] - h[row, two[pair]] + marks[pair]))
+        moved = _sequence(words[:, 1:])
+        before = np.concatenate([np.zeros((len(words), 1), np.uint64), h.cumsum(1)[:, :-1]], 1)
+        after = np.concatenate([moved[:, ::-1].cumsum(1)[:, ::-1], np.zeros((len(words), 1), np.uint64)], 1)
+        rest = lone[:, None] & ~_HIT[None, :]
+        lowest = rest & -rest
+        row, place = np.nonzero(rest < lowest * (1 << (SHINGLE - 1)) + (rest == 0))
+        out.append((row, before[row, place] + after[row, place] + _A))
+        every = np.arange(len(words))
+        out.append((np.concatenate([every, every]), np.concatenate([h[:, :-EDITS].sum(1), _sequence(words[:, EDITS:]).sum(1)]) + _B))
+    return np.concatenate([r for r, _ in out]), np.concatenate([s for _, s in out])
+
+
+def _remainders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if b.num_rows:
-            bags = np.array(b.column("bag").to_pylist(), np.int64).view(np.uint64)
-            more = np.stack([_mix((bags * x).min(1) + np.uint64(i)) for i, x in enumerate(_ODD[-FURTHER:])], 1)
-            yield pa.RecordBatch.from_arrays([b.column("class"), pa.array(more.view(np.int64).tolist(), pa.list_(pa.int64()))], ["class", "more"])
-
-
-def long_paragraphs(rows: DataFrame, n: int) -> DataFrame:
-    """doc_id, ROW, start, class, anchor and keys of the long paragraphs of rows (doc_id, ROW, text)
-    that may collide with one of another row. n: an upper bound of their number, about."""
-    spark = rows.sparkSession
-    bits, log2 = repeated_cells(rows.select("text").mapInArrow(_all_long_keys, "key long"), max(1, LONG_BANDS * n))
-    held = spark.sparkContext.broadcast(bits)
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return materialise(rows.mapInArrow(_long_paragraphs(held, log2), f"doc_id {kind}, {ROW[0]} long, {ROW[1]} long, start int, class long, anchor long, keys array<long>"), "long")
-
-
-def long_links(rows: DataFrame, long: DataFrame, pairs: int = LONG_PAIRS) -> DataFrame:
-    """Links a, b between classes of different long paragraphs that overlap in LONG_OVERLAP shingles
-    or more and are not in one and the same row only, with the places (from 1) of the first and last common shingle in both: a0, a1, b0, b1."""
-    spark = rows.sparkSession
-    each = long.select("class", "anchor", F.xxhash64(*ROW).alias("row"), F.explode("keys").alias("key"))
-    mixed = each.groupBy("key").agg(F.min("class").alias("c0"), F.max("class").alias("c1"), F.min("row").alias("r0"), F.max("row").alias("r1")).where("c0 <> c1 and r0 <> r1").select("key")
-    mixed = materialise(mixed, "long-mixed")
-    members = each.groupBy("key", "class", "anchor").agg(F.count(F.lit(1)).alias("copies")).join(mixed, "key", "left_semi")
-    members = materialise(members, "long-members")
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    members = materialise(lookup(members, sizes, "key", "n", max(1, members.count())), "long-sized")
-    wanted = materialise(members.select("class", "anchor").distinct(), "long-wanted")
-    anchors = wanted.select("anchor").distinct()
-    held, log2 = repeated_cells(anchors.unionByName(anchors), max(1, 2 * wanted.count()))
-    bags = rows.select("text").mapInArrow(_bags_of(spark.sparkContext.broadcast(held), log2, LONG), "class long, anchor long, bag array<long>")
-    bags = materialise(bags.join(wanted.select("class"), "class", "left_semi").groupBy("class").agg(F.first("bag").alias("bag")), "long-bags")
-
-    def paired(frame: DataFrame) -> DataFrame:
-        return frame.alias("a").join(frame.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.class") < F.col("b.class"))).select(F.col("a.class").alias("a"), F.col("b.class").alias("b"))
-
-    large = members.where(F.col("n") > pairs).select("key", "class", "copies")
-    more = bags.join(large.select("class").distinct(), "class", "left_semi").mapInArrow(_further, "class long, more array<long>")
-    dealt = large.join(more, "class").select("class", "copies", "key", F.posexplode("more").alias("i", "hash"))
-    dealt = materialise(dealt.select("class", "copies", F.xxhash64("key", "i", "hash").alias("key")), "long-dealt")
-    picks = [F.max(F.struct("copies", "class")).getField("class"), *(F.max(F.struct(F.xxhash64("class", F.lit(i)), "class")).getField("class") for i in range(1, PIVOTS))]
-    buckets = materialise(dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.array_distinct(F.array(*picks)).alias("pivots")).where("n > 1"), "long-buckets")
-    again = paired(dealt.join(buckets.where(F.col("n") <= pairs).select("key"), "key", "left_semi"))
-    pivots = buckets.where(F.col("n") > pairs).select("key", F.explode("pivots").alias("pivot"))
-    far = dealt.join(pivots, "key").where("class <> pivot").select(F.least("class", "pivot").alias("a"), F.greatest("class", "pivot").alias("b"))
-    close = paired(members.where(F.col("n") <= pairs).select("key", "class")).unionByName(again).unionByName(far).distinct()
-    close = close.join(bags.select(F.col("class").alias("a"), F.col("bag").alias("bag_a")), "a").join(bags.select(F.col("class").alias("b"), F.col("bag").alias("bag_b")), "b")
-    close = close.withColumn("both", F.array_intersect("bag_a", "bag_b")).where(F.size("both") >= LONG_OVERLAP)
-    held_in = each.groupBy("class").agg(F.min("row").alias("r0"), F.max("row").alias("r1")).where("r0 = r1").select("class", "r0")
+            row, rest = remainders(_words_in(b), b.column("lone").to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(b.column("class").to_numpy()[row]), pa.array(_mix(rest).view(np.int64))], ["class", "rest"])
+
+
+def near(a: Column, b: Column) -> Column:
+    """Whether two paragraphs, as letters, are near copies."""
+    short = SPAN - EDITS
+    shifted = (F.substring(a, EDITS + 1, short) == F.substring(b, 1, short)) | (F.substring(b, EDITS + 1, short) == F.substring(a, 1, short))
+    return (F.levenshtein(a, b, EDITS) >= 0) | shifted
+
+
+def class_links(classes: DataFrame, pairs: int = PAIRS) -> DataFrame:
+    """classes: class, words (unique). Links a, b whose components are those of all near copies that collide."""
+    keys = materialise(classes.select("class", "words").mapInArrow(_keys, "class long, key long"), "keys")
+    buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = materialise(lookup(keys, buckets, "key", "n", max(1, keys.count())).where("n is not null"), "members")
+    few = members.where(F.col("n") <= pairs)
+    close = few.alias("a").join(few.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.class") < F.col("b.class"))).select(F.col("a.class").alias("a"), F.col("b.class").alias("b")).distinct()
+    letters = materialise(classes.select("class", "words").join(few.select("class").distinct(), "class", "left_semi").mapInArrow(_letters, "class long, letters string"), "letters")
     for side in "ab":
-        close = close.join(held_in.select(F.col("class").alias(side), F.col("r0").alias(f"only_{side}")), side, "left")
-    close = close.where("only_a is null or only_b is null or only_a <> only_b")
-    place = lambda bag: F.transform("both", lambda x: F.array_position(bag, x))
-    close = close.select("a", "b", place(F.col("bag_a")).alias("at"), place(F.col("bag_b")).alias("bt"))
-    return close.select("a", "b", F.array_min("at").alias("a0"), F.array_max("at").alias("a1"), F.array_min("bt").alias("b0"), F.array_max("bt").alias("b1"))
+        close = close.join(letters.select(F.col("class").alias(side), F.col("letters").alias(f"of_{side}")), side)
+    paired = close.where(near(F.col("of_a"), F.col("of_b"))).select("a", "b")
+    large = materialise(classes.select("class", "words").join(members.where(F.col("n") > pairs).select("class").distinct(), "class", "left_semi"), "large")
+    held = large.mapInArrow(_shingles_in, "class long, place int, shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("class"), F.min("place").alias("place"))
+    lone = held.where("n = 1").groupBy("class").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("lone"))
+    rests = large.join(lone, "class", "left").select("class", "words", F.coalesce("lone", F.lit(0).cast("long")).alias("lone")).mapInArrow(_remainders, "class long, rest long")
+    shared = rests.withColumn("least", F.min("class").over(Window.partitionBy("rest"))).where("class <> least")
+    return paired.unionByName(shared.select(F.col("least").alias("a"), F.col("class").alias("b")).distinct())
 
 
 def repeated_passages(df: DataFrame, text: str = "text", doc_id: str = "doc_id", pairs: int = PAIRS) -> DataFrame:
     """One row per passage that repeats across rows of ``df``: doc_id, start_word, end_word
     (exclusive), cluster, n_copies, keep_id, removed.
 
-    A passage is a run of overlapping repeated paragraphs (short and long) with the same keep_id: the least id among
+    A passage is a run of overlapping repeated paragraphs with the same keep_id: the least id among
     the rows that hold its cluster (null below all others), which keeps its copy (removed false).
     cluster is the least cluster of its paragraphs, n_copies how often the most frequent of its clusters occurs.
     Texts under SPAN words (null and empty too) have no paragraphs; of repeated rows all keep or
     lose alike; an empty table gives no rows.
     """
-    text_batches(df.sparkSession)
+    spark = df.sparkSession
+    text_batches(spark)
     keyed = with_row_key(df)
     kind = df.schema[doc_id].dataType.simpleString()
     rows = keyed.select(F.col(doc_id).alias("doc_id"), *ROW, text_of(text).alias("text"))
-    keys = ", ".join(f"k{k} long" for k in range(BANDS))
-    cut = materialise(rows.mapInArrow(_cut, f"doc_id {kind}, {ROW[0]} long, {ROW[1]} long, start int, class long, anchor long, {keys}"), "paragraphs")
-    long = long_paragraphs(rows, cut.count())
-    far = materialise(long_links(rows, long), "long-links")
-    links = class_links(keyed, cut, text, pairs).unionByName(far.select("a", "b"))
-    others = connected_components(links)
-    nodes = materialise(others.unionByName(others.select(F.col("root").alias("node"), "root").distinct()), "clusters")
-    ends = far.select(F.explode(F.array(F.struct(F.col("a").alias("class"), F.col("a0").alias("first"), F.col("a1").alias("last")), F.struct(F.col("b").alias("class"), F.col("b0").alias("first"), F.col("b1").alias("last")))).alias("x")).select("x.*")
-    ends = ends.groupBy("class").agg(F.min("first").cast("int").alias("first"), F.max("last").cast("int").alias("last"))
-    near = long.join(ends, "class").select("doc_id", *ROW, (F.col("start") + F.col("first") - 1).alias("start"), (F.col("start") + F.col("last") + SHINGLE - 1).alias("end"), F.lit(0).alias("slack"), "class")
-    cut = cut.select("doc_id", *ROW, "start", (F.col("start") + SPAN).alias("end"), F.lit(BAG - OVERLAP).alias("slack"), "class").unionByName(materialise(near, "long-placed"))
+    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    bits, log2 = repeated_cells(rows.select("text").mapInArrow(_all_keys, "key long"), max(1, BANDS * size // CHARS))
+    cut = rows.mapInArrow(_suspects(spark.sparkContext.broadcast(bits), log2), f"doc_id {kind}, {ROW[0]} long, {ROW[1]} long, start int, class long, words binary")
+    cut = materialise(cut, "paragraphs")
     who = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", *ROW)
-    classes = cut.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.min(who).alias("first"), F.max(who).alias("last"))
-    classes = classes.join(nodes.withColumnRenamed("node", "class"), "class", "left").withColumn("cluster", F.coalesce("root", "class")).where("root is not null or first <> last")
-    classes = materialise(classes, "classes")
-    clusters = classes.groupBy("cluster").agg(F.min("first").alias("from"), F.max("last").alias("to"), F.sum("n").alias("n_copies")).where("from <> to")
-    known = classes.join(clusters, "cluster").select("class", "n", "cluster", "n_copies", F.col("from.doc_id").alias("keep_id"), (F.col("first") == F.col("last")).alias("alone"))
-    placed = lookup(cut, known, "class", "n", max(1, cut.count())).where("cluster is not null")
-    # A short paragraph that is like others but equal to none differs from them in its last words.
-    placed = placed.withColumn("end", F.col("end") - F.when(F.col("alone"), F.col("slack")).otherwise(0))
+    classes = materialise(cut.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.min(who).alias("first"), F.max(who).alias("last"), F.max("words").alias("words")), "classes")
+    others = connected_components(class_links(classes, pairs))
+    nodes = others.unionByName(others.select(F.col("root").alias("node"), "root").distinct())
+    known = classes.drop("words").join(nodes.withColumnRenamed("node", "class"), "class", "left").withColumn("cluster", F.coalesce("root", "class")).where("root is not null or first <> last")
+    known = materialise(known, "known")
+    clusters = known.groupBy("cluster").agg(F.min("first").alias("from"), F.max("last").alias("to"), F.sum("n").alias("n_copies")).where("from <> to")
+    known = known.join(clusters, "cluster").select("class", "n", "cluster", "n_copies", F.col("from.doc_id").alias("keep_id"), (F.col("first") == F.col("last")).alias("alone"))
+    placed = lookup(cut.drop("words"), known, "class", "n", max(1, cut.count())).where("cluster is not null")
+    # A paragraph that is like others but equal to none may differ from them in its last words.
+    placed = placed.withColumn("end", F.col("start") + SPAN - F.when(F.col("alone"), EDITS).otherwise(0))
     by = [*ROW, "keep_id"]
     order = Window.partitionBy(*by).orderBy("start")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
