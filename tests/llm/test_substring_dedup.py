@@ -47,8 +47,9 @@ def test_links_connect_what_brute_force_connects(spark, pairs):
     rnd = random.Random(4)
     base = [words(rnd, 60) for _ in range(3)]
     held = paragraphs([" ".join(change(rnd, rnd.choice(base), rnd.randint(0, 3))) for _ in range(150)])
-    codes = {c: np.array([sd.xxhash.xxh64_intdigest(x.encode()) >> 44 for x in w], np.uint32).tobytes() for c, w in held.items()}
-    links = {tuple(r) for r in sd.class_links(spark.createDataFrame(list(codes.items()), "class long, words binary"), pairs).collect()}
+    codes = sd.packed(np.array([[sd.xxhash.xxh64_intdigest(x.encode()) >> 44 for x in w] for w in held.values()])).tolist()
+    classes = spark.createDataFrame([(c, *w) for c, w in zip(held, codes)], "class long, " + ", ".join(f"{w} long" for w in sd.WORDS))
+    links = {tuple(r) for r in sd.class_links(classes, pairs).collect()}
     parent = {c: c for c in held}
 
     def root(x):

@@ -47,8 +47,10 @@ STEP = 8
 PAIRS = 64
 #: Characters of text that are cut at once; a longer text is cut whole.
 CHUNK = 1_000_000
-#: Characters of text for each paragraph, about; the filter's size follows from it.
-CHARS = 80
+#: Characters of text for each paragraph, about, and cells for each key; the filter's size follows from them.
+CHARS, CELLS = 80, 16
+#: Columns that hold a paragraph's word codes, three in each.
+WORDS = [f"w{k}" for k in range(-(-SPAN // 3))]
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xC2B2AE3D27D4EB4F)
 _ODD = np.random.default_rng(5).integers(1 << 63, size=BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -133,6 +135,19 @@ def _sequence(words: np.ndarray, first: int = 0) -> np.ndarray:
     return _mix(_mix(words.astype(np.uint64) + places) + _A)
 
 
+def packed(words: np.ndarray) -> np.ndarray:
+    """Rows of word codes as rows of as many integers as WORDS has."""
+    w = np.zeros((len(words), 3 * len(WORDS)), np.int64)
+    w[:, :SPAN] = words
+    return w[:, 0::3] << 40 | w[:, 1::3] << 20 | w[:, 2::3]
+
+
+def _words_in(b: pa.RecordBatch) -> np.ndarray:
+    """The word codes in a batch's columns WORDS."""
+    found = np.stack([b.column(c).to_numpy() for c in WORDS], 1)
+    return np.stack([found >> 40, found >> 20 & 0xFFFFF, found & 0xFFFFF], 2).reshape(len(found), -1)[:, :SPAN].astype(np.uint32)
+
+
 def classes_of(words: np.ndarray) -> np.ndarray:
     """Of rows of word codes: the class, a hash of the paragraph."""
     return _mix(_sequence(words).sum(1)).view(np.int64)
@@ -176,18 +191,14 @@ def _suspects(seen, log2: int):
                     classes = classes_of(words[hit])
                     if len(sent) > 100_000:
                         sent.clear()
-                    said = [None if c in sent or sent.add(c) else w.tobytes() for c, w in zip(classes.tolist(), words[hit])]
+                    said = np.array([c in sent or bool(sent.add(c)) for c in classes.tolist()])
                     rows = b.select(["doc_id", *ROW]).take(pa.array(doc[hit] + begin))
-                    columns = [pa.array(start[hit].astype(np.int32)), pa.array(classes), pa.array(said, pa.binary())]
-                    yield pa.RecordBatch.from_arrays([*rows.columns, *columns], ["doc_id", *ROW, "start", "class", "words"])
+                    columns = [pa.array(start[hit].astype(np.int32)), pa.array(classes), *(pa.array(w, mask=said) for w in packed(words[hit]).T.copy())]
+                    yield pa.RecordBatch.from_arrays([*rows.columns, *columns], ["doc_id", *ROW, "start", "class", *WORDS])
 
     return run
 
 
-def _words_in(b: pa.RecordBatch) -> np.ndarray:
-    return np.frombuffer(b"".join(b.column("words").to_pylist()), np.uint32).reshape(-1, SPAN)
-
-
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         keys = band_keys(_words_in(b)).view(np.int64)
@@ -253,20 +264,20 @@ def near(a: Column, b: Column) -> Column:
 
 
 def class_links(classes: DataFrame, pairs: int = PAIRS) -> DataFrame:
-    """classes: class, words (unique). Links a, b whose components are those of all near copies that collide."""
-    keys = materialise(classes.select("class", "words").mapInArrow(_keys, "class long, key long"), "keys")
+    """classes: class (unique) and WORDS. Links a, b whose components are those of all near copies that collide."""
+    keys = materialise(classes.select("class", *WORDS).mapInArrow(_keys, "class long, key long"), "keys")
     buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = materialise(lookup(keys, buckets, "key", "n", max(1, keys.count())).where("n is not null"), "members")
     few = members.where(F.col("n") <= pairs)
     close = few.alias("a").join(few.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.class") < F.col("b.class"))).select(F.col("a.class").alias("a"), F.col("b.class").alias("b")).distinct()
-    letters = materialise(classes.select("class", "words").join(few.select("class").distinct(), "class", "left_semi").mapInArrow(_letters, "class long, letters string"), "letters")
+    letters = materialise(classes.select("class", *WORDS).join(few.select("class").distinct(), "class", "left_semi").mapInArrow(_letters, "class long, letters string"), "letters")
     for side in "ab":
         close = close.join(letters.select(F.col("class").alias(side), F.col("letters").alias(f"of_{side}")), side)
     paired = close.where(near(F.col("of_a"), F.col("of_b"))).select("a", "b")
-    large = materialise(classes.select("class", "words").join(members.where(F.col("n") > pairs).select("class").distinct(), "class", "left_semi"), "large")
+    large = materialise(classes.select("class", *WORDS).join(members.where(F.col("n") > pairs).select("class").distinct(), "class", "left_semi"), "large")
     held = large.mapInArrow(_shingles_in, "class long, place int, shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("class"), F.min("place").alias("place"))
     lone = held.where("n = 1").groupBy("class").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("lone"))
-    rests = large.join(lone, "class", "left").select("class", "words", F.coalesce("lone", F.lit(0).cast("long")).alias("lone")).mapInArrow(_remainders, "class long, rest long")
+    rests = large.join(lone, "class", "left").select("class", *WORDS, F.coalesce("lone", F.lit(0).cast("long")).alias("lone")).mapInArrow(_remainders, "class long, rest long")
     shared = rests.withColumn("least", F.min("class").over(Window.partitionBy("rest"))).where("class <> least")
     return paired.unionByName(shared.select(F.col("least").alias("a"), F.col("class").alias("b")).distinct())
 
@@ -287,18 +298,20 @@ def repeated_passages(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
     kind = df.schema[doc_id].dataType.simpleString()
     rows = keyed.select(F.col(doc_id).alias("doc_id"), *ROW, text_of(text).alias("text"))
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    bits, log2 = repeated_cells(rows.select("text").mapInArrow(_all_keys, "key long"), max(1, BANDS * size // CHARS))
-    cut = rows.mapInArrow(_suspects(spark.sparkContext.broadcast(bits), log2), f"doc_id {kind}, {ROW[0]} long, {ROW[1]} long, start int, class long, words binary")
+    bits, log2 = repeated_cells(rows.select("text").mapInArrow(_all_keys, "key long"), max(1, BANDS * size // CHARS), CELLS)
+    cut = rows.mapInArrow(_suspects(spark.sparkContext.broadcast(bits), log2), f"doc_id {kind}, {ROW[0]} long, {ROW[1]} long, start int, class long, {', '.join(f'{w} long' for w in WORDS)}")
     cut = materialise(cut, "paragraphs")
-    who = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", *ROW)
-    classes = materialise(cut.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.min(who).alias("first"), F.max(who).alias("last"), F.max("words").alias("words")), "classes")
+    row = F.xxhash64(*ROW)
+    least = [F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("id"), F.max(F.col("doc_id").isNull()).alias("unnamed"), F.min(row).alias("r0"), F.max(row).alias("r1")]
+    classes = materialise(cut.groupBy("class").agg(*least, *(F.max(w).alias(w) for w in WORDS)), "classes")
     others = connected_components(class_links(classes, pairs))
     nodes = others.unionByName(others.select(F.col("root").alias("node"), "root").distinct())
-    known = classes.drop("words").join(nodes.withColumnRenamed("node", "class"), "class", "left").withColumn("cluster", F.coalesce("root", "class")).where("root is not null or first <> last")
+    known = classes.drop(*WORDS).join(nodes.withColumnRenamed("node", "class"), "class", "left").withColumn("cluster", F.coalesce("root", "class")).where("root is not null or r0 <> r1")
     known = materialise(known, "known")
-    clusters = known.groupBy("cluster").agg(F.min("first").alias("from"), F.max("last").alias("to"), F.sum("n").alias("n_copies")).where("from <> to")
-    known = known.join(clusters, "cluster").select("class", "n", "cluster", "n_copies", F.col("from.doc_id").alias("keep_id"), (F.col("first") == F.col("last")).alias("alone"))
-    placed = lookup(cut.drop("words"), known, "class", "n", max(1, cut.count())).where("cluster is not null")
+    clusters = known.groupBy("cluster").agg(F.min("id").alias("id"), F.max("unnamed").alias("unnamed"), F.min("r0").alias("r0"), F.max("r1").alias("r1"), F.sum("n").alias("n_copies")).where("r0 <> r1")
+    clusters = clusters.select("cluster", "n_copies", F.when(~F.col("unnamed"), F.col("id")).alias("keep_id"))
+    known = known.select("class", "n", "cluster", (F.col("r0") == F.col("r1")).alias("alone")).join(clusters, "cluster")
+    placed = lookup(cut.drop(*WORDS), known, "class", "n", max(1, cut.count())).where("cluster is not null")
     # A paragraph that is like others but equal to none may differ from them in its last words.
     placed = placed.withColumn("end", F.col("start") + SPAN - F.when(F.col("alone"), EDITS).otherwise(0))
     by = [*ROW, "keep_id"]
