@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -63,6 +64,69 @@ def test_personal_data_in_documents(spark):
     assert secrets > 10
 
 
+def test_no_pattern_cuts_or_loses_a_long_span():
+    digits = " ".join("7" * 60)
+    for text, value in (("password=" + "aB3$" * 100, "aB3$" * 100), ("id 8" + "1" * 59, "8" + "1" * 59), (digits, digits), ("x" * 90 + " at mail dot com", None), ("the passphrase is hunter2xyz now", "hunter2xyz"), ("met Anna Maria Kowalska there", "Anna Maria Kowalska")):
+        spans = [text[s:e] for _, s, e in pii.candidates(text)]
+        assert (value or text) in spans, text[:40]
+    long = "q9" * 200
+    assert pii.shape_features(long, 0, 0, 400) != pii.shape_features("q9" * 32 + "Q-" * 168, 0, 0, 400)
+
+
+def test_many_spans_in_one_text_take_no_square_time():
+    """5 MB of numbers, and spans kept apart as by comparing each with each."""
+    rnd = random.Random(5)
+    for _ in range(200):
+        spans = [(rnd.randrange(3), s, s + rnd.randint(1, 9)) for s in (rnd.randrange(60) for _ in range(12))]
+        others, taken, want = spans[:4], [x[1:] for x in spans[:4]], []
+        for k, s, e in sorted(spans[4:], key=lambda x: (x[1] - x[2], x[1], x[0])):
+            if all(e <= a or s >= b for a, b in taken):
+                want.append((k, s, e))
+                taken.append((s, e))
+        assert pii.apart(spans[4:], others) == sorted(want)
+    text = "\n".join(str(rnd.randrange(10**6, 10**9)) for _ in range(500_000))
+    began = time.perf_counter()
+    assert len(pii.candidates(text)) > 400_000 and time.perf_counter() - began < 60
+
+
+def planted(rnd: random.Random, kind: str) -> str:
+    d = lambda n: "".join(rnd.choices("0123456789", k=n))
+    w = lambda n: "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    return {
+        "secret": lambda: rnd.choice([f'token = "{d(6)}{w(14)}{d(6)}"', "AKIA" + "".join(rnd.choices("ABCDEFGHJKLMNP0123456789", k=15)) + "7", f"password={w(5)}{d(4)}{w(3)}"]),
+        "number": lambda: rnd.choice([f"ssn {d(3)}-{d(2)}-{d(4)}", f"call ({d(3)}) {d(3)}-{d(4)}", f"phone {d(3)}-{d(3)}-{d(4)}"]),
+        "address": lambda: f"{w(6)} at {w(7)} dot {rnd.choice(['com', 'org', 'net'])}",
+        "name": lambda: f"Dr. {rnd.choice(sorted(pii.NAMES)).title()} {w(7).title()}",
+        "none": lambda: rnd.choice([f"version {d(1)}.{d(2)}.{d(2)}", f"2021-{rnd.randint(10, 12)}-{rnd.randint(10, 28)}", f"page {d(3)}", f"table {' '.join(d(3) for _ in range(7))}", w(16), f"{w(4)}: {w(6)}"]),
+    }[kind]()
+
+
+def test_precision_and_recall_of_added_kinds(spark):
+    """One planted span a text; others have harmless numbers, dates, versions and words."""
+    rnd, rows, want = random.Random(12), [], {}
+    for k in range(1200):
+        kind = ("secret", "number", "address", "name", "none", "none")[k % 6]
+        value = planted(rnd, kind)
+        text = " ".join("".join(rnd.choices("abcdefghij", k=5)) for _ in range(12)) + " "
+        want[k] = kind, len(text), len(text) + len(value)
+        rows.append((k, text + value + " and so on"))
+    said = {k: {"hit": 0, "found": 0, "all": 0} for k in pii.ADDED}
+    for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        kind, s, e = want[r.doc_id]
+        got = [(x.split(":")[0], int(x.split(":")[1]), int(x.split(":")[2])) for x in r.spans.split(",") if x]
+        assert [sum(g[0] == a for g in got) for a in pii.ADDED] == [r[f"n_{a}"] for a in pii.ADDED] and r.n_spans == len(got)
+        for g in got:
+            if g[0] in said:
+                said[g[0]]["found"] += 1
+                said[g[0]]["hit"] += g[0] == kind and g[1] < e and s < g[2]
+        if kind in said:
+            said[kind]["all"] += 1
+    for kind, n in said.items():
+        recall, precision = n["hit"] / n["all"], n["hit"] / max(1, n["found"])
+        print(f"{kind}: recall {recall:.2f}, precision {precision:.2f}")
+        assert recall > 0.85 and precision > 0.85, (kind, n)
+
+
 def test_em_finds_who_is_reliable():
     rnd = np.random.default_rng(0)
     truth = rnd.random(4000) < 0.3
@@ -118,6 +182,31 @@ def test_quality_of_documents(spark):
     assert open_[open_.quality == 1].kept.mean() > 0.98 and open_[open_.quality == 0].kept.mean() < 0.1
 
 
+def test_quality_on_held_out_labels(spark):
+    """Grown and calibrated on the labels of one half by crc32 of the id, judged on the other."""
+    docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet").toPandas()
+    half = labels.doc_id.map(lambda d: zlib.crc32(str(d).encode()) % 2 == 0)
+    got = quality.judge(docs, spark.createDataFrame(labels[half])).toPandas().merge(labels[~half], on="doc_id")
+    open_ = got[~got.base_failed]
+    lost, caught = 1 - open_[open_.quality == 1].kept.mean(), 1 - open_[open_.quality == 0].kept.mean()
+    print("held out: good ones lost", lost, "bad ones caught", caught)
+    assert len(open_) > 1500 and lost < 0.01 and caught > 0.85
+
+
+def test_forest_nodes_split_their_own_rows():
+    """No side of a split is empty, and rows of a tree end alone or at the depth limit."""
+    x = np.random.default_rng(9).normal(0, 1, (300, 3))
+    forest = quality.grow(x, trees=5, rows=64)
+    for feature, cut, left in zip(forest.feature, forest.threshold, forest.left):
+        reached = [np.arange(0)] * len(feature)
+        reached[0] = np.arange(300)
+        for k in np.flatnonzero(feature >= 0):
+            rows = reached[k]
+            side = x[rows, feature[k]] >= cut[k]
+            reached[left[k]], reached[left[k] + 1] = rows[~side], rows[side]
+            assert len(rows[~side]) and len(rows[side])
+
+
 def test_forest_sets_strangers_apart():
     rnd = np.random.default_rng(4)
     usual = rnd.normal(0, 1, (2000, 3))
@@ -133,7 +222,8 @@ def test_toxicity_on_held_out_documents(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     got = toxicity.judge(docs, labels).toPandas().merge(labels.toPandas(), on="doc_id")
     held = got[got.held_out]
-    assert len(held) > 500 and held[held.toxic == 1].predicted.mean() > 0.8 and held[held.toxic == 0].predicted.mean() < 0.02
+    print("held out: recall", held[held.toxic == 1].predicted.mean(), "false alarms", held[held.toxic == 0].predicted.mean())
+    assert len(held) > 500 and held[held.toxic == 1].predicted.mean() > 0.88 and held[held.toxic == 0].predicted.mean() < 0.02
 
 
 def test_gradients_are_right():
@@ -141,7 +231,7 @@ def test_gradients_are_right():
     rnd = np.random.default_rng(2)
     net = toxicity.Network(np.zeros(toxicity.BUCKETS), np.zeros(toxicity.BUCKETS))
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
-    x = rnd.normal(0, 1, (6, 11))
+    x = rnd.normal(0, 1, (6, toxicity.INPUTS))
     ids = rnd.integers(0, 6, (5, 3))
     mask = (np.arange(5)[:, None] < np.array([5, 3, 2])[None]).astype(float)
     y, w = np.array([1.0, 0.0, 1.0]), np.ones(3)
@@ -152,8 +242,8 @@ def test_gradients_are_right():
         return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
 
     grads = net.gradients(x, ids, mask, y, w)
-    for name in net.p:
-        flat = net.p[name].reshape(-1)
+    for name in [*net.p, "x"]:
+        flat = (x if name == "x" else net.p[name]).reshape(-1)
         for k in rnd.choice(flat.size, min(4, flat.size), replace=False):
             keep = flat[k]
             flat[k] = keep + 1e-3
@@ -175,7 +265,7 @@ def test_windows_cover_whole_texts():
 def test_a_score_does_not_depend_on_neighbours():
     rnd = random.Random(3)
     texts = [" ".join(rnd.choices(["alpha", "beta", "vile", "gamma"], k=n)) for n in (5, 70, 0, 300, 64)] * 4
-    net = toxicity.train(texts, np.array([int(k % 2) for k in range(20)]), 0.2, epochs=1)
+    net = toxicity.train(texts, np.array([int(k % 2) for k in range(20)]), epochs=1)
     together = list(net.document_scores(iter(texts)))
     assert np.allclose(together, [next(net.document_scores(iter([t]))) for t in texts], atol=1e-5) and together[2] == 0.0
 

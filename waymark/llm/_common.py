@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -19,24 +20,33 @@ ROW = ("__row_file", "__row_index")
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or the context's checkpoint
-    folder; only where neither is set (local tests) a temporary one."""
+    folder; only where neither is set and the master is local (tests) a temporary one."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not re.match(r"local($|\[)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = Path(tempfile.mkdtemp(prefix="waymark-")).as_uri()
         sc.setCheckpointDir(found)
     return found.rstrip("/")
 
 
-#: Rows of texts in one Arrow batch: 10,000 of Spark's default would be some 100 MB in each worker.
-TEXT_BATCH = 1_000
+#: Rows and bytes of texts in one Arrow batch: 10,000 rows of Spark's default would be some 100 MB in each worker.
+TEXT_BATCH, TEXT_BYTES = 1_000, 8 << 20
 
 
 def text_batches(spark: SparkSession) -> None:
-    """Bounds the session's Arrow batches, for operators that hand texts to Python."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= TEXT_BATCH:
-        spark.conf.set(name, str(TEXT_BATCH))
+    """Bounds the session's Arrow batches in rows and bytes, for operators that hand texts to
+    Python. Results are lazy and read the setting when they run, so it stays; a smaller one is left alone."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_BATCH), ("spark.sql.execution.arrow.maxBytesPerBatch", TEXT_BYTES)):
+        if not 0 < _bytes(spark.conf.get(name)) <= most:
+            spark.conf.set(name, str(most))
+
+
+def _bytes(setting: str) -> int:
+    """A setting's number, which may end in a unit of bytes."""
+    found = re.fullmatch(r"(-?\d+)([kmgt]?)b?", setting.lower())
+    return int(found[1]) << 10 * " kmgt".index(found[2] or " ") if found else 0
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Personal data by weak supervision.
 
 Four base kinds have exact rules (see ``base_spans``). Beyond them, loose patterns propose
-candidate spans: assigned values, key-like tokens, chains of digits, spelt-out addresses, titled
-names. Labelers built on regular expressions, gazetteers and context vote on each candidate for,
+candidate spans: assigned values, key-like tokens, chains of digits, spelt-out addresses, names
+after a title or beginning with a frequent given name; a span is as long as its pattern goes on. Labelers built on regular expressions, gazetteers and context vote on each candidate for,
 against or not at all. Expectation-maximisation over the counts of all vote patterns estimates
 how reliable each labeler is and so how likely each pattern is personal data. With these soft
 labels a logistic classifier over a span's shape and context is trained, and its verdict, not the
@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -79,11 +80,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
-_SECRET_CUE = r"password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key|auth|credential"
-_ASSIGNED = re.compile(rf"(?i)(?<![A-Za-z])(?:{_SECRET_CUE}|login|user(?:name)?|pin|ssn|iban|passport|account)\s{{0,2}}[=:]\s{{0,2}}[\"']?([^\s\"']{{4,}})")
-_CHAIN = re.compile(r"(?<![0-9A-Za-z])[0-9](?:[ .()/-]{0,2}[0-9]){5,40}(?![0-9A-Za-z])")
-_SPELT = re.compile(r"[A-Za-z0-9._-]{1,64} ?(?:\[at\]|\(at\)|<at>| at ) ?[A-Za-z0-9-]{1,63} ?(?:\[dot\]|\(dot\)|<dot>| dot ) ?[A-Za-z]{2,12}(?![A-Za-z])")
-_TITLED = re.compile(r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora)\.? [A-Z][a-z]+(?: [A-Z][a-z]+)?")
+_SECRET_CUE = r"password|passwd|pwd|passphrase|token|secret|api[_-]?key|access[_-]?key|auth|credential"
+_ASSIGNED = re.compile(rf"(?i)(?<![A-Za-z])(?:(?:{_SECRET_CUE}|login|user(?:name)?|pin|ssn|iban|passport|account)\s{{0,2}}[=:]\s{{0,2}}|(?:{_SECRET_CUE})\s{{1,2}}(?:is|was)\s{{1,2}})[\"']?([^\s\"']{{4,}})")
+#: What a text must have, in lower case, for an assigned value to be looked for.
+_CUES = ("pass", "pwd", "token", "secret", "key", "auth", "credential", "login", "user", "pin", "ssn", "iban", "account")
+_CHAIN = re.compile(r"(?<![0-9A-Za-z])[0-9](?:[ .()/-]{0,2}[0-9]){5,}(?![0-9A-Za-z])")
+_SPELT = re.compile(r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]+ ?(?:\[at\]|\(at\)|<at>| at ) ?[A-Za-z0-9-]+ ?(?:\[dot\]|\(dot\)|<dot>| dot ) ?[A-Za-z]{2,}")
+_TITLED = re.compile(r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora)\.? [A-Z][^\W\d_]+(?: [A-Z][^\W\d_]+)*")
+_CAPITALS = re.compile(r"(?<![^\W\d_])([A-Z][^\W\d_]+)(?: [A-Z][^\W\d_]+)+")
 _KEY = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-+/")
 _KNOWN_KEY = re.compile(r"AKIA[0-9A-Z]{16}$|gh[pousr]_[A-Za-z0-9]{20,}$|sk-[A-Za-z0-9-]{16,}$|[0-9a-f]{32,64}$|eyJ[A-Za-z0-9_-]{16,}")
 _ID_SHAPE = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}$|\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}$|0[0-9]{1,4}[ /-][0-9]{5,}$")
@@ -92,7 +96,12 @@ _BEFORE_SECRET = re.compile(rf"(?i)(?:{_SECRET_CUE})\s{{0,2}}[=:]\s{{0,2}}[\"']?
 #: Fixed words: contact fields, words that make a number harmless, frequent given names.
 CONTACT = frozenset("phone tel telephone mobile cell call fax mail email address born birthday dob ssn passport iban account telefon tél téléphone correo teléfono".split())
 HARMLESS = frozenset("version license licence chapter section figure fig page vol volume no number table step line item year release by-nc".split())
-NAMES = frozenset("james john robert michael mary linda david william richard thomas maria anna peter paul hans jean pierre marie jose carlos juan ana luis karl emma sophie laura martin andrea".split())
+NAMES = frozenset(
+    "james john robert michael mary linda david william richard thomas charles daniel matthew anthony mark paul steven andrew kenneth joshua kevin brian george edward ronald timothy jason jeffrey ryan jacob gary nicholas eric jonathan stephen larry justin scott brandon benjamin samuel gregory "
+    "patricia jennifer elizabeth barbara susan jessica sarah karen nancy lisa betty margaret sandra ashley kimberly emily donna michelle carol amanda melissa deborah stephanie rebecca sharon laura cynthia kathleen amy angela "
+    "maria anna peter hans klaus jürgen wolfgang uwe stefan andreas christian martin karl emma sophie petra sabine monika ursula jean pierre marie jacques michel philippe nathalie isabelle françoise claude "
+    "jose carlos juan ana luis miguel antonio manuel javier francisco carmen isabel lucía pablo sofia elena andrea".split()
+)
 
 
 def entropy(s: str) -> float:
@@ -102,7 +111,8 @@ def entropy(s: str) -> float:
 def candidates(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of candidate spans, at most one per place, the longest."""
     found = []
-    if "=" in text or ":" in text:
+    low = text.lower()
+    if any(c in low for c in _CUES):
         found += [(0, *m.span(1)) for m in _ASSIGNED.finditer(text)]
     at = 0
     if _DIGIT.search(text) is not None:
@@ -120,17 +130,24 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
         found += [(2, *m.span()) for m in _SPELT.finditer(text)]
     if "M" in text or "Dr" in text or "Prof" in text or "Herr" in text or "Frau" in text or "Señor" in text:
         found += [(3, *m.span()) for m in _TITLED.finditer(text)]
+    found += [(3, *m.span()) for m in _CAPITALS.finditer(text) if m[1].lower() in NAMES]
     return apart(found, [])
 
 
 def apart(spans: list[tuple[int, int, int]], others: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """The longest first, without those that overlap one already taken or one of ``others``."""
-    taken = sorted((s, e) for _, s, e in others)
+    taken: list[tuple[int, int]] = []
+    for _, s, e in sorted(others, key=lambda x: x[1:]):
+        if taken and s < taken[-1][1]:
+            taken[-1] = taken[-1][0], max(e, taken[-1][1])
+        else:
+            taken.append((s, e))
     out = []
     for k, s, e in sorted(spans, key=lambda x: (x[1] - x[2], x[1], x[0])):
-        if all(e <= a or s >= b for a, b in taken):
+        at = bisect_left(taken, (e,))  # those from here on begin at e or later
+        if not at or taken[at - 1][1] <= s:
             out.append((k, s, e))
-            taken.append((s, e))
+            taken.insert(at, (s, e))
     return sorted(out)
 
 
@@ -155,7 +172,7 @@ def votes(text: str, kind: int, s: int, e: int) -> list[int]:
 
 def shape_features(text: str, kind: int, s: int, e: int) -> list[int]:
     """Hashed features of a span: character trigrams of its shape, its length, words before it."""
-    value = text[s:e][:64]
+    value = text[s:e]
     shape = "^" + "".join("9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in value) + "$"
     words = [w.strip(".,;\"'()").lower() for w in text[max(0, s - 40) : s].split()[-2:]]
     names = {f"t{shape[i : i + 3]}" for i in range(len(shape) - 2)} | {f"k{kind}", f"l{min(8, (e - s) // 4)}", f"k{kind}l{min(8, (e - s) // 4)}", f"h{int(entropy(text[s:e]))}"} | {f"w{w}" for w in words if w in CONTACT or w in HARMLESS or "=" in w or w in ("token", "password", "secret")}
@@ -220,7 +237,8 @@ def _listed(spans: list[dict], names: tuple[str, ...]) -> str:
 
 
 def find(df: DataFrame, text: str = "text", doc_id: str = "doc_id", fit_rows: int = FIT_ROWS) -> DataFrame:
-    """One row per row of ``df``: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
+    """One row per row of ``df``: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, and the
+    numbers of added spans: n_secret, n_number, n_address, n_name, and of all: n_spans.
 
     spans lists base spans by kind and start, then added ones (``ADDED``), which never overlap a
     base span. Null text counts as empty and has no spans; null ids and repeated rows are rows
@@ -248,12 +266,12 @@ def find(df: DataFrame, text: str = "text", doc_id: str = "doc_id", fit_rows: in
             for base, more in zip(b.column("base").to_pylist(), b.column("candidates").to_pylist()):
                 extra = [c for c in more if w[c["features"]].sum() + w[-1] > 0]
                 said = _listed(base, KINDS)
-                n = Counter(x["kind"] for x in base)
+                n, m = Counter(x["kind"] for x in base), Counter(x["kind"] for x in extra)
                 every = ",".join(x for x in (said, _listed(extra, ADDED)) if x)
-                out.append((*(n[k] for k in range(4)), hashlib.sha256(said.encode()).hexdigest(), every))
-            types = (pa.int64(),) * 4 + (pa.string(),) * 2
-            names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 6, types))], names)
+                out.append((*(n[k] for k in range(4)), hashlib.sha256(said.encode()).hexdigest(), every, *(m[k] for k in range(4)), len(base) + len(extra)))
+            types = (pa.int64(),) * 4 + (pa.string(),) * 2 + (pa.int64(),) * 5
+            names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", *(f"n_{k}" for k in ADDED), "n_spans"]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * len(types), types))], names)
 
-    counts = ", ".join(f"n_{k} long" for k in KINDS)
-    return found.mapInArrow(decide, f"doc_id {kind}, {counts}, base_sha256 string, spans string")
+    counts, more = (", ".join(f"n_{k} long" for k in kinds) for kinds in (KINDS, ADDED))
+    return found.mapInArrow(decide, f"doc_id {kind}, {counts}, base_sha256 string, spans string, {more}, n_spans long")

@@ -23,9 +23,9 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: Bound on the labelled rows that the forest is grown on, trees, rows of a tree.
-FIT_ROWS, TREES, TREE_ROWS = 8192, 100, 256
+FIT_ROWS, TREES, TREE_ROWS = 8192, 100, 2048
 #: Share of the labelled good rows that the threshold may reject at most.
-MAX_LOSS = 0.002
+MAX_LOSS = 0.01
 BINS = 4000
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MORE = ("n_upper", "n_punct", "n_digits", "n_distinct", "n_lines", "max_run")
@@ -106,25 +106,27 @@ def _expected(n: int) -> float:
 
 
 def grow(x: np.ndarray, trees: int = TREES, rows: int = TREE_ROWS, seed: int = 7) -> Forest:
-    rnd = np.random.default_rng(seed)
-    limit = int(np.ceil(np.log2(max(2, rows)))) + 4
+    rnd, rows = np.random.default_rng(seed), min(rows, len(x))
+    limit = int(np.ceil(np.log2(max(2, rows))))
     out = []
-    low_all, high_all = x.min(0), x.max(0)
     for _ in range(trees):
         nodes: list[list] = [[-1, 0.0, 0, 0.0]]
-        todo = [(0, x[rnd.permutation(len(x))[:rows]], 0, low_all, high_all)]
+        todo = [(0, x[rnd.permutation(len(x))[:rows]], 0)]
         while todo:
-            k, part, depth, low, high = todo.pop()
+            k, part, depth = todo.pop()
+            low, high = part.min(0), part.max(0)
             open_ = np.flatnonzero(high > low)
-            if len(part) <= 1 or depth >= limit or not len(open_):
+            if depth >= limit or not len(open_):  # of equal rows none stands alone
                 nodes[k] = [-1, 0.0, 0, depth + _expected(len(part))]
                 continue
             f = int(rnd.choice(open_))
-            cut = rnd.uniform(low[f], high[f])
+            cut = high[f] - (high[f] - low[f]) * rnd.random()  # above the least, so that neither side is empty
+            if not low[f] < cut <= high[f]:
+                cut = high[f]
             nodes[k] = [f, cut, len(nodes), 0.0]
             right = part[:, f] >= cut
-            for side, (lo, hi) in ((~right, (low, np.where(np.arange(len(low)) == f, cut, high))), (right, (np.where(np.arange(len(low)) == f, cut, low), high))):
-                todo.append((len(nodes), part[side], depth + 1, lo, hi))
+            for side in (~right, right):
+                todo.append((len(nodes), part[side], depth + 1))
                 nodes.append([-1, 0.0, 0, 0.0])
         out.append(nodes)
     size = max(map(len, out))
@@ -134,14 +136,15 @@ def grow(x: np.ndarray, trees: int = TREES, rows: int = TREE_ROWS, seed: int = 7
 
 def threshold(good: np.ndarray, bad: np.ndarray, max_loss: float = MAX_LOSS) -> float:
     """good, bad: labelled rows by bin of score. The score from which rows are rejected: of the
-    bins that lose at most ``max_loss`` of the good rows, the middle of those that reject the most
-    bad ones; above every score if nothing is labelled bad."""
+    bins that lose at most ``max_loss`` of the good rows those that reject the most bad ones, of
+    these those that lose the fewest, and of these the middle; above every score if nothing is labelled bad."""
     if not bad.sum():
         return 2.0
-    lost = np.append(good[::-1].cumsum()[::-1], 0) / max(1, good.sum())
+    lost = np.append(good[::-1].cumsum()[::-1], 0)
     caught = np.append(bad[::-1].cumsum()[::-1], 0)
-    allowed = lost <= max_loss
-    best = np.flatnonzero(allowed & (caught == caught[allowed].max()))
+    allowed = lost <= max_loss * good.sum()
+    best = allowed & (caught == caught[allowed].max())
+    best = np.flatnonzero(best & (lost == lost[best].min()))
     return 2.0 if not caught[best[0]] else float((best[0] + best[-1]) / 2 / BINS)
 
 

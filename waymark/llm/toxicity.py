@@ -1,11 +1,13 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling.
 
 A word enters as what its hash, its character n-grams (3 to 5 bytes) and its beginnings (4 to 12)
-tell: their log-odds on the training documents and fixed random projections. Windows of 64 words, each overlapping the next
+tell: an embedding of the word and the embeddings of its characters' n-grams, both trained with the
+network, and their log-odds on the training documents. Windows of 64 words, each overlapping the next
 by half, run through a GRU in both directions; attention pools the states into one logit. A
 document scores as its most toxic window, over its whole text. Everything is numpy; training picks
 each document's worst window under the current model, so that a label on a whole document teaches
-the window it is about.
+the window it is about. 0.5 means the score that a share of ``MAX_ALARM`` of the clean training documents exceeds,
+or the middle between it and the least score of a toxic one above it.
 """
 
 from __future__ import annotations
@@ -17,14 +19,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm._common import hash_sample, materialise, text_batches, text_of
+from waymark.llm._common import text_batches, text_of
 
-WINDOW, STRIDE, HIDDEN, ATTEND = 64, 32, 8, 8
+WINDOW, STRIDE, HIDDEN, ATTEND, EMBED = 64, 32, 8, 8, 4
+#: Inputs of a word: three of log-odds, two embeddings, the number of n-grams, one.
+INPUTS = 3 + 2 * EMBED + 2
 #: Bounds on the labelled documents that the network is trained on, by label.
 FIT_ROWS = {1: 1000, 0: 1500}
-BUCKETS = 1 << 16
-EPOCHS = 8
-CHUNK_WORDS, PART_WORDS = 150_000, 20_000
+#: Buckets of words and n-grams, as powers of two: of their log-odds, and of their embeddings (the low bits of the others).
+LOG2, EMBED_LOG2 = 17, 16
+BUCKETS, EMBEDDED = 1 << LOG2, (1 << EMBED_LOG2) - 1
+EPOCHS, EMBED_RATE = 8, 0.02
+#: Share of the clean training documents that may score 0.5 or more.
+MAX_ALARM = 0.005
+CHUNK_WORDS, PART_WORDS = 100_000, 10_000
 #: Bytes of a word that are taken as one, and of overlap where a longer one is cut. An n-gram has 5 at most, a beginning 12.
 PIECE, LAP = 60, 12
 _STRIP = b".,;:!?\"'()[]{}*$%&|#<>"
@@ -81,14 +89,14 @@ class Words:
                 ok = left > k
                 h = (gram[ok] + np.uint64(k << 48)) * _MIX[2]
                 ids.append(owner[ok])
-                buckets.append(((h ^ (h >> np.uint64(31))) * _MIX[3]) >> np.uint64(48))
+                buckets.append(((h ^ (h >> np.uint64(31))) * _MIX[3]) >> np.uint64(64 - LOG2))
         # Beginnings of 4 to 12 bytes: stems that endings are glued to.
         sums = np.cumsum(whole * _MIX[2]) if n else whole
         begun = sums - np.repeat(sums[starts] - whole[starts] * _MIX[2], sizes)
         ok = (place >= 3) & (place < 12) & (left > 1)
         ids.append(owner[ok])
-        buckets.append((((begun[ok] ^ (begun[ok] >> np.uint64(31))) + _MIX[1]) * _MIX[3]) >> np.uint64(48))
-        word = ((word ^ (word >> np.uint64(31))) * _MIX[3]) >> np.uint64(48)
+        buckets.append((((begun[ok] ^ (begun[ok] >> np.uint64(31))) + _MIX[1]) * _MIX[3]) >> np.uint64(64 - LOG2))
+        word = ((word ^ (word >> np.uint64(31))) * _MIX[3]) >> np.uint64(64 - LOG2)
         return word.astype(np.int64), np.concatenate(ids), np.concatenate(buckets).astype(np.int64)
 
 
@@ -114,8 +122,9 @@ class Network:
     def __init__(self, odds_word: np.ndarray, odds_gram: np.ndarray, seed: int = 11) -> None:
         rnd = np.random.default_rng(seed)
         self.odds_word, self.odds_gram = odds_word.astype(np.float32), odds_gram.astype(np.float32)
-        self.project = rnd.normal(0, 1, (2, BUCKETS, 3)).astype(np.float32)
-        inputs, h = 11, HIDDEN
+        #: Embeddings of words and of n-grams.
+        self.embed = rnd.normal(0, 0.2, (2, EMBEDDED + 1, EMBED)).astype(np.float32)
+        inputs, h = INPUTS, HIDDEN
         self.p = {}
         for d in "fb":
             self.p |= {f"W{d}": rnd.normal(0, 0.3, (inputs, 3 * h)), f"U{d}": rnd.normal(0, 0.3, (h, 3 * h)), f"c{d}": np.zeros(3 * h), f"n{d}": np.zeros(h)}
@@ -124,16 +133,22 @@ class Network:
 
     def inputs(self, words: Words) -> np.ndarray:
         """One row per distinct word."""
-        parts = [self._inputs(word, ids, grams) for _, word, ids, grams in words.parts()]
-        return np.concatenate([np.zeros((0, 11), np.float32), *parts])
+        parts = [np.concatenate([self.fixed(word, ids, grams), self.embedded(word, ids, grams)], 1) for _, word, ids, grams in words.parts()]
+        return np.concatenate([np.zeros((0, INPUTS), np.float32), *parts])
 
-    def _inputs(self, word: np.ndarray, ids: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    def fixed(self, word: np.ndarray, ids: np.ndarray, grams: np.ndarray) -> np.ndarray:
+        """The inputs that training leaves alone."""
         n, count = len(word), np.maximum(np.bincount(ids, minlength=len(word)), 1)
         odds = self.odds_gram[grams]
         most = np.zeros(n, np.float32)
         np.maximum.at(most, ids, odds)
-        chars = [np.bincount(ids, x, n) / np.sqrt(count) for x in (odds, *(self.project[1][grams, k] * 0.2 for k in range(3)))]
-        return np.stack([self.odds_word[word], most, *chars, *(self.project[0][word, k] * 0.2 for k in range(3)), np.minimum(count / 20, 3) * 0.2, np.ones(n)], 1).astype(np.float32)
+        return np.stack([self.odds_word[word], most, np.bincount(ids, odds, n) / np.sqrt(count), np.minimum(count / 20, 3) * 0.2, np.ones(n)], 1).astype(np.float32)
+
+    def embedded(self, word: np.ndarray, ids: np.ndarray, grams: np.ndarray) -> np.ndarray:
+        """The embedding of each word and, of its n-grams, the sum over the root of their number."""
+        n, count = len(word), np.maximum(np.bincount(ids, minlength=len(word)), 1)
+        chars = [np.bincount(ids, self.embed[1][grams & EMBEDDED, k], n) / np.sqrt(count) for k in range(EMBED)]
+        return np.concatenate([self.embed[0][word & EMBEDDED], np.stack(chars, 1).astype(np.float32)], 1)
 
     def logits(self, x: np.ndarray, codes: np.ndarray, first: np.ndarray, length: np.ndarray, batch: int = 2048) -> np.ndarray:
         """One per window; x: inputs of distinct words, codes: the texts' words."""
@@ -179,7 +194,7 @@ class Network:
         return logit, (states, saved, hidden, weight, pooled)
 
     def gradients(self, x, ids, mask, labels, weights):
-        """Of the weighted log loss, by name."""
+        """Of the weighted log loss, by name; x is the name of the inputs."""
         p, h, (steps, size) = self.p, HIDDEN, ids.shape
         tables = {d: x @ p[f"W{d}"] + p[f"c{d}"] for d in "fb"}
         logit, (states, saved, hidden, weight, pooled) = self._forward(tables, ids, mask, keep=True)
@@ -193,6 +208,7 @@ class Network:
         d_pre = d_score[:, :, None] * p["v"] * (1 - hidden**2)
         g["A"], g["a"] = np.einsum("tbh,tba->ha", states, d_pre), d_pre.sum((0, 1))
         d_states += d_pre @ p["A"].T
+        g["x"] = np.zeros_like(x)
         for k, d in enumerate("fb"):
             u, d_u, d_n = p[f"U{d}"], np.zeros_like(p[f"U{d}"]), np.zeros(h, np.float32)
             d_in, carry = np.zeros((len(x), 3 * h), np.float32), np.zeros((size, h), np.float32)
@@ -214,6 +230,7 @@ class Network:
             for j in range(3 * h):
                 d_in[:, j] = np.bincount(each, flat[:, j], len(x))
             g |= {f"U{d}": d_u, f"n{d}": d_n, f"W{d}": x.T @ d_in, f"c{d}": flat.sum(0)}
+            g["x"] += d_in @ p[f"W{d}"].T
         return g
 
     def document_scores(self, texts: Iterator[str]) -> Iterator[float]:
@@ -247,28 +264,49 @@ def _log_odds(buckets: Iterator[np.ndarray], labels: np.ndarray, least: int = 5,
     return np.where(count.sum(0) >= least, np.clip(odds, -5, 5), 0.0)
 
 
-def train(texts: list[str], labels: np.ndarray, prior: float, epochs: int = EPOCHS, seed: int = 5) -> Network:
-    """labels: 0 or 1; prior: the share of 1 among all labelled rows, for which 0.5 is calibrated."""
+def _step(table: np.ndarray, seen: np.ndarray, rows: np.ndarray, grads: np.ndarray, rate: float) -> None:
+    """Adagrad on the rows of an embedding that a batch touches."""
+    found, at = np.unique(rows, return_inverse=True)
+    g = np.stack([np.bincount(at, grads[:, k], len(found)) for k in range(EMBED)], 1)
+    seen[found] += g * g
+    table[found] -= (rate * g / (np.sqrt(seen[found]) + 1e-4)).astype(np.float32)
+
+
+def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 5, max_alarm: float = MAX_ALARM) -> Network:
+    """labels: 0 or 1."""
+    net = _learn(texts, labels, epochs, seed)
+    score = np.clip(np.array(list(net.document_scores(texts))), 1e-9, 1 - 1e-9)
+    logit = np.log(score / (1 - score))
+    clean = np.sort(logit[labels == 0])
+    if len(clean):
+        low = clean[len(clean) - 1 - int(max_alarm * len(clean))]
+        above = logit[(labels == 1) & (logit > low)]
+        net.p["b"] = net.p["b"] - np.float32((low + above.min()) / 2 if len(above) else low + 1)
+    return net
+
+
+def _learn(texts: list[str], labels: np.ndarray, epochs: int, seed: int) -> Network:
     words, rnd = Words(), np.random.default_rng(seed)
     codes = [words.add(t) for t in texts]
     sizes = [len(c) for c in codes]
     flat = np.concatenate([*codes, np.array([], np.int32)])
     word, ids, grams = words.grams()
-    grams = grams[np.argsort(ids, kind="stable")]
+    turn = np.argsort(ids, kind="stable")
+    ids, grams = ids[turn], grams[turn]
+    del turn
     ends = np.cumsum(np.bincount(ids, minlength=len(word)))
     starts = ends - np.bincount(ids, minlength=len(word))
-    del ids
     own = [np.unique(c) for c in codes]
     by_doc = (np.concatenate([grams[a:b] for a, b in zip(starts[c], ends[c])] or [grams[:0]]) for c in own)
     net = Network(_log_odds((word[c] for c in own), labels), _log_odds(by_doc, labels), seed)
-    del grams
-    x = net.inputs(words)
+    fixed = net.fixed(word, ids, grams)
     doc, first, length = windows(sizes)
     padded = np.append(flat, np.zeros(WINDOW, flat.dtype))
-    evidence = np.concatenate([[0.0], np.cumsum(np.maximum(x[:, 0] + x[:, 1], 0)[flat])])
+    evidence = np.concatenate([[0.0], np.cumsum(np.maximum(fixed[:, 0] + fixed[:, 1], 0)[flat])])
     rank = evidence[first + length] - evidence[first]
     share = {y: 0.5 * len(labels) / max(1, (labels == y).sum()) for y in (0, 1)}
     m, v, t = {k: np.zeros_like(w) for k, w in net.p.items()}, {k: np.zeros_like(w) for k, w in net.p.items()}, 0
+    seen = np.full((2, EMBEDDED + 1, EMBED), 1e-3, np.float32)
     for epoch in range(epochs):
         worst = np.lexsort((-rank, doc))
         worst = worst[np.unique(doc[worst], return_index=True)[1]]
@@ -278,27 +316,25 @@ def train(texts: list[str], labels: np.ndarray, prior: float, epochs: int = EPOC
             part = chosen[i : i + 64]
             index = padded[first[part][None, :] + np.arange(WINDOW)[:, None]]
             here, index = np.unique(index, return_inverse=True)
+            sizes_here = ends[here] - starts[here]
+            its = np.repeat(np.arange(len(here)), sizes_here)
+            its_grams = grams[np.repeat(starts[here] - np.concatenate([[0], np.cumsum(sizes_here)[:-1]]), sizes_here) + np.arange(len(its))]
+            x = np.concatenate([fixed[here], net.embedded(word[here], its, its_grams)], 1)
             mask = (np.arange(WINDOW)[:, None] < length[part][None, :]).astype(np.float32)
             y = labels[doc[part]].astype(np.float32)
-            grads = net.gradients(x[here], index.reshape(WINDOW, -1), mask, y, np.where(y == 1, share[1], share[0]))
+            grads = net.gradients(x, index.reshape(WINDOW, -1), mask, y, np.where(y == 1, share[1], share[0]))
+            d_x = grads.pop("x")
             t += 1
             norm = max(1.0, np.sqrt(sum(float((g**2).sum()) for g in grads.values())) / 1.0)
             for k, g in grads.items():
                 g = g / norm
                 m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.99 * v[k] + 0.01 * g * g
                 net.p[k] -= (0.02 * 0.8**epoch * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-6)).astype(np.float32)
-        rank = net.logits(x, flat, first, length)
-    if len(doc):  # move the bias so that 0.5 errs least on documents at the labels' own shares
-        best = np.full(len(texts), -np.inf)
-        np.maximum.at(best, doc, rank)
-        ok = np.isfinite(best)
-        order = np.argsort(best[ok])
-        y, s = labels[ok][order], best[ok][order]
-        miss = np.concatenate([[0], np.cumsum(y == 1)]) / max(1, (y == 1).sum()) * prior
-        alarm = (1 - np.concatenate([[0], np.cumsum(y == 0)]) / max(1, (y == 0).sum())) * (1 - prior)
-        at = np.flatnonzero(miss + alarm <= (miss + alarm).min() + 1e-12)
-        ends = np.concatenate([[s[0] - 2], s, [s[-1] + 2]])
-        net.p["b"] = net.p["b"] - np.float32((ends[at[0]] + ends[at[-1] + 1]) / 2)
+            rate = EMBED_RATE * 0.8**epoch
+            _step(net.embed[0], seen[0], word[here] & EMBEDDED, d_x[:, -2 * EMBED : -EMBED] / norm, rate)
+            _step(net.embed[1], seen[1], its_grams & EMBEDDED, (d_x[:, -EMBED:] / norm / np.sqrt(np.maximum(sizes_here, 1))[:, None])[its], rate)
+        if epoch + 1 < epochs:
+            rank = net.logits(np.concatenate([fixed, net.embedded(word, ids, grams)], 1), flat, first, length)
     return net
 
 
@@ -308,13 +344,17 @@ def fit(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc
     no row."""
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out("doc_id"))
     known = df.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id")).distinct().join(marks, "doc_id")
-    known = materialise(known, "labelled")
     shares = dict(known.groupBy("toxic").count().collect())
     if not shares.get(0) or not shares.get(1):
         return None
-    chosen = hash_sample(known.where("toxic = 0"), ["doc_id"], fit_rows[0]).unionByName(hash_sample(known.where("toxic = 1"), ["doc_id"], fit_rows[1]))
+    # A cut by hash first, of twice the wanted share, so that neither a join nor a task hands on more.
+    hashed = F.xxhash64("doc_id")
+    share = {y: min(1.0, 2 * fit_rows[y] / shares[y]) if shares[y] > 4 * fit_rows[y] else 1.0 for y in (0, 1)}
+    below = F.pmod(hashed, F.lit(1 << 30))
+    some = known.where(F.when(F.col("toxic") == 1, below < int(share[1] * (1 << 30))).otherwise(below < int(share[0] * (1 << 30))))
+    chosen = some.where("toxic = 0").orderBy(hashed, "doc_id").limit(fit_rows[0]).unionByName(some.where("toxic = 1").orderBy(hashed, "doc_id").limit(fit_rows[1]))
     rows = df.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).orderBy("doc_id").collect()
-    return train([r.text for r in rows], np.array([r.toxic for r in rows]), shares[1] / (shares[0] + shares[1]))
+    return train([r.text for r in rows], np.array([r.toxic for r in rows]))
 
 
 def held_out(doc_id: str):
@@ -349,6 +389,13 @@ def judge(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
 
 
 def without_toxic(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``df`` without the rows whose text scores 0.5 or more, all columns kept."""
+    """``df`` without the rows whose text scores 0.5 or more, all columns kept, whatever their names.
+
+    Null and empty texts score 0 and stay; repeated rows stay or go alike; without labels of both
+    kinds all rows stay; an empty table gives no rows.
+    """
     net = fit(df, labels, text, doc_id)
-    return score(df, net, text, "__toxicity").where("__toxicity < 0.5").select(*(F.col(f"`{c}`") for c in df.columns))
+    into = "toxicity"
+    while into.lower() in {c.lower() for c in df.columns}:
+        into += "_"
+    return score(df, net, text, into).where(F.col(into) < 0.5).drop(into)
