@@ -61,6 +61,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores after it, so that no column of ``df`` has it."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def _is_scan(df: DataFrame) -> bool:
     """Whether each row of ``df`` is a row of a file: a scan, perhaps filtered and projected."""
     node = df._jdf.queryExecution().analyzed()

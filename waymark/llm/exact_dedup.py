@@ -99,6 +99,8 @@ def exact_groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
 def drop_exact_copies(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``df`` with one row of each distinct text, the one with the largest id, all columns kept.
 
+    Null text counts as empty, a null id is below all others; of rows with the same id and text the
+    one whose columns have the largest hash stays, so that reruns agree. An empty table gives no rows.
     Rows with a text of their own don't move. Of equal texts, each task first keeps its best row,
     so a text that fills a third of the table costs a row per task.
     """
@@ -106,6 +108,7 @@ def drop_exact_copies(df: DataFrame, text: str = "text", doc_id: str = "doc_id")
     keys = materialise(df.select(F.xxhash64(mark).alias("key")), "keys")
     maybe = maybe_repeated(df.sparkSession, *repeated_cells(keys, keys.count()))
     suspect = maybe(F.xxhash64(mark))
-    order = F.struct(F.col(doc_id).isNotNull(), F.col(doc_id))
-    best = df.where(suspect).groupBy(mark.alias("__sha")).agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), order).alias("__row"))
+    every = [F.col(f"`{c}`") for c in df.columns]
+    order = F.struct(F.col(doc_id).isNotNull(), F.col(doc_id), F.xxhash64(*every))
+    best = df.where(suspect).groupBy(mark.alias("__sha")).agg(F.max_by(F.struct(*every), order).alias("__row"))
     return df.where(~suspect).unionByName(best.select("__row.*"))

@@ -18,7 +18,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.llm._common import ROW, WORD, materialise, text_of, with_row_key
+from waymark.llm._common import free_name, ROW, WORD, materialise, text_of, with_row_key
 
 #: Rows a bucket should hold; there are 16 to 16 ** 4 buckets of a source.
 BUCKET_ROWS = 1_000
@@ -112,6 +112,7 @@ def take(df: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     Texts of size 0 are never taken, as they add no words.
     """
     keyed = with_row_key(df)
-    wanted = mix(keyed, text, doc_id, source, keep=ROW, **options).where("copies > 0").select(*ROW, F.col("copies").alias("__copies"))
-    each = keyed.join(wanted.hint("merge"), list(ROW)).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    copies, turn = (free_name(keyed, x) for x in ("copies", "turn"))
+    wanted = mix(keyed, text, doc_id, source, keep=ROW, **options).where("copies > 0").select(*ROW, F.col("copies").alias(copies))
+    each = keyed.join(wanted.hint("merge"), list(ROW)).withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(copies))))
     return each.select(*(F.col(f"`{c}`") for c in df.columns))

@@ -23,7 +23,7 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP2_SQL = """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
-       doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+       row_number() OVER (same ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
@@ -34,7 +34,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP3_SQL = r"""
 WITH base AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+  SELECT row_number() OVER () AS uid, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
          md5('mix-1:' || coalesce(doc_id::VARCHAR, '')) AS place FROM documents
 ), sources AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS ordinal FROM base GROUP BY source
@@ -51,15 +51,15 @@ WITH base AS (
   SELECT source, source_size, ordinal, weight, total, CASE WHEN own <= level THEN cap::DOUBLE ELSE level * weight END AS target FROM levelled, water
 ), queued AS (
   SELECT b.*, source_size, ordinal, weight, total, target,
-         (sum(size) OVER (PARTITION BY b.source ORDER BY place, doc_id, size ROWS UNBOUNDED PRECEDING))::BIGINT AS sent
+         (sum(size) OVER (PARTITION BY b.source ORDER BY place, doc_id, size, uid ROWS UNBOUNDED PRECEDING))::BIGINT AS sent
   FROM base b JOIN targets t ON b.source IS NOT DISTINCT FROM t.source
 ), copies AS (
   SELECT *, (r * source_size + sent) / weight AS finish FROM queued, (VALUES (0), (1), (2)) AS rounds(r)
 ), ranked AS (
-  SELECT *, sum(size) OVER (ORDER BY finish, ordinal, place, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM copies
+  SELECT *, sum(size) OVER (ORDER BY finish, ordinal, place, doc_id, size, uid ROWS UNBOUNDED PRECEDING) AS upto FROM copies
 )
 SELECT doc_id, size, source_size, target, (size * sum((upto <= total)::BIGINT))::BIGINT AS taken
-FROM ranked GROUP BY doc_id, source, place, size, source_size, target, sent
+FROM ranked GROUP BY uid, doc_id, size, source_size, target
 """
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,18 +71,20 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP5_SQL = r"""
-WITH lines AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents
+WITH numbered AS (
+  SELECT row_number() OVER () AS uid, doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
+), lines AS (
+  SELECT uid, doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos FROM numbered
 ), keyed AS (
   SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines
 ), held AS (
-  SELECT key, max(doc_id) AS last_doc FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+  SELECT key, max(doc_id) AS last_doc FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT uid) >= 5
 ), marked AS (
   SELECT k.*, h.key IS NOT NULL AND doc_id <> last_doc AS gone FROM keyed k LEFT JOIN held h USING (key)
 )
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
-FROM marked GROUP BY doc_id
+FROM marked GROUP BY uid, doc_id
 """
 
 

@@ -124,7 +124,8 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", s
 
 def keep_one_of_each(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``df`` with one row of each component of near-duplicates: the one with the least id (of
-    repeated ids, the first). Rows with nothing near them all stay."""
+    repeated ids, the first; a null id only where all ids are null). Rows with nothing near them all
+    stay. Null texts count as empty, and texts without a word are near each other; an empty table gives no rows."""
     keyed = with_row_key(df)
     found = materialise(near_duplicates(keyed, text, doc_id), "near")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *ROW)).alias("first")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm._common import text_batches, text_of
+from waymark.llm._common import free_name, text_batches, text_of
 
 WINDOW, STRIDE, HIDDEN, ATTEND, EMBED = 64, 32, 8, 8, 4
 #: Inputs of a word: three of log-odds, two embeddings, the number of n-grams, one.
@@ -395,7 +395,5 @@ def without_toxic(df: DataFrame, labels: DataFrame, text: str = "text", doc_id:
     kinds all rows stay; an empty table gives no rows.
     """
     net = fit(df, labels, text, doc_id)
-    into = "toxicity"
-    while into.lower() in {c.lower() for c in df.columns}:
-        into += "_"
+    into = free_name(df, "toxicity")
     return score(df, net, text, into).where(F.col(into) < 0.5).drop(into)
