@@ -14,7 +14,7 @@ leave a Jaccard similarity of 0.63 and 0.38.
 Candidates come from ``BANDS`` = 6 bands of one MinHash over the shingles, at about the same place
 in both paragraphs; anchors are no part of a key. A pair with a word changed in its middle collides
 with a probability of 1 - (1 - 0.63) ** 6 = 0.997, one with two words far apart changed with 0.94.
-A Bloom filter of keys held by two rows or more lets paragraphs go that nothing can collide with.
+A Bloom filter (two cells a key) of keys held by two rows or more lets paragraphs go that nothing can collide with.
 Buckets of up to ``PAIRS`` classes are paired and verified. The classes of larger buckets are sent
 to what is left of them without two words instead: two paragraphs are near copies exactly if they
 share one of these remainders, so that nothing grows with the square of a bucket. A shingle that
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from waymark.llm._common import ROW, lookup, materialise, text_batches, text_of, with_row_key
 from waymark.llm.components import connected_components
-from waymark.llm.exact_dedup import repeated_cells
+from waymark.llm.exact_dedup import maybe_repeated, repeated_cells
 
 SHINGLE, SPREAD, SPAN = 5, 24, 26
 BAG = SPAN - SHINGLE + 1
@@ -47,8 +47,8 @@ STEP = 8
 PAIRS = 64
 #: Characters of text that are cut at once; a longer text is cut whole.
 CHUNK = 1_000_000
-#: Characters of text for each paragraph, about, and cells for each key; the filter's size follows from them.
-CHARS, CELLS = 80, 16
+#: Characters of text for each paragraph, about; the filter's size follows from it, up to a power of two.
+CHARS, MAX_LOG2 = 80, 29
 #: Columns that hold a paragraph's word codes, three in each.
 WORDS = [f"w{k}" for k in range(-(-SPAN // 3))]
 _A = np.uint64(0x9E3779B97F4A7C15)
@@ -165,15 +165,21 @@ def band_keys(words: np.ndarray) -> np.ndarray:
     return keys
 
 
+def _cells(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each key; it is held by two rows only if the filter's cells of both were hit twice."""
+    return keys, _mix(keys ^ _B)
+
+
 def _all_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The band keys of paragraphs, each once for each row."""
+    """Both hashes of the band keys of paragraphs, each once for each row."""
     for b in batches:
         for _, texts in chunks(b.column("text").to_pylist()):
             doc, _, words = cut_texts(texts)
             keys = band_keys(words)
             own = keys ^ _mix(doc.astype(np.uint64) + np.uint64(1))[:, None]
             first = np.unique(own, return_index=True)[1]
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()[first].view(np.int64))], ["key"])
+            for cell in _cells(keys.ravel()[first]):
+                yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64))], ["key"])
 
 
 def _suspects(seen, log2: int):
@@ -185,8 +191,8 @@ def _suspects(seen, log2: int):
         for b in batches:
             for begin, texts in chunks(b.column("text").to_pylist()):
                 doc, start, words = cut_texts(texts)
-                cell = band_keys(words) & mask
-                hit = ((bits[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1).any(1)
+                one, two = (bits[(x & mask) >> np.uint64(3)] >> (x & np.uint64(7)).astype(np.uint8) for x in _cells(band_keys(words)))
+                hit = (one & two & 1).any(1)
                 if hit.any():
                     classes = classes_of(words[hit])
                     if len(sent) > 100_000:
@@ -199,10 +205,16 @@ def _suspects(seen, log2: int):
     return run
 
 
+def sketches(words: np.ndarray) -> np.ndarray:
+    """Of rows of word codes: 64 bits, one for each word. Near copies differ in 2 * EDITS of them at most."""
+    return np.bitwise_or.reduce(np.uint64(1) << (words & np.uint32(63)).astype(np.uint64), 1).view(np.int64)
+
+
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        keys = band_keys(_words_in(b)).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("class").to_numpy(), BANDS)), pa.array(keys.ravel())], ["class", "key"])
+        words = _words_in(b)
+        each = [np.repeat(x, BANDS) for x in (b.column("class").to_numpy(), sketches(words))]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, each), pa.array(band_keys(words).view(np.int64).ravel())], ["class", "sketch", "key"])
 
 
 def _letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,12 +277,18 @@ def near(a: Column, b: Column) -> Column:
 
 def class_links(classes: DataFrame, pairs: int = PAIRS) -> DataFrame:
     """classes: class (unique) and WORDS. Links a, b whose components are those of all near copies that collide."""
-    keys = materialise(classes.select("class", *WORDS).mapInArrow(_keys, "class long, key long"), "keys")
-    buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = materialise(lookup(keys, buckets, "key", "n", max(1, keys.count())).where("n is not null"), "members")
+    keys = classes.select("class", *WORDS).mapInArrow(_keys, "class long, sketch long, key long")
+    maybe = maybe_repeated(classes.sparkSession, *repeated_cells(keys.select("key"), BANDS * max(1, classes.count()), max_log2=MAX_LOG2))
+    some = materialise(keys.where(maybe("key")), "keys")
+    buckets = some.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = materialise(lookup(some, buckets, "key", "n", max(1, some.count())).where("n is not null"), "members")
     few = members.where(F.col("n") <= pairs)
-    close = few.alias("a").join(few.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.class") < F.col("b.class"))).select(F.col("a.class").alias("a"), F.col("b.class").alias("b")).distinct()
-    letters = materialise(classes.select("class", *WORDS).join(few.select("class").distinct(), "class", "left_semi").mapInArrow(_letters, "class long, letters string"), "letters")
+    alike = F.bit_count(F.col("a.sketch").bitwiseXOR(F.col("b.sketch"))) <= 2 * EDITS
+    close = few.alias("a").join(few.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.class") < F.col("b.class")) & alike)
+    close = materialise(close.select(F.col("a.class").alias("a"), F.col("b.class").alias("b")).distinct(), "close")
+    those = close.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    letters = classes.select("class", *WORDS).join(those, "class", "left_semi").mapInArrow(_letters, "class long, letters string")
+    letters = materialise(letters, "letters")
     for side in "ab":
         close = close.join(letters.select(F.col("class").alias(side), F.col("letters").alias(f"of_{side}")), side)
     paired = close.where(near(F.col("of_a"), F.col("of_b"))).select("a", "b")
@@ -298,7 +316,7 @@ def repeated_passages(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
     kind = df.schema[doc_id].dataType.simpleString()
     rows = keyed.select(F.col(doc_id).alias("doc_id"), *ROW, text_of(text).alias("text"))
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    bits, log2 = repeated_cells(rows.select("text").mapInArrow(_all_keys, "key long"), max(1, BANDS * size // CHARS), CELLS)
+    bits, log2 = repeated_cells(rows.select("text").mapInArrow(_all_keys, "key long"), max(1, BANDS * size // CHARS), max_log2=MAX_LOG2)
     cut = rows.mapInArrow(_suspects(spark.sparkContext.broadcast(bits), log2), f"doc_id {kind}, {ROW[0]} long, {ROW[1]} long, start int, class long, {', '.join(f'{w} long' for w in WORDS)}")
     cut = materialise(cut, "paragraphs")
     row = F.xxhash64(*ROW)
