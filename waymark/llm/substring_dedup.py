@@ -44,7 +44,9 @@ EDITS = 2
 BANDS = 6
 #: A key tells the place of its shingle in steps of so many words, every other band's half a step on.
 STEP = 8
-PAIRS = 64
+PAIRS = 32
+#: Remainders of a class of a large bucket, about.
+REMAINDERS = 128
 #: Characters of text that are cut at once; a longer text is cut whole.
 CHUNK = 1_000_000
 #: Characters of text for each paragraph, about; the filter's size follows from it, up to a power of two.
@@ -292,11 +294,15 @@ def class_links(classes: DataFrame, pairs: int = PAIRS) -> DataFrame:
     for side in "ab":
         close = close.join(letters.select(F.col("class").alias(side), F.col("letters").alias(f"of_{side}")), side)
     paired = close.where(near(F.col("of_a"), F.col("of_b"))).select("a", "b")
-    large = materialise(classes.select("class", *WORDS).join(members.where(F.col("n") > pairs).select("class").distinct(), "class", "left_semi"), "large")
+    large = classes.select("class", *WORDS).join(members.where(F.col("n") > pairs).select("class").distinct(), "class", "left_semi")
+    large = materialise(large, "large")
     held = large.mapInArrow(_shingles_in, "class long, place int, shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("class"), F.min("place").alias("place"))
     lone = held.where("n = 1").groupBy("class").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("lone"))
-    rests = large.join(lone, "class", "left").select("class", *WORDS, F.coalesce("lone", F.lit(0).cast("long")).alias("lone")).mapInArrow(_remainders, "class long, rest long")
-    shared = rests.withColumn("least", F.min("class").over(Window.partitionBy("rest"))).where("class <> least")
+    marked = materialise(large.join(lone, "class", "left").select("class", *WORDS, F.coalesce("lone", F.lit(0).cast("long")).alias("lone")), "marked")
+    rests = marked.mapInArrow(_remainders, "class long, rest long")
+    # Most remainders are one class's alone; a filter lets them go before anything is shuffled.
+    maybe = maybe_repeated(classes.sparkSession, *repeated_cells(rests.select("rest"), REMAINDERS * max(1, marked.count()), max_log2=MAX_LOG2))
+    shared = rests.where(maybe("rest")).withColumn("least", F.min("class").over(Window.partitionBy("rest"))).where("class <> least")
     return paired.unionByName(shared.select(F.col("least").alias("a"), F.col("class").alias("b")).distinct())
 
 
