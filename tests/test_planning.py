@@ -91,7 +91,7 @@ def test_rules(spark, solved):
     found = rules.offenders(walks, walked, ["route_id"], "edge_id", trails, rules.Rule("x", (0,), (2,)))
     assert sorted((r.route_id, r.kind, r.trail_id) for r in found.collect()) == [(2, "entered", 2), (2, "missing", 0), (3, "missing", 0)]
     assert rules.offenders(walks, walked, ["route_id"], "edge_id", trails, rules.Rule()).count() == 0
-    assert rules.for_option("b", (1,)).require == (1,) and rules.for_option("d", (1,)).is_free
+    assert rules.for_option("b", (1,)).require == (1,) and rules.for_option("d", (1,)).describe()["free"]
     with pytest.raises(ValueError):
         rules.for_option("e", ())
 

@@ -108,11 +108,11 @@ def salvage(cuts: DataFrame, steps: DataFrame, edges: DataFrame, trails: DataFra
     """route_id, budget_s, dropped (span ids), time_s, score, exhaustive: for each reduced budget the
     combination of detours apart from each other that keeps the most points, the fewest detours
     first. Beyond TRIES combinations, detours are dropped greedily by points per minute. A group is
-    one walk with the edges and trails it touches."""
+    one walk with the edges of the trails it completes: a trail that the whole walk does not complete
+    cannot be completed by dropping detours."""
     own = steps.groupBy("route_id").agg(F.array_sort(F.collect_list(F.struct("pos", "edge_id", "time_s"))).alias("steps"))
     miles = steps.select("route_id", "edge_id").distinct().join(edges.select("edge_id", "score_mi"), "edge_id").groupBy("route_id").agg(F.collect_list(F.struct("edge_id", "score_mi")).alias("miles"))
-    touched = steps.select("route_id", "edge_id").distinct().join(trails, "edge_id").select("route_id", "trail_id").distinct()
-    needs = touched.join(trails, "trail_id").groupBy("route_id").agg(F.collect_list(F.struct("trail_id", "edge_id")).alias("needs"))
+    needs = scoring.completed(steps, ["route_id"], "edge_id", trails).join(trails, "trail_id").groupBy("route_id").agg(F.collect_list(F.struct("trail_id", "edge_id")).alias("needs"))
     spans = cuts.groupBy("route_id").agg(F.array_sort(F.collect_list(F.struct("span_id", "arc_start", "arc_end", "time_s", "points_lost"))).alias("cuts"))
     rows = own.join(miles, "route_id", "left").join(needs, "route_id", "left").join(spans, "route_id", "left")
 

@@ -69,8 +69,8 @@ def component_summary(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
 def shortest(arcs_: DataFrame, sources: DataFrame | None = None, rounds: int | None = None) -> DataFrame:
     """src, dst, time_s, pred_arc of the fastest way from every source (all nodes, if not given) to
-    every node it reaches, itself included with time 0 and no arc. Equally fast ways go by the
-    lesser arc. Only distances that fell in the last round are relaxed again.
+    every node it reaches, itself included with time 0 and no arc. Of equally fast ways the one of
+    fewest arcs stays, and of these the one with the lesser last arc. Only distances that fell in the last round are relaxed again.
 
     rounds: the most arcs a way may have, if bounded.
     """

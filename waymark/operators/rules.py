@@ -18,12 +18,8 @@ class Rule:
     require: tuple[int, ...] = ()
     forbid: tuple[int, ...] = ()
 
-    @property
-    def is_free(self) -> bool:
-        return not self.require and not self.forbid
-
     def describe(self) -> dict:
-        return {"label": self.label, "require": list(self.require), "forbid": list(self.forbid), "free": self.is_free}
+        return {"label": self.label, "require": list(self.require), "forbid": list(self.forbid), "free": self.require == self.forbid == ()}
 
 
 def for_option(option: str, trails: tuple[int, ...]) -> Rule:
