@@ -1,8 +1,9 @@
 """Row keys and skew-safe lookups."""
 
+import pandas as pd
 from pyspark.sql import functions as F
 
-from waymark.llm._common import ROW, hash_sample, lookup, materialise, with_row_key
+from waymark.llm._common import ROW, hash_sample, lookup, materialise, row_by_row, with_row_key
 
 
 def test_row_keys_name_rows_for_good(spark):
@@ -16,6 +17,18 @@ def test_row_keys_name_rows_for_good(spark):
     assert clash.select(*ROW).distinct().count() == docs.count() and clash.first()["_metadata"] == "mine"
 
 
+def test_row_by_row_is_made_once_and_never_stale(spark, tmp_path):
+    path, twice = str(tmp_path / "t"), lambda df: row_by_row(df, df.select((F.col("id") * 2).alias("run")), "t")
+    for n in (3, 5):
+        pd.DataFrame({"id": range(n)}).to_parquet(path)
+        got = twice(spark.read.parquet(path))
+        assert sorted(r.run for r in got.collect()) == [2 * i for i in range(n)] and got.columns == ["run"]
+        assert "InMemoryRelation" in got._jdf.queryExecution().toString()
+    for df in (spark.range(4), spark.read.parquet(path).where(F.rand() >= 0), spark.read.parquet(path).repartition(3)):
+        got = twice(df)
+        assert "InMemoryRelation" not in got._jdf.queryExecution().toString() and got.count() == df.count()
+
+
 def test_lookup_with_hot_and_rare_keys(spark):
     rows = materialise(spark.range(2000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 500).alias("k"), "id"), "t")
     table = materialise(rows.where("k < 400").groupBy("k").agg(F.count(F.lit(1)).alias("n")), "t")

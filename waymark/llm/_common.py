@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,6 +77,18 @@ def _is_scan(df: DataFrame) -> bool:
     return "LogicalRelation" in node.getClass().getName()
 
 
+def row_by_row(df: DataFrame, made: DataFrame, name: str) -> DataFrame:
+    """``made``, computed once. Where ``df``, from which it is made without a shuffle, is a plain scan,
+    each executor keeps its partitions on its own disk until the session's cache is cleared or the
+    application ends; what is lost with an executor is made again from the same file ranges, in the
+    same order. Anything else, rows in an order of chance among it, becomes a scratch table."""
+    if not (_is_scan(df) and df._jdf.queryExecution().analyzed().deterministic()):
+        return materialise(made, name)
+    # The mark keeps a later call from meeting rows that were kept of a table since rewritten.
+    mark = free_name(made, "run")
+    return made.withColumn(mark, F.lit(uuid.uuid4().int >> 65)).persist(StorageLevel.DISK_ONLY).drop(mark)
+
+
 def with_row_key(df: DataFrame) -> DataFrame:
     """``df`` with the columns ROW, which name a row for good: a hash of its file's path and its
     place in the file. A frame that isn't a scan of files is written to scratch first; one that has

@@ -18,7 +18,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.llm._common import free_name, ROW, WORD, materialise, text_of, with_row_key
+from waymark.llm._common import free_name, ROW, WORD, materialise, row_by_row, text_of, with_row_key
 
 #: Rows a bucket should hold; there are 16 to 16 ** 4 buckets of a source.
 BUCKET_ROWS = 1_000
@@ -62,7 +62,8 @@ def mix(df: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str =
     less than a document; those of a source are off its target by less than one of its documents. The shuffle is
     md5 of ``seed`` and the id, so reruns agree. An empty table gives no rows.
     """
-    base = materialise(
+    base = row_by_row(
+        df,
         df.select(
             F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.concat(F.lit("="), source), F.lit("")).alias("queue"),
             F.regexp_count(text_of(text), F.lit(WORD)).cast("long").alias("size"),

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.llm._common import materialise, text_batches, text_of
+from waymark.llm._common import row_by_row, text_batches, text_of
 
 WINDOW = 1024
 STEPS = 400
@@ -204,7 +204,7 @@ def pack(df: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int
     kind = df.schema[doc_id].dataType.simpleString()
     rows = df.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
     schema = f"doc_id {kind}, tokens long, task int, tail int, nth long, chunk long, crcs array<long>, ids binary"
-    docs = materialise(rows.mapInArrow(_tokenise(tokenizer, window, end), schema), "tokens")
+    docs = row_by_row(df, rows.mapInArrow(_tokenise(tokenizer, window, end), schema), "tokens")
     counts = docs.groupBy("task", "tail").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("crcs")).alias("full"))
     histogram, chunks = np.zeros(window, np.int64), 0
     for k, n, full in counts.groupBy("tail").agg(F.sum("n"), F.sum("full")).collect():

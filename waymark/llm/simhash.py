@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm._common import ROW, lookup, materialise, text_batches, text_of, with_row_key
+from waymark.llm._common import ROW, lookup, materialise, row_by_row, text_batches, text_of, with_row_key
 from waymark.llm.components import connected_components
 
 SHINGLE = 3
@@ -61,11 +61,12 @@ def _fingerprints(shingle: int):
 
 
 def fingerprints(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, ROW and print (long) of each row, as a scratch table."""
+    """doc_id, ROW and print (long) of each row, computed once."""
     text_batches(df.sparkSession)
-    rows = with_row_key(df).select(F.col(doc_id).alias("doc_id"), *ROW, text_of(text).alias("text"))
+    keyed = with_row_key(df)
+    rows = keyed.select(F.col(doc_id).alias("doc_id"), *ROW, text_of(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return materialise(rows.mapInArrow(_fingerprints(shingle), f"doc_id {kind}, {ROW[0]} long, {ROW[1]} long, print long"), "prints")
+    return row_by_row(keyed, rows.mapInArrow(_fingerprints(shingle), f"doc_id {kind}, {ROW[0]} long, {ROW[1]} long, print long"), "prints")
 
 
 def _bits(c, first: int, width: int):
