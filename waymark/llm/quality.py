@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm._common import SPACE, hash_sample, materialise, text_batches, text_of
+from waymark.llm._common import SPACE, hash_sample, materialise, row_by_row, text_batches, text_of
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -161,7 +161,7 @@ def judge(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     kind = df.schema[doc_id].dataType.simpleString()
     rows = df.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
     columns = ", ".join(f"{c} long" for c in (*COUNTS, *MORE))
-    stats = materialise(rows.mapInArrow(_statistics, f"doc_id {kind}, {columns}"), "statistics")
+    stats = row_by_row(df, rows.mapInArrow(_statistics, f"doc_id {kind}, {columns}"), "statistics")
     marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     good = stats.join(materialise(marks, "marks"), "doc_id").where("quality = 1")
@@ -177,7 +177,7 @@ def judge(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", *COUNTS, "base_failed")), pa.array(forest.value.score(features(x)))], ["doc_id", *COUNTS, "base_failed", "score"])
 
     counts = ", ".join(f"{c} long" for c in COUNTS)
-    scored = materialise(base.mapInArrow(score, f"doc_id {kind}, {counts}, base_failed boolean, score double"), "scores")
+    scored = row_by_row(df, base.mapInArrow(score, f"doc_id {kind}, {counts}, base_failed boolean, score double"), "scores")
     binned = scored.where("not base_failed").join(marks, "doc_id").groupBy(F.floor(F.col("score") * BINS).alias("bin"), "quality").agg(F.count(F.lit(1)).alias("n"))
     bins = np.zeros((2, BINS + 1))
     for k, quality, n in binned.collect():
