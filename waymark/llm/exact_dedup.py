@@ -3,7 +3,7 @@
 Pass one folds the digests of all texts into a filter of cells that were hit twice or more. Pass
 two sends only the rows whose cell is in the filter through a shuffle; all other texts are unique
 for sure and pass straight through. The filter is built in parts: each task emits the cells it
-has seen, the parts of a block of cells meet in one group, and only the bits of cells hit twice
+has seen, so many hashes at a time that its memory is bounded, the parts of a block of cells meet in one group, and only the bits of cells hit twice
 reach the driver, at most ``2 ** MAX_LOG2 / 8`` bytes however large the input is. Beyond
 ``2 ** MAX_LOG2 / CELLS_PER_ROW`` rows the filter gets denser and lets more unique rows shuffle;
 results stay the same.
@@ -23,34 +23,51 @@ from waymark.llm._common import lookup, materialise, text_of
 CELLS_PER_ROW = 8
 MAX_LOG2 = 30
 BLOCK = 16
+#: Hashes that a task sorts at once; its memory is some 100 bytes for each.
+AT_ONCE = 1 << 20
 
 
-def repeated_cells(keys: DataFrame, n_rows: int, cells_per_row: int = CELLS_PER_ROW, max_log2: int = MAX_LOG2) -> tuple[np.ndarray, int]:
-    """keys: one long column of well-mixed hashes. Returns the bits of the cells that two or more
-    rows hit, and the filter's size as a power of two."""
-    log2 = min(max_log2, max(BLOCK, int(np.ceil(np.log2(max(1, n_rows) * cells_per_row)))))
+def cells_seen(log2: int, at_once: int = AT_ONCE):
+    """Over batches of hashes: by block, the cells they hit, those hit again once more."""
     mask = np.uint64((1 << log2) - 1)
 
-    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b.column(0).to_numpy(zero_copy_only=False).view(np.uint64) & mask for b in batches]
-        if not parts:
-            return
+    def said(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         cells, counts = np.unique(np.concatenate(parts), return_counts=True)
+        cells = np.repeat(cells, np.minimum(counts, 2))
         blocks, starts = np.unique(cells >> np.uint64(BLOCK), return_index=True)
-        ends = [*starts[1:], len(cells)]
-        low = (cells & np.uint64((1 << BLOCK) - 1)).astype(np.uint16)
+        ends = (np.append(starts, len(cells)) * 2).astype(np.int32)
+        low = pa.Array.from_buffers(pa.binary(), len(blocks), [None, pa.py_buffer(ends), pa.py_buffer(cells.astype(np.uint16))])
+        made = pa.RecordBatch.from_arrays([pa.array(blocks.astype(np.int32)), low], ["block", "cells"])
         for i in range(0, len(blocks), 4096):
-            each = [(low[a:b], low[a:b][counts[a:b] > 1]) for a, b in zip(starts[i : i + 4096], ends[i : i + 4096])]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(blocks[i : i + 4096].astype(np.int32)), pa.array([np.concatenate(x).tobytes() for x in each], pa.binary())], ["block", "cells"]
-            )
+            yield made.slice(i, 4096)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, n = [], 0
+        for b in batches:
+            parts.append(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64) & mask)
+            n += b.num_rows
+            if n >= at_once:
+                yield from said(parts)
+                parts, n = [], 0
+        if n:
+            yield from said(parts)
+
+    return run
+
+
+def repeated_cells(keys: DataFrame, n_rows: int, cells_per_row: int = CELLS_PER_ROW, max_log2: int = MAX_LOG2, least: int = 2) -> tuple[np.ndarray, int]:
+    """keys: one long column of well-mixed hashes. Returns the bits of the cells that ``least``
+    (1 or 2) or more rows hit, and the filter's size as a power of two."""
+    log2 = min(max_log2, max(BLOCK, int(np.ceil(np.log2(max(1, n_rows) * cells_per_row)))))
 
     def merged(part: pa.Table) -> pa.Table:
-        hits = sum(np.bincount(np.frombuffer(x.as_py(), np.uint16), minlength=1 << BLOCK) for x in part["cells"])
-        bits = np.packbits(hits > 1, bitorder="little")
+        hits, parts = np.zeros(1 << BLOCK, np.int64), part["cells"].to_pylist()
+        for i in range(0, len(parts), 256):
+            hits += np.bincount(np.frombuffer(b"".join(parts[i : i + 256]), np.uint16), minlength=1 << BLOCK)
+        bits = np.packbits(hits >= least, bitorder="little")
         return pa.table({"block": part["block"][:1], "bits": pa.array([bits.tobytes()], pa.binary())}).slice(0, int(bits.any()))
 
-    found = keys.mapInArrow(seen, "block int, cells binary").groupBy("block").applyInArrow(merged, "block int, bits binary")
+    found = keys.mapInArrow(cells_seen(log2), "block int, cells binary").groupBy("block").applyInArrow(merged, "block int, bits binary")
     bits = np.zeros((1 << log2) >> 3, np.uint8)
     size = (1 << BLOCK) >> 3
     for block, part in found.toLocalIterator():
