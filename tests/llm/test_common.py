@@ -1,9 +1,11 @@
 """Row keys and skew-safe lookups."""
 
+from pathlib import Path
+
 import pandas as pd
 from pyspark.sql import functions as F
 
-from waymark.llm._common import ROW, hash_sample, lookup, materialise, row_by_row, with_row_key
+from waymark.llm._common import ROW, discard, hash_sample, lookup, materialise, row_by_row, with_row_key
 
 
 def test_row_keys_name_rows_for_good(spark):
@@ -42,3 +44,16 @@ def test_samples_by_hash(spark):
     got = [r.id for r in hash_sample(df, ["id"], 100).collect()]
     assert len(set(got)) == 100 and sorted(got) == sorted(r.id for r in hash_sample(df.repartition(7), ["id"], 100).collect())
     assert hash_sample(df, ["same"], 100).count() == 100 and hash_sample(df.limit(0), ["id"], 5).count() == 0
+
+
+def test_discarded_tables_are_gone_and_inputs_are_not(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(9).write.parquet(path)
+    df = spark.read.parquet(path)
+    scratch, kept = materialise(df, "t"), row_by_row(df, df.select((F.col("id") + 1).alias("id")), "t")
+    files = [f.replace("file://", "") for f in scratch.inputFiles()]
+    assert kept.count() == 9 and files and all(Path(f).exists() for f in files)
+    held = len(spark.sparkContext._jsc.getPersistentRDDs())
+    discard(spark, scratch, kept, df)
+    assert not any(Path(f).exists() for f in files) and spark.read.parquet(path).count() == 9
+    assert kept.count() == 9 and len(spark.sparkContext._jsc.getPersistentRDDs()) == held - 1

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -62,6 +63,22 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes tables of ``materialise`` and ``row_by_row`` that nothing will read again. Spark deletes
+    shuffle files only after the driver's JVM found that nothing refers to them, so it is told to look."""
+    sc = spark.sparkContext
+    for df in tables:
+        if kept := df.__dict__.pop("_on_disks", None):
+            kept.unpersist()
+            continue
+        for path in {re.sub(r"/[^/]*$", "", f) for f in df.inputFiles()}:
+            if re.search(r"/waymark-\w+-[0-9a-f]{32}$", path):
+                jpath = sc._jvm.org.apache.hadoop.fs.Path(path)
+                jpath.getFileSystem(sc._jsc.hadoopConfiguration()).delete(jpath, True)
+    gc.collect()
+    sc._jvm.System.gc()
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, or with underscores after it, so that no column of ``df`` has it."""
     while name.lower() in {c.lower() for c in df.columns}:
@@ -84,9 +101,18 @@ def row_by_row(df: DataFrame, made: DataFrame, name: str) -> DataFrame:
     same order. Anything else, rows in an order of chance among it, becomes a scratch table."""
     if not (_is_scan(df) and df._jdf.queryExecution().analyzed().deterministic()):
         return materialise(made, name)
+    return on_disks(made)
+
+
+def on_disks(made: DataFrame) -> DataFrame:
+    """``made``, computed once and kept on the executors' disks. A lost partition is made again, so its
+    rows, apart from their order, must not hang on chance."""
     # The mark keeps a later call from meeting rows that were kept of a table since rewritten.
     mark = free_name(made, "run")
-    return made.withColumn(mark, F.lit(uuid.uuid4().int >> 65)).persist(StorageLevel.DISK_ONLY).drop(mark)
+    kept = made.withColumn(mark, F.lit(uuid.uuid4().int >> 65)).persist(StorageLevel.DISK_ONLY)
+    out = kept.drop(mark)
+    out.__dict__["_on_disks"] = kept  # for ``discard``
+    return out
 
 
 def with_row_key(df: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.llm._common import ROW, lookup, materialise, text_batches, text_of, with_row_key
+from waymark.llm._common import ROW, discard, lookup, materialise, row_by_row, text_batches, text_of, with_row_key
 from waymark.llm.components import connected_components
 from waymark.llm.exact_dedup import maybe_repeated, repeated_cells
 
@@ -228,9 +228,7 @@ def _letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _shingles_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        found = _shingles(_words_in(b)).view(np.int64)
-        place = np.tile(np.arange(BAG, dtype=np.int32), len(found))
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("class").to_numpy(), BAG)), pa.array(place), pa.array(found.ravel())], ["class", "place", "shingle"])
+        yield pa.RecordBatch.from_arrays([pa.array(_shingles(_words_in(b)).view(np.int64).ravel())], ["shingle"])
 
 
 _PAIRS_OF_PLACES = np.array(list(combinations(range(SPAN), EDITS)))
@@ -263,11 +261,20 @@ def remainders(words: np.ndarray, lone: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate([r for r, _ in out]), np.concatenate([s for _, s in out])
 
 
-def _remainders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        if b.num_rows:
-            row, rest = remainders(_words_in(b), b.column("lone").to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(b.column("class").to_numpy()[row]), pa.array(_mix(rest).view(np.int64))], ["class", "rest"])
+def _remainders(shared, log2: int):
+    """shared: the cells of shingles hit twice; a shingle whose cell was hit once is one class's alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, mask = shared.value, np.uint64((1 << log2) - 1)
+        for b in batches:
+            if b.num_rows:
+                words = _words_in(b)
+                cells = _shingles(words) & mask
+                alone = bits[cells >> np.uint64(3)] >> (cells & np.uint64(7)).astype(np.uint8) & 1 == 0
+                row, rest = remainders(words, (alone.astype(np.int64) << np.arange(BAG)).sum(1))
+                yield pa.RecordBatch.from_arrays([pa.array(b.column("class").to_numpy()[row]), pa.array(_mix(rest).view(np.int64))], ["class", "rest"])
+
+    return run
 
 
 def near(a: Column, b: Column) -> Column:
@@ -277,33 +284,43 @@ def near(a: Column, b: Column) -> Column:
     return (F.levenshtein(a, b, EDITS) >= 0) | shifted
 
 
+def _among(classes: DataFrame, some: DataFrame, n: int) -> DataFrame:
+    """The classes that are in ``some`` (column class, ``n`` rows at most), and a few others: those that
+    a filter lets through, so that the words of all the rest are not shuffled."""
+    return classes.where(maybe_repeated(classes.sparkSession, *repeated_cells(some.select("class"), n, max_log2=MAX_LOG2, least=1))("class"))
+
+
 def class_links(classes: DataFrame, pairs: int = PAIRS) -> DataFrame:
     """classes: class (unique) and WORDS. Links a, b whose components are those of all near copies that collide."""
+    spark = classes.sparkSession
     keys = classes.select("class", *WORDS).mapInArrow(_keys, "class long, sketch long, key long")
-    maybe = maybe_repeated(classes.sparkSession, *repeated_cells(keys.select("key"), BANDS * max(1, classes.count()), max_log2=MAX_LOG2))
+    maybe = maybe_repeated(spark, *repeated_cells(keys.select("key"), BANDS * max(1, classes.count()), max_log2=MAX_LOG2))
     some = materialise(keys.where(maybe("key")), "keys")
+    discard(spark)
     buckets = some.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = materialise(lookup(some, buckets, "key", "n", max(1, some.count())).where("n is not null"), "members")
+    discard(spark, some)
     few = members.where(F.col("n") <= pairs)
     alike = F.bit_count(F.col("a.sketch").bitwiseXOR(F.col("b.sketch"))) <= 2 * EDITS
     close = few.alias("a").join(few.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.class") < F.col("b.class")) & alike)
     close = materialise(close.select(F.col("a.class").alias("a"), F.col("b.class").alias("b")).distinct(), "close")
-    those = close.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    letters = classes.select("class", *WORDS).join(those, "class", "left_semi").mapInArrow(_letters, "class long, letters string")
-    letters = materialise(letters, "letters")
+    discard(spark)
+    those = close.select(F.explode(F.array("a", "b")).alias("class"))
+    letters = _among(classes, those, 2 * close.count()).select("class", *WORDS).mapInArrow(_letters, "class long, letters string")
+    paired = close
     for side in "ab":
-        close = close.join(letters.select(F.col("class").alias(side), F.col("letters").alias(f"of_{side}")), side)
-    paired = close.where(near(F.col("of_a"), F.col("of_b"))).select("a", "b")
-    large = classes.select("class", *WORDS).join(members.where(F.col("n") > pairs).select("class").distinct(), "class", "left_semi")
-    large = materialise(large, "large")
-    held = large.mapInArrow(_shingles_in, "class long, place int, shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("class"), F.min("place").alias("place"))
-    lone = held.where("n = 1").groupBy("class").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("lone"))
-    marked = materialise(large.join(lone, "class", "left").select("class", *WORDS, F.coalesce("lone", F.lit(0).cast("long")).alias("lone")), "marked")
-    rests = marked.mapInArrow(_remainders, "class long, rest long")
+        paired = paired.join(letters.select(F.col("class").alias(side), F.col("letters").alias(f"of_{side}")), side)
+    paired = materialise(paired.where(near(F.col("of_a"), F.col("of_b"))).select("a", "b"), "paired")
+    crowded = members.where(F.col("n") > pairs).select("class")
+    large = materialise(_among(classes, crowded, crowded.count()).select("class", *WORDS).join(crowded.distinct(), "class", "left_semi"), "large")
+    discard(spark, members, close)
+    n = max(1, large.count())
+    shared, log2 = repeated_cells(large.mapInArrow(_shingles_in, "shingle long"), BAG * n, max_log2=MAX_LOG2)
+    rests = large.mapInArrow(_remainders(spark.sparkContext.broadcast(shared), log2), "class long, rest long")
     # Most remainders are one class's alone; a filter lets them go before anything is shuffled.
-    maybe = maybe_repeated(classes.sparkSession, *repeated_cells(rests.select("rest"), REMAINDERS * max(1, marked.count()), max_log2=MAX_LOG2))
-    shared = rests.where(maybe("rest")).withColumn("least", F.min("class").over(Window.partitionBy("rest"))).where("class <> least")
-    return paired.unionByName(shared.select(F.col("least").alias("a"), F.col("class").alias("b")).distinct())
+    maybe = maybe_repeated(spark, *repeated_cells(rests.select("rest"), REMAINDERS * n, max_log2=MAX_LOG2))
+    least = rests.where(maybe("rest")).withColumn("least", F.min("class").over(Window.partitionBy("rest"))).where("class <> least")
+    return paired.unionByName(least.select(F.col("least").alias("a"), F.col("class").alias("b")).distinct())
 
 
 def repeated_passages(df: DataFrame, text: str = "text", doc_id: str = "doc_id", pairs: int = PAIRS) -> DataFrame:
@@ -323,19 +340,26 @@ def repeated_passages(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
     rows = keyed.select(F.col(doc_id).alias("doc_id"), *ROW, text_of(text).alias("text"))
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     bits, log2 = repeated_cells(rows.select("text").mapInArrow(_all_keys, "key long"), max(1, BANDS * size // CHARS), max_log2=MAX_LOG2)
-    cut = rows.mapInArrow(_suspects(spark.sparkContext.broadcast(bits), log2), f"doc_id {kind}, {ROW[0]} long, {ROW[1]} long, start int, class long, {', '.join(f'{w} long' for w in WORDS)}")
-    cut = materialise(cut, "paragraphs")
+    discard(spark)
+    seen = spark.sparkContext.broadcast(bits)
+    cut = rows.mapInArrow(_suspects(seen, log2), f"doc_id {kind}, {ROW[0]} long, {ROW[1]} long, start int, class long, {', '.join(f'{w} long' for w in WORDS)}")
+    cut = row_by_row(rows, cut, "paragraphs")
     row = F.xxhash64(*ROW)
     least = [F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("id"), F.max(F.col("doc_id").isNull()).alias("unnamed"), F.min(row).alias("r0"), F.max(row).alias("r1")]
     classes = materialise(cut.groupBy("class").agg(*least, *(F.max(w).alias(w) for w in WORDS)), "classes")
+    placed = row_by_row(rows, cut.drop(*WORDS), "places")
+    n_placed = max(1, placed.count())
+    discard(spark, cut)
+    seen.unpersist()
     others = connected_components(class_links(classes, pairs))
     nodes = others.unionByName(others.select(F.col("root").alias("node"), "root").distinct())
     known = classes.drop(*WORDS).join(nodes.withColumnRenamed("node", "class"), "class", "left").withColumn("cluster", F.coalesce("root", "class")).where("root is not null or r0 <> r1")
     known = materialise(known, "known")
+    discard(spark, classes, others)
     clusters = known.groupBy("cluster").agg(F.min("id").alias("id"), F.max("unnamed").alias("unnamed"), F.min("r0").alias("r0"), F.max("r1").alias("r1"), F.sum("n").alias("n_copies")).where("r0 <> r1")
     clusters = clusters.select("cluster", "n_copies", F.when(~F.col("unnamed"), F.col("id")).alias("keep_id"))
     known = known.select("class", "n", "cluster", (F.col("r0") == F.col("r1")).alias("alone")).join(clusters, "cluster")
-    placed = lookup(cut.drop(*WORDS), known, "class", "n", max(1, cut.count())).where("cluster is not null")
+    placed = lookup(placed, known, "class", "n", n_placed).where("cluster is not null")
     # A paragraph that is like others but equal to none may differ from them in its last words.
     placed = placed.withColumn("end", F.col("start") + SPAN - F.when(F.col("alone"), EDITS).otherwise(0))
     by = [*ROW, "keep_id"]
