@@ -145,3 +145,15 @@ def test_cells_hit_once_or_more(spark):
     keys = [int(k) for k in np.random.default_rng(4).integers(1 << 62, size=500)]
     bits, log2 = exact_dedup.repeated_cells(spark.createDataFrame([(k,) for k in keys], "k long"), len(keys), least=1)
     assert int(np.unpackbits(bits).sum()) == len({k & (1 << log2) - 1 for k in keys})
+
+
+def test_line_dedup_writes_no_scratch_tables(spark, tmp_path, monkeypatch):
+    """Each scratch file makes the executor start a process that shows its memory twice."""
+    import pandas as pd
+
+    from waymark.llm import _common
+
+    pd.DataFrame({"doc_id": range(8), "text": ["x" * 50 + "\n" + str(i) for i in range(8)]}).to_parquet(tmp_path / "d.parquet")
+    monkeypatch.setattr(_common, "materialise", lambda *a: pytest.fail("a scratch table"))
+    got = {r.doc_id: r.n_dropped for r in line_dedup.kept_lines(spark.read.parquet(str(tmp_path / "d.parquet"))).collect()}
+    assert got == {i: int(i < 7) for i in range(8)}

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm._common import ROW, materialise, text_batches, text_of, with_row_key
+from waymark.llm._common import ROW, on_disks, row_by_row, text_batches, text_of, with_row_key
 
 MIN_POINTS = 40
 MIN_DOCS = 5
@@ -125,15 +125,16 @@ def keep_bitmaps(df: DataFrame, text: str = "text", doc_id: str = "doc_id", min_
     """ROW, n_lines and keep (a zlib-compressed bitmap, first line in the highest bit) of each row
     that loses a line; all others keep every line. See ``kept_lines`` for the rule."""
     rows = with_row_key(df).select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("doc"), *ROW, text_of(text).alias("text"))
-    found = materialise(rows.mapInArrow(_occurrences(min_points), _OCCURRENCE), "lines")
+    found = row_by_row(rows, rows.mapInArrow(_occurrences(min_points), _OCCURRENCE), "lines")
     order = ["h1", "h2", F.col("doc").desc(), *ROW]
     ranged = found.repartitionByRange(*order).sortWithinPartitions(*order)
-    decided = materialise(ranged.mapInArrow(_stream(min_docs), f"{_OCCURRENCE}, kind byte, docs long"), "decided")
+    # The order is total, so that a task made again decides alike.
+    decided = on_disks(ranged.mapInArrow(_stream(min_docs), f"{_OCCURRENCE}, kind byte, docs long"))
     total = decided.where(F.col("kind") == _COUNTED).groupBy("h1", "h2").agg(F.sum("docs").alias("all_docs"), F.max("doc").alias("top"))
     waiting = decided.where(F.col("kind") == _WAITS).join(F.broadcast(total.where(F.col("all_docs") >= min_docs)), ["h1", "h2"]).where("doc <> top")
     gone = decided.where(F.col("kind") == _GONE).select(*ROW, "n_lines", "lines").unionByName(waiting.select(*ROW, "n_lines", "lines"))
     by_row = gone.groupBy(*ROW).agg(F.max("n_lines").alias("n_lines"), F.collect_list("lines").alias("gone"))
-    return materialise(by_row.mapInArrow(_bitmaps, f"{ROW[0]} long, {ROW[1]} long, n_lines int, keep binary"), "bitmaps")
+    return by_row.mapInArrow(_bitmaps, f"{ROW[0]} long, {ROW[1]} long, n_lines int, keep binary")
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
