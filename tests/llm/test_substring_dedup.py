@@ -153,3 +153,58 @@ def test_edited_passages(spark):
             by_word = sum(r.end_word - r.start_word for r in mine) / (40 * size)
             print(f"{edits} edits in {size} words: passages {share:.2f}, words {by_word:.2f}")
             assert share >= (0.9 if edits < 3 or size > 60 else 0.8)
+
+
+def test_words_have_the_codes_of_the_library():
+    """Codes worked out for all words at once are those of xxhash, whatever a word's length, place and neighbours."""
+    rnd = random.Random(31)
+    text = "".join("".join(rnd.choices("abyz09é-", k=rnd.randint(1, 70))) + rnd.choice([" ", "\n", " \t ", "\x0b", "\r\n\x0c", "  "]) for _ in range(900))
+    for raw in (text.encode(), b"\n" + text.encode() + b"x", b"a", b"a" * 40, b"", b" \n "):
+        split = raw.split()
+        begins, codes = sd.word_codes(raw, 100)
+        assert [raw[b : b + len(x)] for b, x in zip(begins.tolist(), split)] == split and len(begins) == len(split)
+        assert codes.tolist() == [sd.xxhash.xxh64_intdigest(x) >> 44 for x in split]
+
+
+def test_thinned_remainders_hold_the_same_classes_together():
+    rng = np.random.default_rng(12)
+    classes, rests = rng.integers(300, size=4000), rng.integers(900, size=4000).astype(np.uint64)
+    classes[:2500], rests[:2500] = rng.integers(30, size=2500), rng.integers(400, size=2500).astype(np.uint64)
+
+    def parts(pairs):
+        parent = {}
+
+        def root(x):
+            while parent.setdefault(x, x) != x:
+                x = parent[x]
+            return x
+
+        for c, r in pairs:
+            parent[root(("c", c))] = root(("r", r))
+        held = {}
+        for x in [*parent]:
+            held.setdefault(root(x), set()).add(x)
+        return {frozenset(x) for x in held.values()}
+
+    every = list(zip(classes.tolist(), rests.tolist()))
+    few = list(zip(*(x.tolist() for x in sd.thinned(classes, rests))))
+    assert set(few) <= set(every) and len(few) < 0.6 * len(every)
+    assert parts(few) == parts(every)
+    assert [len(x) for x in sd.thinned(classes[:0], rests[:0])] == [0, 0]
+
+
+def test_a_filter_takes_one_job(spark):
+    """Blocks of a filter came in a job for each partition; hundreds of partitions took minutes."""
+    held = {name: spark.conf.get(name) for name in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "30")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    tracker = spark.sparkContext.statusTracker()
+    try:
+        spark.sparkContext.setJobGroup("filter", "filter")
+        bits, log2 = sd.repeated_cells(spark.range(400_000).selectExpr("xxhash64(id div 2)"), 400_000)
+        jobs = len(tracker.getJobIdsForGroup("filter"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for name, value in held.items():
+            spark.conf.set(name, value)
+    assert log2 == 22 and 150_000 < np.unpackbits(bits).sum() <= 200_000 and jobs < 5

@@ -11,7 +11,8 @@ results stay the same.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,14 +28,26 @@ BLOCK = 16
 AT_ONCE = 1 << 20
 
 
-def cells_seen(log2: int, at_once: int = AT_ONCE):
-    """Over batches of hashes: by block, the cells they hit, those hit again once more."""
+#: A function that makes hashes of a task's batches.
+Hashes = Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]]
+
+
+def _as_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The first column."""
+    for b in batches:
+        yield b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+
+
+def cells_seen(log2: int, at_once: int = AT_ONCE, of: Hashes = _as_hashes):
+    """Over batches that ``of`` makes hashes of: by block, the cells they hit, those hit again once more."""
     mask = np.uint64((1 << log2) - 1)
 
     def said(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        cells, counts = np.unique(np.concatenate(parts), return_counts=True)
-        cells = np.repeat(cells, np.minimum(counts, 2))
-        blocks, starts = np.unique(cells >> np.uint64(BLOCK), return_index=True)
+        cells = np.sort(np.concatenate(parts))
+        cells = cells[np.concatenate([[True, True], cells[2:] != cells[:-2]])[: len(cells)]]
+        blocks = cells >> np.uint32(BLOCK)
+        starts = np.flatnonzero(np.concatenate([[True], blocks[1:] != blocks[:-1]]))
+        blocks = blocks[starts]
         ends = (np.append(starts, len(cells)) * 2).astype(np.int32)
         low = pa.Array.from_buffers(pa.binary(), len(blocks), [None, pa.py_buffer(ends), pa.py_buffer(cells.astype(np.uint16))])
         made = pa.RecordBatch.from_arrays([pa.array(blocks.astype(np.int32)), low], ["block", "cells"])
@@ -43,9 +56,9 @@ def cells_seen(log2: int, at_once: int = AT_ONCE):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, n = [], 0
-        for b in batches:
-            parts.append(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64) & mask)
-            n += b.num_rows
+        for hashes in of(batches):
+            parts.append((hashes & mask).astype(np.uint32))
+            n += len(hashes)
             if n >= at_once:
                 yield from said(parts)
                 parts, n = [], 0
@@ -55,9 +68,10 @@ def cells_seen(log2: int, at_once: int = AT_ONCE):
     return run
 
 
-def repeated_cells(keys: DataFrame, n_rows: int, cells_per_row: int = CELLS_PER_ROW, max_log2: int = MAX_LOG2, least: int = 2) -> tuple[np.ndarray, int]:
-    """keys: one long column of well-mixed hashes. Returns the bits of the cells that ``least``
-    (1 or 2) or more rows hit, and the filter's size as a power of two."""
+def repeated_cells(keys: DataFrame, n_rows: int, cells_per_row: int = CELLS_PER_ROW, max_log2: int = MAX_LOG2, least: int = 2, of: Hashes = _as_hashes) -> tuple[np.ndarray, int]:
+    """keys: one long column of well-mixed hashes, or rows that ``of`` makes such hashes of, which then
+    never leave the task. Returns the bits of the cells that ``least`` (1 or 2) or more hashes hit, and
+    the filter's size as a power of two."""
     log2 = min(max_log2, max(BLOCK, int(np.ceil(np.log2(max(1, n_rows) * cells_per_row)))))
 
     def merged(part: pa.Table) -> pa.Table:
@@ -65,23 +79,30 @@ def repeated_cells(keys: DataFrame, n_rows: int, cells_per_row: int = CELLS_PER_
         for i in range(0, len(parts), 256):
             hits += np.bincount(np.frombuffer(b"".join(parts[i : i + 256]), np.uint16), minlength=1 << BLOCK)
         bits = np.packbits(hits >= least, bitorder="little")
-        return pa.table({"block": part["block"][:1], "bits": pa.array([bits.tobytes()], pa.binary())}).slice(0, int(bits.any()))
+        return pa.table({"block": part["block"][:1], "bits": pa.array([zlib.compress(bits.tobytes(), 1)], pa.binary())}).slice(0, int(bits.any()))
 
-    found = keys.mapInArrow(cells_seen(log2), "block int, cells binary").groupBy("block").applyInArrow(merged, "block int, bits binary")
+    found = keys.mapInArrow(cells_seen(log2, of=of), "block int, cells binary").groupBy("block").applyInArrow(merged, "block int, bits binary")
     bits = np.zeros((1 << log2) >> 3, np.uint8)
     size = (1 << BLOCK) >> 3
-    for block, part in found.toLocalIterator():
-        bits[block * size : (block + 1) * size] = np.frombuffer(part, np.uint8)
+    # One job for all blocks, which reach Python as they come; an iterator would run a job for each partition in turn.
+    for b in found.toArrow().to_batches():
+        for block, part in zip(b.column("block").to_pylist(), b.column("bits")):
+            bits[block * size : (block + 1) * size] = np.frombuffer(zlib.decompress(part.as_py()), np.uint8)
     return bits, log2
 
 
+def in_filter(bits: np.ndarray, log2: int, hashes: np.ndarray) -> np.ndarray:
+    """Of each hash whether its cell's bit is set."""
+    cells = hashes & np.uint64((1 << log2) - 1)
+    return (bits[cells >> np.uint64(3)] >> (cells & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
 def maybe_repeated(spark, bits: np.ndarray, log2: int):
     """A function of a hash column: false only where no other row has the same hash."""
-    held, mask = spark.sparkContext.broadcast(bits), (1 << log2) - 1
+    held = spark.sparkContext.broadcast(bits)
 
     def maybe(keys: pa.Array) -> pa.Array:
-        cell = keys.to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64(mask)
-        return pa.array((held.value[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1)
+        return pa.array(in_filter(held.value, log2, keys.to_numpy(zero_copy_only=False).view(np.uint64)))
 
     return F.arrow_udf(maybe, "boolean")
 

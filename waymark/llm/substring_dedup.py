@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from waymark.llm._common import ROW, discard, lookup, materialise, row_by_row, text_batches, text_of, with_row_key
 from waymark.llm.components import connected_components
-from waymark.llm.exact_dedup import maybe_repeated, repeated_cells
+from waymark.llm.exact_dedup import AT_ONCE, in_filter, maybe_repeated, repeated_cells
 
 SHINGLE, SPREAD, SPAN = 5, 24, 26
 BAG = SPAN - SHINGLE + 1
@@ -55,6 +55,9 @@ CHARS, MAX_LOG2 = 80, 29
 WORDS = [f"w{k}" for k in range(-(-SPAN // 3))]
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xC2B2AE3D27D4EB4F)
+#: The primes of XXH64, which is worked out here for all short words at once.
+_P = [np.uint64(x) for x in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)]
+_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 _ODD = np.random.default_rng(5).integers(1 << 63, size=BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -73,19 +76,68 @@ def _shingles(w: np.ndarray) -> np.ndarray:
     return _mix(out)
 
 
+def _turned(x: np.ndarray, by: int) -> np.ndarray:
+    return x << np.uint64(by) | x >> np.uint64(64 - by)
+
+
+def _xxh64(text: bytes, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """XXH64 of stretches of ``text``, behind which 8 more bytes lie."""
+    one, two, three, four, five = _P
+    n = len(text)
+    eights, fours = (np.ndarray(n - k + 1, f"<u{k}", text, strides=1) for k in (8, 4))
+    every = np.frombuffer(text, np.uint8)
+    h = size.astype(np.uint64) + five
+    for k in range(3):
+        at = np.flatnonzero(size >= 8 * k + 8)
+        h[at] = _turned(h[at] ^ _turned(eights[begin[at] + 8 * k] * two, 31) * one, 27) * one + four
+    done = size & ~7
+    at = np.flatnonzero(size & 4)
+    h[at] = _turned(h[at] ^ fours[begin[at] + done[at]].astype(np.uint64) * one, 23) * two + three
+    done = size & ~3
+    for k in range(3):
+        at = np.flatnonzero(size & 3 > k)
+        h[at] = _turned(h[at] ^ every[begin[at] + done[at] + k].astype(np.uint64) * five, 11) * one
+    h = (h ^ h >> np.uint64(33)) * two
+    h = (h ^ h >> np.uint64(29)) * three
+    h ^= h >> np.uint64(32)
+    for k in np.flatnonzero(size > 31):
+        h[k] = xxhash.xxh64_intdigest(text[begin[k] : begin[k] + size[k]])
+    return h
+
+
+def word_codes(text: bytes, at_once: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of ``text`` begin and their codes, the first 20 bits of XXH64, so many at once."""
+    space = _SPACE[np.frombuffer(text, np.uint8)]
+    edges = np.flatnonzero(np.concatenate([[True], space]) != np.concatenate([space, [True]]))
+    begin, size = edges[::2], edges[1::2] - edges[::2]
+    codes, text = np.zeros(len(begin), np.uint32), text + bytes(8)
+    for k in range(0, len(begin), at_once):
+        codes[k : k + at_once] = _xxh64(text, begin[k : k + at_once], size[k : k + at_once]) >> np.uint64(44)
+    return begin, codes
+
+
+def _runs(values: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Rows of the ``n`` values from each place. A column lies in one piece, so that what is done to
+    short rows runs along the columns."""
+    return values[at + np.arange(n)[:, None]].T
+
+
 def cut_texts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The paragraphs of texts: the text's number, the start word, and SPAN word codes of 20 bits
     (one row each). Words are separated by ASCII white space; A-Z are lower-cased."""
-    code: dict[bytes, int] = {}
-    split = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
-    sizes = np.array([len(x) for x in split], np.int64)
-    total = int(sizes.sum())
-    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, SPAN), np.uint32)
+    return _cut(texts)[:3]
+
+
+def _cut(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``cut_texts``, and the BAG shingles of each paragraph."""
+    split = [t.encode("utf-8", "surrogatepass") for t in texts]
+    begins, w = word_codes(b" ".join(split).lower())
+    upto = np.searchsorted(begins, np.cumsum([len(t) + 1 for t in split]))
+    sizes = np.diff(upto, prepend=0)
+    total = len(w)
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, SPAN), np.uint32), np.zeros((0, BAG), np.uint64)
     if total < SPAN:
         return none
-    codes = np.fromiter((code.setdefault(w, len(code)) for x in split for w in x), np.int64, total)
-    digest = xxhash.xxh64_intdigest
-    w = (np.fromiter((digest(x) for x in code), np.uint64, len(code)) >> np.uint64(44)).astype(np.uint32)[codes]
     doc = np.repeat(np.arange(len(texts)), sizes)
     place = np.arange(total) - (np.cumsum(sizes) - sizes)[doc]
     left = sizes[doc] - place
@@ -102,7 +154,8 @@ def cut_texts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     found = []
     if len(widths[8]) > 16:
         runs = np.minimum(widths[16][: len(widths[8]) - 16], widths[8][16:])
-        found.append((runs[left[: len(runs)] >= SPREAD + SHINGLE - 1] & low).astype(np.int64))
+        least = (runs[left[: len(runs)] >= SPREAD + SHINGLE - 1] & low).astype(np.int64)
+        found.append(least[np.concatenate([[True], least[1:] != least[:-1]])[: len(least)]])
     for k in np.flatnonzero((sizes >= SPAN) & (sizes < SPREAD + SHINGLE - 1)):
         first = int(sizes[:k].sum())
         found.append(np.array([first + int(shingles[first : first + sizes[k] - SHINGLE + 1].argmin())]))
@@ -110,13 +163,14 @@ def cut_texts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     anchors = anchors[left[anchors] >= SPAN]
     if not len(anchors):
         return none
-    words = np.lib.stride_tricks.sliding_window_view(w, SPAN)[anchors]
     # Where a few words come over and over, one equal paragraph follows another: every so often is enough.
     own, start = doc[anchors], place[anchors]
-    equal = np.concatenate([[False], (own[1:] == own[:-1]) & (words[1:] == words[:-1]).all(1)])
+    equal = np.concatenate([[False], (own[1:] == own[:-1]) & (shingles[anchors[1:]] == shingles[anchors[:-1]])])
+    at = np.flatnonzero(equal)
+    equal[at] = (_runs(w, anchors[at], SPAN) == _runs(w, anchors[at - 1], SPAN)).all(1)
     since = (start - start[~equal][np.cumsum(~equal) - 1]) // (SPREAD // 2)
     kept = ~equal | (since != np.concatenate([[-1], since[:-1]]))
-    return own[kept], start[kept], words[kept]
+    return own[kept], start[kept], _runs(w, anchors[kept], SPAN), _runs(shingles, anchors[kept], BAG)
 
 
 def chunks(texts: list[str], size: int = CHUNK) -> Iterator[tuple[int, list[str]]]:
@@ -145,9 +199,12 @@ def packed(words: np.ndarray) -> np.ndarray:
 
 
 def _words_in(b: pa.RecordBatch) -> np.ndarray:
-    """The word codes in a batch's columns WORDS."""
-    found = np.stack([b.column(c).to_numpy() for c in WORDS], 1)
-    return np.stack([found >> 40, found >> 20 & 0xFFFFF, found & 0xFFFFF], 2).reshape(len(found), -1)[:, :SPAN].astype(np.uint32)
+    """The word codes in a batch's columns WORDS; a column lies in one piece, as in ``_runs``."""
+    found = np.empty((3 * len(WORDS), b.num_rows), np.uint32)
+    for k, c in enumerate(WORDS):
+        three = b.column(c).to_numpy()
+        found[3 * k], found[3 * k + 1], found[3 * k + 2] = three >> 40, three >> 20 & 0xFFFFF, three & 0xFFFFF
+    return found[:SPAN].T
 
 
 def classes_of(words: np.ndarray) -> np.ndarray:
@@ -155,13 +212,16 @@ def classes_of(words: np.ndarray) -> np.ndarray:
     return _mix(_sequence(words).sum(1)).view(np.int64)
 
 
-def band_keys(words: np.ndarray) -> np.ndarray:
-    """Of rows of word codes: BANDS keys, each a MinHash of the shingles with its rough place."""
-    keys = np.zeros((len(words), BANDS), np.uint64)
-    if len(words):
-        bags, five = _shingles(words), np.uint64(5)
+def band_keys(bags: np.ndarray) -> np.ndarray:
+    """Of rows of the shingles of paragraphs: BANDS keys, each a MinHash of the shingles with its rough place."""
+    keys = np.zeros((len(bags), BANDS), np.uint64)
+    if len(bags):
+        five, places = np.uint64(5), np.arange(BAG, dtype=np.uint64)
         for k in range(BANDS):
-            least = ((bags * _ODD[k]) >> five << five | np.arange(BAG, dtype=np.uint64)).min(1)
+            least = bags * _ODD[k]
+            least &= ~np.uint64(31)
+            least |= places
+            least = least.min(1)
             step = ((least & np.uint64(31)) + np.uint64(STEP // 2 * (k % 2))) // np.uint64(STEP)
             keys[:, k] = _mix(_mix(least >> five) + np.uint64(k * 32) + step)
     return keys
@@ -172,16 +232,14 @@ def _cells(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys, _mix(keys ^ _B)
 
 
-def _all_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _all_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
     """Both hashes of the band keys of paragraphs, each once for each row."""
     for b in batches:
         for _, texts in chunks(b.column("text").to_pylist()):
-            doc, _, words = cut_texts(texts)
-            keys = band_keys(words)
+            doc, _, _, bags = _cut(texts)
+            keys = band_keys(bags)
             own = keys ^ _mix(doc.astype(np.uint64) + np.uint64(1))[:, None]
-            first = np.unique(own, return_index=True)[1]
-            for cell in _cells(keys.ravel()[first]):
-                yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64))], ["key"])
+            yield from _cells(keys.ravel()[np.unique(own, return_index=True)[1]])
 
 
 def _suspects(seen, log2: int):
@@ -189,12 +247,12 @@ def _suspects(seen, log2: int):
     once only, and again when it has seen very many classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, mask, sent = seen.value, np.uint64((1 << log2) - 1), set()
+        bits, sent = seen.value, set()
         for b in batches:
             for begin, texts in chunks(b.column("text").to_pylist()):
-                doc, start, words = cut_texts(texts)
-                one, two = (bits[(x & mask) >> np.uint64(3)] >> (x & np.uint64(7)).astype(np.uint8) for x in _cells(band_keys(words)))
-                hit = (one & two & 1).any(1)
+                doc, start, words, bags = _cut(texts)
+                one, two = (in_filter(bits, log2, x) for x in _cells(band_keys(bags)))
+                hit = (one & two).any(1)
                 if hit.any():
                     classes = classes_of(words[hit])
                     if len(sent) > 100_000:
@@ -212,11 +270,25 @@ def sketches(words: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(np.uint64(1) << (words & np.uint32(63)).astype(np.uint64), 1).view(np.int64)
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _class_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The band keys of classes."""
     for b in batches:
-        words = _words_in(b)
-        each = [np.repeat(x, BANDS) for x in (b.column("class").to_numpy(), sketches(words))]
-        yield pa.RecordBatch.from_arrays([*map(pa.array, each), pa.array(band_keys(words).view(np.int64).ravel())], ["class", "sketch", "key"])
+        yield band_keys(_shingles(_words_in(b))).ravel()
+
+
+def _keys(seen, log2: int):
+    """seen: the cells of keys hit twice; the rows of keys whose cell was."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = seen.value
+        for b in batches:
+            words = _words_in(b)
+            keys = band_keys(_shingles(words)).ravel()
+            at = np.flatnonzero(in_filter(bits, log2, keys))
+            each = [x[at // BANDS] for x in (b.column("class").to_numpy(), sketches(words))]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, each), pa.array(keys[at].view(np.int64))], ["class", "sketch", "key"])
+
+    return run
 
 
 def _letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,9 +298,9 @@ def _letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("class"), pa.array([every[i : i + SPAN] for i in range(0, len(every), SPAN)], pa.string())], ["class", "letters"])
 
 
-def _shingles_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shingles_in(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
     for b in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(_shingles(_words_in(b)).view(np.int64).ravel())], ["shingle"])
+        yield _shingles(_words_in(b)).ravel()
 
 
 _PAIRS_OF_PLACES = np.array(list(combinations(range(SPAN), EDITS)))
@@ -262,17 +334,53 @@ def remainders(words: np.ndarray, lone: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _remainders(shared, log2: int):
-    """shared: the cells of shingles hit twice; a shingle whose cell was hit once is one class's alone."""
+    """shared: the cells of shingles hit twice; a shingle whose cell was hit once is one class's alone.
+    Makes pairs of classes and remainders, as arrays."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, mask = shared.value, np.uint64((1 << log2) - 1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        bits = shared.value
         for b in batches:
             if b.num_rows:
                 words = _words_in(b)
-                cells = _shingles(words) & mask
-                alone = bits[cells >> np.uint64(3)] >> (cells & np.uint64(7)).astype(np.uint8) & 1 == 0
+                alone = ~in_filter(bits, log2, _shingles(words))
                 row, rest = remainders(words, (alone.astype(np.int64) << np.arange(BAG)).sum(1))
-                yield pa.RecordBatch.from_arrays([pa.array(b.column("class").to_numpy()[row]), pa.array(_mix(rest).view(np.int64))], ["class", "rest"])
+                yield b.column("class").to_numpy()[row], _mix(rest)
+
+    return run
+
+
+def thinned(classes: np.ndarray, rests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs of a class and a remainder as few as hold the same classes together, each remainder among
+    them: every remainder with its least class, and one of those that tie the same two classes."""
+    order = np.lexsort((classes, rests))
+    classes, rests = classes[order], rests[order]
+    first = np.concatenate([[True], rests[1:] != rests[:-1]])[: len(rests)]
+    least = classes[np.flatnonzero(first)[np.cumsum(first) - 1]]
+    order = np.lexsort((classes, least))
+    other = np.concatenate([[True], (classes[order][1:] != classes[order][:-1]) | (least[order][1:] != least[order][:-1])])[: len(rests)]
+    kept = first.copy()
+    kept[order[other]] = True
+    return classes[kept], rests[kept]
+
+
+def _shared_remainders(made, seen, log2: int, at_once: int = AT_ONCE):
+    """The pairs that ``made`` makes of which the remainder's cell was hit twice, thinned so many at a time."""
+
+    def said(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        classes, rests = thinned(*(np.concatenate(x) for x in zip(*parts)))
+        return pa.RecordBatch.from_arrays([pa.array(classes), pa.array(rests.view(np.int64))], ["class", "rest"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, parts, n = seen.value, [], 0
+        for classes, rests in made(batches):
+            hit = in_filter(bits, log2, rests)
+            parts.append((classes[hit], rests[hit]))
+            n += int(hit.sum())
+            if n >= at_once:
+                yield said(parts)
+                parts, n = [], 0
+        if n:
+            yield said(parts)
 
     return run
 
@@ -293,9 +401,11 @@ def _among(classes: DataFrame, some: DataFrame, n: int) -> DataFrame:
 def class_links(classes: DataFrame, pairs: int = PAIRS) -> DataFrame:
     """classes: class (unique) and WORDS. Links a, b whose components are those of all near copies that collide."""
     spark = classes.sparkSession
-    keys = classes.select("class", *WORDS).mapInArrow(_keys, "class long, sketch long, key long")
-    maybe = maybe_repeated(spark, *repeated_cells(keys.select("key"), BANDS * max(1, classes.count()), max_log2=MAX_LOG2))
-    some = materialise(keys.where(maybe("key")), "keys")
+    words = classes.select("class", *WORDS)
+    bits, log2 = repeated_cells(words, BANDS * max(1, classes.count()), max_log2=MAX_LOG2, of=_class_keys)
+    seen = spark.sparkContext.broadcast(bits)
+    some = materialise(words.mapInArrow(_keys(seen, log2), "class long, sketch long, key long"), "keys")
+    seen.unpersist()
     discard(spark)
     buckets = some.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = materialise(lookup(some, buckets, "key", "n", max(1, some.count())).where("n is not null"), "members")
@@ -315,11 +425,12 @@ def class_links(classes: DataFrame, pairs: int = PAIRS) -> DataFrame:
     large = materialise(_among(classes, crowded, crowded.count()).select("class", *WORDS).join(crowded.distinct(), "class", "left_semi"), "large")
     discard(spark, members, close)
     n = max(1, large.count())
-    shared, log2 = repeated_cells(large.mapInArrow(_shingles_in, "shingle long"), BAG * n, max_log2=MAX_LOG2)
-    rests = large.mapInArrow(_remainders(spark.sparkContext.broadcast(shared), log2), "class long, rest long")
-    # Most remainders are one class's alone; a filter lets them go before anything is shuffled.
-    maybe = maybe_repeated(spark, *repeated_cells(rests.select("rest"), REMAINDERS * n, max_log2=MAX_LOG2))
-    least = rests.where(maybe("rest")).withColumn("least", F.min("class").over(Window.partitionBy("rest"))).where("class <> least")
+    bits, log2 = repeated_cells(large, BAG * n, max_log2=MAX_LOG2, of=_shingles_in)
+    made = _remainders(spark.sparkContext.broadcast(bits), log2)
+    # Most remainders are one class's alone; a filter lets them go before anything leaves the task.
+    bits, log2 = repeated_cells(large, REMAINDERS * n, max_log2=MAX_LOG2, of=lambda batches: (rest for _, rest in made(batches)))
+    rests = large.mapInArrow(_shared_remainders(made, spark.sparkContext.broadcast(bits), log2), "class long, rest long")
+    least = rests.withColumn("least", F.min("class").over(Window.partitionBy("rest"))).where("class <> least")
     return paired.unionByName(least.select(F.col("least").alias("a"), F.col("class").alias("b")).distinct())
 
 
@@ -339,7 +450,7 @@ def repeated_passages(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
     kind = df.schema[doc_id].dataType.simpleString()
     rows = keyed.select(F.col(doc_id).alias("doc_id"), *ROW, text_of(text).alias("text"))
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    bits, log2 = repeated_cells(rows.select("text").mapInArrow(_all_keys, "key long"), max(1, BANDS * size // CHARS), max_log2=MAX_LOG2)
+    bits, log2 = repeated_cells(rows.select("text"), max(1, BANDS * size // CHARS), max_log2=MAX_LOG2, of=_all_keys)
     discard(spark)
     seen = spark.sparkContext.broadcast(bits)
     cut = rows.mapInArrow(_suspects(seen, log2), f"doc_id {kind}, {ROW[0]} long, {ROW[1]} long, start int, class long, {', '.join(f'{w} long' for w in WORDS)}")
