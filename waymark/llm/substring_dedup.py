@@ -242,7 +242,7 @@ def _all_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
             yield from _cells(keys.ravel()[np.unique(own, return_index=True)[1]])
 
 
-def _suspects(seen, log2: int):
+def _suspects(seen, log2: int, with_words: bool):
     """The paragraphs of which some key may be in more than one row. A task gives a class's words
     once only, and again when it has seen very many classes."""
 
@@ -255,12 +255,14 @@ def _suspects(seen, log2: int):
                 hit = (one & two).any(1)
                 if hit.any():
                     classes = classes_of(words[hit])
-                    if len(sent) > 100_000:
-                        sent.clear()
-                    said = np.array([c in sent or bool(sent.add(c)) for c in classes.tolist()])
                     rows = b.select(["doc_id", *ROW]).take(pa.array(doc[hit] + begin))
-                    columns = [pa.array(start[hit].astype(np.int32)), pa.array(classes), *(pa.array(w, mask=said) for w in packed(words[hit]).T.copy())]
-                    yield pa.RecordBatch.from_arrays([*rows.columns, *columns], ["doc_id", *ROW, "start", "class", *WORDS])
+                    columns, names = [pa.array(start[hit].astype(np.int32)), pa.array(classes)], ["doc_id", *ROW, "start", "class"]
+                    if with_words:
+                        if len(sent) > 100_000:
+                            sent.clear()
+                        said = np.array([c in sent or bool(sent.add(c)) for c in classes.tolist()])
+                        columns, names = [*columns, *(pa.array(w, mask=said) for w in packed(words[hit]).T.copy())], [*names, *WORDS]
+                    yield pa.RecordBatch.from_arrays([*rows.columns, *columns], names)
 
     return run
 
@@ -360,7 +362,9 @@ def thinned(classes: np.ndarray, rests: np.ndarray) -> tuple[np.ndarray, np.ndar
     other = np.concatenate([[True], (classes[order][1:] != classes[order][:-1]) | (least[order][1:] != least[order][:-1])])[: len(rests)]
     kept = first.copy()
     kept[order[other]] = True
-    return classes[kept], rests[kept]
+    classes, rests = classes[kept], rests[kept]
+    order = np.argsort(classes, kind="stable")  # a class's rows together take less space in a shuffle
+    return classes[order], rests[order]
 
 
 def _shared_remainders(made, seen, log2: int, at_once: int = AT_ONCE):
@@ -453,14 +457,15 @@ def repeated_passages(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
     bits, log2 = repeated_cells(rows.select("text"), max(1, BANDS * size // CHARS), max_log2=MAX_LOG2, of=_all_keys)
     discard(spark)
     seen = spark.sparkContext.broadcast(bits)
-    cut = rows.mapInArrow(_suspects(seen, log2), f"doc_id {kind}, {ROW[0]} long, {ROW[1]} long, start int, class long, {', '.join(f'{w} long' for w in WORDS)}")
-    cut = row_by_row(rows, cut, "paragraphs")
+    place = f"doc_id {kind}, {ROW[0]} long, {ROW[1]} long, start int, class long"
+    cut = rows.mapInArrow(_suspects(seen, log2, True), f"{place}, {', '.join(f'{w} long' for w in WORDS)}")
     row = F.xxhash64(*ROW)
     least = [F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("id"), F.max(F.col("doc_id").isNull()).alias("unnamed"), F.min(row).alias("r0"), F.max(row).alias("r1")]
     classes = materialise(cut.groupBy("class").agg(*least, *(F.max(w).alias(w) for w in WORDS)), "classes")
-    placed = row_by_row(rows, cut.drop(*WORDS), "places")
+    discard(spark)
+    # Texts are cut once more for the places: paragraphs with their words would take a disk's space beside the classes' shuffle.
+    placed = row_by_row(rows, rows.mapInArrow(_suspects(seen, log2, False), place), "places")
     n_placed = max(1, placed.count())
-    discard(spark, cut)
     seen.unpersist()
     others = connected_components(class_links(classes, pairs))
     nodes = others.unionByName(others.select(F.col("root").alias("node"), "root").distinct())
